@@ -25,57 +25,51 @@ def slug(c: Column) -> Column:
 def truncate_bytes(c: Column, n: int) -> Column:
     """At most ``n`` UTF-8 bytes of ``c``, never ending inside a character.
 
-    A character has at most three continuation bytes, so looking at four positions is enough to find the last
-    boundary; no loop over the text is needed.
+    Counting the characters that begin within the first ``n`` bytes gives the length, or one too many when the last
+    of them does not end there.
     """
-    raw = c.cast("binary")
+    begun = F.char_length(F.substring(c.cast("binary"), 1, n).cast("string"))
+    longest = F.left(c, begun)
+    cut = F.when(F.octet_length(longest) <= n, longest).otherwise(F.left(c, begun - 1))
+    return F.when(F.octet_length(c) <= n, c).otherwise(cut)
 
-    def inside(pos: int) -> Column:  # is the byte at 0-based ``pos`` a continuation byte?
-        b = F.hex(F.substring(raw, pos + 1, 1))
-        return (b >= "80") & (b <= "BF")
 
-    cut = F.lit(max(n - 3, 0))
-    for back in (2, 1, 0):
-        if n - back >= 0:
-            cut = F.when(~inside(n - back), F.lit(n - back)).otherwise(cut)
-    short = F.substring(raw, F.lit(1), cut).cast("string")
-    return F.when(F.octet_length(c) <= n, c).otherwise(short)
+# At most 16 hex digits, at most 19 decimal digits, or 20 that are compared with the largest 64-bit number.
+_HEX = "^0x(?=[0-9a-f])0*[0-9a-f]{0,16}$"
+_DEC = "^(?=[0-9])0*[0-9]{0,19}$"
+_DEC_LONG = "^0*1[0-9]{19}$"
+
+
+def _number(v: Column) -> Column:
+    """Lower-cased text: an unsigned 64-bit number becomes ``0x`` + hex, zero becomes NULL, the rest stays."""
+    in_range = v.rlike(_DEC) | (v.rlike(_DEC_LONG) & (F.ltrim(v, F.lit("0")) <= "18446744073709551615"))
+    return (
+        F.when(v.rlike(_HEX), F.nullif(F.regexp_replace(v, "^0x0*", "0x"), F.lit("0x")))
+        .when(in_range, F.nullif(F.concat(F.lit("0x"), F.lower(F.conv(v, 10, 16))), F.lit("0x0")))
+        .otherwise(v)
+    )
 
 
 def canon_identifier(c: Column, width: int = 18) -> Column:
     """Decimal or 0x-hex unsigned 64-bit number -> ``0x`` + lower hex; zero -> NULL; other text kept (cut to width)."""
     v = F.lower(trimmed(c))
-    hex_digits = F.regexp_replace(F.substring(v, 3, 1 << 20), "^0+", "")
-    dec_digits = F.regexp_replace(v, "^0+", "")
-    is_hex = v.rlike("^0x[0-9a-f]+$") & (F.length(hex_digits) <= 16)
-    fits = (F.length(dec_digits) < 20) | ((F.length(dec_digits) == 20) & (dec_digits <= "18446744073709551615"))
-    is_dec = v.rlike("^[0-9]+$") & fits
-    safe_dec = F.when(is_dec, dec_digits).otherwise("1")
-    return (
-        F.when(v == "", None)
-        .when(is_hex & (hex_digits == ""), None)
-        .when(is_dec & (dec_digits == ""), None)
-        .when(is_hex, F.concat(F.lit("0x"), hex_digits))
-        .when(is_dec, F.concat(F.lit("0x"), F.lower(F.conv(safe_dec, 10, 16))))
-        .otherwise(truncate_bytes(v, width))
-    )
+    return truncate_bytes(F.when(v != "", _number(v)), width)
 
 
 def image_basename(c: Column) -> Column:
     """Last path element, lower-cased; a path ending in a separator has none (NULL)."""
-    tail = trimmed(F.substring_index(F.translate(F.lower(c), "\\", "/"), "/", -1))
-    return F.when(tail == "", None).otherwise(tail)
+    return F.nullif(trimmed(F.substring_index(F.translate(F.lower(c), "\\", "/"), "/", -1)), F.lit(""))
 
 
-def canon_slot(c: Column, kind: str, width: int) -> Column:
-    """One raw field value as a slot value; NULL when it carries no information."""
+def slot_value(c: Column, kind: str) -> Column:
+    """One raw field value as a slot value of any length; NULL when it carries no information."""
     v = F.lower(trimmed(c))
-    present = F.when((v != "") & ~v.isin(*model.ABSENT_VALUES), v)
-    if kind == "identifier":
-        return canon_identifier(present, width)
-    if kind == "image":
-        return truncate_bytes(image_basename(present), width)
-    return truncate_bytes(present, width)
+    value = {"identifier": _number, "image": image_basename}.get(kind, lambda x: x)(v)
+    return F.when((v != "") & ~v.isin(*model.ABSENT_VALUES), value)
+
+
+def canon_slot(c: Column, kind: str, width: int) -> Column:
+    return truncate_bytes(slot_value(c, kind), width)
 
 
 def normalize_tags(c: Column) -> Column:
