@@ -32,37 +32,23 @@ def ns_to_timestamp(ns: Column) -> Column:
     return F.timestamp_add("MICROSECOND", whole_div(ns, 1000), F.expr(_EPOCH))
 
 
-def _scaled(seconds: Column, nanos: Column) -> Column:
-    ok = F.abs(seconds) <= MAX_SECONDS
-    return F.when(ok, F.when(ok, seconds).otherwise(0) * F.lit(NS) + nanos)
+_CLOCK = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})?$"
 
 
 def coerce_timestamp(c: Column) -> Column:
-    """Text or number -> ``ts_ns``; NULL when it is not a time.
+    """Text or number -> ``ts_ns``; NULL when it is not a time (or one outside the years 1678 to 2261).
 
     Whole numbers are seconds, or milliseconds above 1e11. Text is a date and a time parted by ``T`` or a blank,
     an optional fraction, and an optional zone (UTC when missing).
     """
     v = trimmed(c.cast("string"))
-    number = F.when(v.rlike(r"^[+-]?\d+$"), v).try_cast("long")
-    from_number = F.when(
-        number > model.MILLIS_THRESHOLD,
-        _scaled(whole_div(number, 1000), F.pmod(number, F.lit(1000)) * 1_000_000),
-    ).otherwise(_scaled(number, F.lit(0)))
-
-    shape = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})([.,]\d+)?(Z|[+-]\d{2}:\d{2})?$"
-    is_text = v.rlike(shape)
-    part = lambda i: F.regexp_extract(v, shape, i)
-    base = F.when(is_text, F.concat(part(1), F.lit(" "), part(2))).try_cast("timestamp_ntz")
-    seconds = F.timestamp_diff("SECOND", F.expr(_EPOCH), base)
-    digits = F.rpad(F.substring(part(3), 2, 9), 9, "0")
-    nanos = F.coalesce(digits.try_cast("long"), F.lit(0))
-    zone = part(4)
-    minutes = F.coalesce(
-        F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"), F.lit(0)
-    )
-    shift = F.when(zone.startswith("-"), -minutes).otherwise(minutes) * 60
-    return F.coalesce(from_number, _scaled(seconds - shift, nanos))
+    number = v.try_cast("long")
+    unit = F.when(number > model.MILLIS_THRESHOLD, F.lit(1_000_000)).otherwise(F.lit(NS))
+    zone = F.coalesce(F.nullif(F.regexp_extract(v, r"(Z|[+-]\d{2}:\d{2})$", 1), F.lit("")), F.lit("Z"))
+    seconds = F.unix_seconds(F.concat(F.left(v, F.lit(19)), zone).try_cast("timestamp"))
+    fraction = F.rpad(F.left(F.regexp_extract(v, r":\d{2}[.,](\d+)", 1), F.lit(9)), 9, "0").cast("long")
+    clock = F.when(v.rlike(_CLOCK), F.try_add(F.try_multiply(seconds, F.lit(NS)), fraction))
+    return F.coalesce(F.try_multiply(number, unit), clock)
 
 
 def filetime_to_ns(c: Column) -> Column:
