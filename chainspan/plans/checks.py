@@ -43,17 +43,21 @@ _FIELDS = {
 def _parsed(docs: DataFrame) -> DataFrame:
     """Add one column per field, ``_bad`` (not a rule document) and ``_keys`` (the fields it has)."""
     small = F.octet_length("doc") <= MAX_RULE_BYTES
-    v = docs.withColumn("_too_large", ~small).withColumn("_v", F.when(small, F.try_parse_json("doc")))
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    bad = ~is_object
-    cols = {}
-    for name, (kind, accepted) in _FIELDS.items():
-        raw = F.try_variant_get("_v", f"$.{name}", "variant")
-        bad = bad | (raw.isNotNull() & ~F.schema_of_variant(raw).rlike(accepted))
-        cols[name] = F.try_variant_get("_v", f"$.{name}", kind)
-    keys = F.map_keys(F.from_json("doc", "map<string,string>"))
-    out = v.withColumn("_bad", F.coalesce(bad, F.lit(True))).withColumns(cols)
-    out = out.withColumn("_keys", F.when(~F.col("_bad"), keys))
+    shape = ", ".join(f"{n} {kind}" for n, (kind, _) in _FIELDS.items())
+    out = docs.withColumn("_too_large", ~small).withColumn("_v", F.when(small, F.try_parse_json("doc")))
+    out = out.withColumn("_entries", F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>")))
+    expected = F.create_map(*[F.lit(x) for n, (_, accepted) in _FIELDS.items() for x in (n, accepted)])
+    wrong = F.exists(
+        "_entries",
+        lambda e: ~F.coalesce(F.regexp(F.schema_of_variant(e["value"]), F.try_element_at(expected, e["key"])), F.lit(True)),
+    )
+    is_object = F.schema_of_variant("_v").startswith("OBJECT")
+    out = (
+        out.withColumn("_bad", F.coalesce(~is_object | wrong, F.lit(True)))
+        .withColumn("_keys", F.transform("_entries", lambda e: e["key"]))
+        .withColumn("_d", F.from_json("doc", shape))
+        .select(*docs.columns, "_too_large", "_bad", "_keys", "_d.*")
+    )
     blank = F.array().cast("array<string>")
     texts = [n for n, (k, _) in _FIELDS.items() if k == "string"]
     lists = [n for n, (k, _) in _FIELDS.items() if k == "array<string>"]
