@@ -26,9 +26,7 @@ def _chain(df, *more):
     WITH_CANON + """SELECT id, event_code, ts_ns, computer FROM canon WHERE ts_ns IS NOT NULL AND event_code IN ('error', 'purchase', 'signup', 'view')""",
 )
 def prepared(spark, sf):
-    codes = sorted({c for r in RULES for c in r.sequence})
-    p = b.prepare(canon(spark, sf))
-    return p.filter(F.col("ts_ns").isNotNull() & F.col("event_code").isin(codes)).select("id", "event_code", "ts_ns", "computer")
+    return b.prepare(canon(spark, sf), RULES).drop("logon_id")
 
 
 @query(

@@ -23,8 +23,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def canon(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as canonical events."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    ev = table(spark, sf, "events").withColumn("k", k)
+    return canon_of(table(spark, sf, "events"))
+
+
+def canon_of(raw: DataFrame) -> DataFrame:
+    ev = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     none = F.lit(None).cast("string")
     out = ev.select(

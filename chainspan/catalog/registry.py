@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from chainspan.catalog import audits, correlation, graphs, ingest, selection, times  # noqa: F401
+    from chainspan.catalog import audits, correlation, graphs, ingest, selection, streams, times  # noqa: F401

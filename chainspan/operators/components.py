@@ -74,11 +74,34 @@ def component_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def step_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, rank, forced): length of the longest path of edges that ends in a node.
 
-    Each round ranks every node nothing unranked leads to. Edges of a match go forward in time, so this takes as many
-    rounds as the longest chain has steps. When only cycles are left, the lowest id of each remaining piece is ranked
-    by force (and says so), which opens the cycle.
+    Round r keeps the edges whose source can be reached over r edges, so a node is among their targets exactly when a
+    path of r + 1 edges ends in it: the last such round gives its rank. The edges shrink every round, and there are as
+    many rounds as the longest chain has steps. If they stop shrinking there is a circle, which is then opened by
+    force.
     """
-    edges_left = durable(_inner_edges(nodes, edges))
+    layers = [durable(_inner_edges(nodes, edges))]
+    sizes = [layers[0].count()]
+    while sizes[-1]:
+        reached = layers[-1].select(F.col("dst").alias("src")).distinct()
+        layers.append(durable(layers[-1].join(reached, "src", "left_semi").select("src", "dst")))
+        sizes.append(layers[-1].count())
+        if sizes[-1] == sizes[-2]:
+            return _rank_with_circles(nodes, layers[0])
+    ranked = None
+    for r, layer in enumerate(layers[:-1]):
+        part = layer.select(F.col("dst").alias("id"), F.lit(r + 1).alias("rank"))
+        ranked = part if ranked is None else ranked.unionByName(part)
+    ids = nodes.select("id").distinct()
+    if ranked is None:
+        return ids.select("id", F.lit(0).alias("rank"), F.lit(False).alias("forced"))
+    top = ranked.groupBy("id").agg(F.max("rank").alias("rank"))
+    return ids.join(top, "id", "left").select("id", F.coalesce("rank", F.lit(0)).alias("rank"), F.lit(False).alias("forced"))
+
+
+def _rank_with_circles(nodes: DataFrame, inner: DataFrame) -> DataFrame:
+    """Rank every node nothing unranked leads to, round by round; when only circles are left, the lowest id of each
+    remaining piece is ranked by force (and says so), which opens them."""
+    edges_left = inner
     left = durable(nodes.select("id").distinct().withColumn("rank", F.lit(0)))
     done: DataFrame | None = None
     while True:

@@ -20,35 +20,30 @@ def hash_normalized(df: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
     return df.withColumn("hash_normalized", identity_hash(*extra))
 
 
-def _observations(df: DataFrame, order: str) -> DataFrame:
-    """(hash, source) groups: how often seen, and the first row seen.
+def identity_counts(df: DataFrame, order: str = "id") -> DataFrame:
+    """Per identity: ``dedup_count``, ``source_counts`` and the order value of the first row.
 
-    Copies collapse map-side here, so a hash that makes up a third of the input reaches the next step as one row per
-    source.
+    Counted by (identity, source) first, where copies collapse before the shuffle: a hash that makes up a third of
+    the input goes on as one row per source.
     """
-    source = F.coalesce(F.col("source_identifier"), F.lit(""))
-    row = F.struct(*[c for c in df.columns])
-    return df.groupBy("hash_normalized", source.alias("_source")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by(row, F.col(order)).alias("_row"),
-        F.min(order).alias("_first"),
+    source = F.coalesce(F.col("source_identifier"), F.lit("")).alias("_source")
+    per_source = df.groupBy("hash_normalized", source).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    return per_source.groupBy("hash_normalized").agg(
+        F.min("_first").alias("_first"),
+        F.sum("_n").alias("dedup_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_source", "_n")))).alias("source_counts"),
     )
 
 
 def dedup(df: DataFrame, order: str = "id") -> DataFrame:
-    """One row per identity, the first seen, with ``dedup_count`` and ``source_counts`` (their sum is the count)."""
+    """One row per identity, the first seen, with ``dedup_count`` and ``source_counts`` (their sum is the count).
+
+    ``order`` is unique. Only hashes and counts are aggregated; the first rows are then fetched by ``order``, so wide
+    rows are shuffled once and on a key that cannot be skewed.
+    """
     df = df.drop("dedup_count", "source_counts")
-    names = df.columns
-    return (
-        _observations(df, order)
-        .groupBy("hash_normalized")
-        .agg(
-            F.min_by("_row", "_first").alias("_row"),
-            F.sum("_n").alias("dedup_count"),
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("_source", "_n")))).alias("source_counts"),
-        )
-        .select(*[F.col("_row")[c].alias(c) for c in names], "dedup_count", "source_counts")
-    )
+    counts = identity_counts(df, order).withColumnRenamed("_first", order).drop("hash_normalized")
+    return df.join(counts, order).select(*df.columns, "dedup_count", "source_counts")
 
 
 def divergent_duplicates(df: DataFrame, order: str = "id") -> DataFrame:

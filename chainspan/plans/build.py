@@ -12,13 +12,12 @@ from chainspan import model
 from chainspan.operators.edges import cap_matches, emit_edges, exclusion_counts, small_side
 from chainspan.operators.graph import ensure_graphs
 from chainspan.operators.lineage import match_lineage
-from chainspan.operators.matching import match_rules
+from chainspan.operators.matching import group_rules, match_rules, scope_column
 from chainspan.operators.query import EventFilter, filter_events
 from chainspan.plans.rules import Rule, rules_frame
 from chainspan.session import durable
 
-# Columns a build reads; anything wider never enters a shuffle.
-PREPARED = ("id", "event_code", "ts_ns", "computer", "corr_version", *model.SLOTS)
+_LINEAGE_SLOTS = ("process_id", "new_process_id", "parent_process_id", "process_name")
 
 _MATCHERS: dict = {}
 
@@ -35,11 +34,17 @@ class Build:
     graphs: DataFrame
 
 
-def prepare(events: DataFrame, flt: EventFilter | None = None, **tables: DataFrame) -> DataFrame:
-    """The filtered events every rule of a build reads, narrowed to what matching needs."""
-    if flt is not None:
-        events = filter_events(events, flt.without_paging(undated="include"), **tables)
-    return events.select(*PREPARED)
+def prepare(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The events and columns ``rules`` can match on: dated, of a code some rule names, and only the slots read.
+
+    Events of other codes never affect a match, so they are left behind before anything is kept or shuffled.
+    """
+    codes = {c for r in rules for c in r.step_codes} | {r.lineage_exit_id for r in rules if r.algorithm == "lineage"}
+    slots = {s for r in rules for s in r.bucket_slots}
+    if any(r.algorithm == "lineage" for r in rules):
+        slots.update(_LINEAGE_SLOTS)
+    kept = events.filter(F.col("ts_ns").isNotNull() & F.col("event_code").isin(sorted(codes)))
+    return kept.select("id", "event_code", "ts_ns", "computer", *[s for s in model.SLOTS if s in slots])
 
 
 def select_rules(rules: Sequence[Rule], ids: Sequence[str] = ()) -> list[Rule]:
@@ -66,26 +71,30 @@ def build(
 
     The prepared events are read once and kept; rules that share a scope and match fields share one shuffle and one
     pass as well. ``previous`` (the edge table before this run) only feeds the ``removed`` counts: a rule's edges
-    replace what its graph held.
+    replace what its graph held. Undated events are only counted, so ``flt`` always lets them pass.
     """
-    spark = events.sparkSession
     rules = list(rules)
-    prepared = prepare(events, flt)
+    if flt is not None:
+        events = filter_events(events, flt.without_paging(undated="include"))
+    prepared = prepare(events, rules)
+    layouts = len(group_rules(rules)) + sum(r.algorithm == "lineage" for r in rules)
+    cache = cache and layouts > 1
     if cache:
         prepared = prepared.persist()
     try:
-        return _build(spark, prepared, rules, graphs, previous, limit)
+        return _build(events, prepared, rules, graphs, previous, limit)
     finally:
         if cache:
             prepared.unpersist()
 
 
-def _build(spark, prepared, rules, graphs, previous, limit) -> Build:
+def _build(events, prepared, rules, graphs, previous, limit) -> Build:
+    spark = events.sparkSession
     stepwise = [r for r in rules if r.algorithm in ("sequence", "field", "temporal")]
     edge_parts, counter_parts = [], []
     if stepwise:
         found = durable(match_rules(prepared, stepwise))
-        kept, report = cap_matches(found, prepared, stepwise, limit)
+        kept, report = cap_matches(found, events, stepwise, limit)
         edge_parts.append(emit_edges(kept, stepwise))
         names = rules_frame(spark, stepwise).select("rule_ix", "rule_id")
         counter_parts.append(
@@ -97,7 +106,7 @@ def _build(spark, prepared, rules, graphs, previous, limit) -> Build:
         if r.algorithm == "lineage":
             edges, counters = match_lineage(prepared, r, limit)
         elif r.algorithm in _MATCHERS:
-            edges, counters = _MATCHERS[r.algorithm](prepared, r)
+            edges, counters = _MATCHERS[r.algorithm](events, r)
         else:
             continue
         edge_parts.append(edges)
@@ -118,7 +127,7 @@ def _build(spark, prepared, rules, graphs, previous, limit) -> Build:
     counters = counter_parts[0]
     for c in counter_parts[1:]:
         counters = counters.unionByName(c)
-    outcomes = durable(build_outcomes(edges, previous, rules, registry, counters, exclusion_counts(prepared, rules)))
+    outcomes = durable(build_outcomes(edges, previous, rules, registry, counters, exclusion_counts(events, rules)))
     empty = outcomes.filter("graph_discarded").select("graph_id")
     return Build(edges, outcomes, registry.join(empty, "graph_id", "left_anti"))
 
@@ -183,18 +192,20 @@ def dry_run(
 ) -> tuple[DataFrame, DataFrame]:
     """What a rule would produce: one row of exact counts, and the events of the first ``samples`` matches."""
     samples = max(0, min(samples, model.MAX_DRY_RUN_SAMPLES))
-    prepared = prepare(events, flt)
-    excluded = exclusion_counts(prepared, [rule]).drop("rule_ix", "rule_id")
+    if flt is not None:
+        events = filter_events(events, flt.without_paging(undated="include"))
+    prepared = prepare(events, [rule])
+    excluded = exclusion_counts(events, [rule]).drop("rule_ix", "rule_id")
     if rule.algorithm == "lineage":
         edges, counters = match_lineage(prepared, rule, limit)
         edges = durable(edges)
         order = _lineage_order(edges, events, rule)
     else:
         found = durable(match_rules(prepared, [rule]))
-        kept, report = cap_matches(found, prepared, [rule], limit)
+        kept, report = cap_matches(found, events, [rule], limit)
         edges = emit_edges(kept, [rule])
         counters = report.select("matches", "dropped", F.lit(0).cast("bigint").alias("unresolved"))
-        order = _match_order(kept, prepared, rule)
+        order = _match_order(kept, events, rule)
     total = edges.agg(F.count(F.lit(1)).alias("relations"))
     summary = total.join(F.broadcast(counters), how="left").join(F.broadcast(excluded), how="left")
     # Top-k over matches; only ``samples`` of them go on.
@@ -212,15 +223,13 @@ def _over(column: str):
     return Window.orderBy(column)  # only ever applied to at most MAX_DRY_RUN_SAMPLES rows
 
 
-def _match_order(found: DataFrame, prepared: DataFrame, rule: Rule) -> DataFrame:
+def _match_order(found: DataFrame, events: DataFrame, rule: Rule) -> DataFrame:
     ids = F.col("ids")
     name = F.concat_ws("-", F.lit("m"), F.element_at(ids, 1), F.element_at(ids, -1), F.size(ids))
     if not rule.bucket_slots:
         return found.select(name.alias("match_id"), "ids", F.struct("chunk", "pos").alias("o"))
     slots = sorted(set(rule.bucket_slots))
-    from chainspan.operators.matching import scope_column
-
-    dated = prepared.filter(F.col("ts_ns").isNotNull()).withColumn("scope", scope_column(rule.match_scope))
+    dated = events.filter(F.col("ts_ns").isNotNull()).withColumn("scope", scope_column(rule.match_scope))
     for s in slots:
         dated = dated.filter(F.col(s).isNotNull())
     first = dated.groupBy("scope", *slots).agg(F.min(F.struct("ts_ns", "id")).alias("f"))
@@ -229,8 +238,6 @@ def _match_order(found: DataFrame, prepared: DataFrame, rule: Rule) -> DataFrame
 
 
 def _lineage_order(edges: DataFrame, events: DataFrame, rule: Rule) -> DataFrame:
-    from chainspan.operators.matching import scope_column
-
     child = events.select(F.col("id").alias("dst"), "ts_ns", scope_column(rule.match_scope).alias("scope"))
     direct = edges.join(child, "dst")
     return direct.select("match_id", F.array("src", "dst").alias("ids"), F.struct("scope", "ts_ns", "dst", "step_index").alias("o"))
