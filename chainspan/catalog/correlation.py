@@ -156,7 +156,7 @@ TREE = Rule("Ancestry", (), "lineage", labels=("spawned",), lineage_create_ids=(
 
 @query("resolve_parents", _LIFE + "SELECT scope, ppid AS parent_pid, child AS child_id, p AS parent_id FROM resolved")
 def parents(spark, sf):
-    return lineage.resolve_parents(canon(spark, sf), TREE).select("scope", "parent_pid", "child_id", "parent_id")
+    return lineage.resolve_parents(canon(spark, sf), [TREE]).select("scope", "parent_pid", "child_id", "parent_id")
 
 
 @query(

@@ -21,19 +21,49 @@ class Rows:
     ts: np.ndarray
 
 
+@dataclass
+class Piece:
+    """Part of an occurrence that crosses runs, from step ``step0`` on. ``row`` is the batch row it ends at."""
+
+    row: int
+    occ: int
+    step0: int
+    ids: list[int]
+    ts: list[int]
+
+
 @dataclass
 class Found:
-    """Matched pieces of one rule in one batch. ``row`` is the batch row a piece ended at."""
+    """What one rule matched in one batch: whole occurrences as flat arrays, and pieces of occurrences."""
+
+    rows: np.ndarray  # batch row of each occurrence's last event
+    ids: np.ndarray  # event ids, occurrence after occurrence
+    ts: np.ndarray
+    pieces: list[Piece]
+
+    @property
+    def size(self) -> int:
+        return len(self.rows) + len(self.pieces)
+
+
+_NONE = np.zeros(0, dtype=np.int64)
+
+
+def _found(pieces: list[Piece] | None = None, rows=_NONE, ids=_NONE, ts=_NONE) -> Found:
+    return Found(rows, ids, ts, pieces or [])
 
-    row: list
-    occ: list
-    step0: list
-    ids: list
-    ts: list
 
+def _select(rows: Rows, wanted: np.ndarray) -> np.ndarray:
+    """Batch rows whose code is wanted."""
+    inside = (rows.codes >= 0) & (rows.codes < len(wanted))
+    return np.flatnonzero(inside & wanted[np.where(inside, rows.codes, 0)])
 
-def _empty() -> Found:
-    return Found([], [], [], [], [])
+
+def _segments(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches of equal bucket number."""
+    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    edges = [0, *cuts.tolist(), len(bucket)]
+    return list(zip(edges, edges[1:]))
 
 
 class SequenceMatcher:
@@ -49,7 +79,7 @@ class SequenceMatcher:
         self.wanted = np.zeros(max(seq) + 1, dtype=bool)
         self.wanted[seq] = True
         self.occ, self.step = divmod(taken, self.n)
-        self.step0 = self.step
+        self.step0 = self.step  # step of the first event held here
         self.ids: list[int] = []
         self.ts: list[int] = []
 
@@ -57,48 +87,60 @@ class SequenceMatcher:
         self.occ = self.step = self.step0 = 0
         self.ids, self.ts = [], []
 
+    def _take(self, codes: list[int], begin: int, end: int) -> list[int]:
+        """Positions taken in one stretch of one bucket; moves ``step``."""
+        seq, n, step = self.seq, self.n, self.step
+        want, out = seq[step], []
+        for p in range(begin, end):
+            if codes[p] == want:
+                out.append(p)
+                step = step + 1 if step + 1 < n else 0
+                want = seq[step]
+        self.step = step
+        return out
+
     def feed(self, rows: Rows) -> Found:
-        out = _empty()
         last_bucket = int(rows.bucket[-1])
-        known = rows.codes < len(self.wanted)
-        sel = np.flatnonzero(known & self.wanted[np.where(known, rows.codes, 0)] & (rows.codes >= 0))
+        sel = _select(rows, self.wanted)
+        if sel.size == 0:
+            if last_bucket:
+                self._reset()
+            return _found()
+        bucket, ids, ts = rows.bucket[sel], rows.ids[sel], rows.ts[sel]
+        codes = rows.codes[sel].tolist()
+        whole: list[int] = []
+        pieces: list[Piece] = []
         cur = 0
-        seq, n = self.seq, self.n
-        stream = zip(
-            sel.tolist(),
-            rows.codes[sel].tolist(),
-            rows.bucket[sel].tolist(),
-            rows.ids[sel].tolist(),
-            rows.ts[sel].tolist(),
-        )
-        for i, code, bucket, event, ts in stream:
-            if bucket != cur:
+        for begin, end in _segments(bucket):
+            if bucket[begin] != cur:
                 self._reset()
-                cur = bucket
-            if code != seq[self.step]:
-                continue
-            self.ids.append(event)
-            self.ts.append(ts)
-            self.step += 1
-            if self.step == n:
-                out.row.append(i)
-                out.occ.append(self.occ)
-                out.step0.append(self.step0)
-                out.ids.append(self.ids)
-                out.ts.append(self.ts)
+                cur = bucket[begin]
+            held = self.step
+            taken = self._take(codes, begin, end)
+            head = 0
+            if held:
+                head = min(self.n - held, len(taken))
+                self.ids += ids[taken[:head]].tolist()
+                self.ts += ts[taken[:head]].tolist()
+                if held + head < self.n:
+                    continue
+                pieces.append(Piece(int(sel[taken[head - 1]]), self.occ, self.step0, self.ids, self.ts))
                 self.occ += 1
-                self.step = self.step0 = 0
-                self.ids, self.ts = [], []
+                self.step0, self.ids, self.ts = 0, [], []
+            full = (len(taken) - head) // self.n * self.n
+            whole += taken[head : head + full]
+            self.occ += full // self.n
+            rest = taken[head + full :]
+            if rest:
+                self.ids, self.ts = ids[rest].tolist(), ts[rest].tolist()
         if cur != last_bucket:
             self._reset()
-        return out
+        at = np.asarray(whole, dtype=np.int64)
+        return _found(pieces, sel[at[self.n - 1 :: self.n]], ids[at], ts[at])
 
     def open_piece(self) -> Found:
         """The unfinished occurrence at the end of the run; a later run may finish it."""
-        out = _empty()
-        if self.ids:
-            out = Found([-1], [self.occ], [self.step0], [self.ids], [self.ts])
-        return out
+        return _found([Piece(-1, self.occ, self.step0, self.ids, self.ts)] if self.ids else None)
 
 
 class PairMatcher(SequenceMatcher):
@@ -109,15 +151,14 @@ class PairMatcher(SequenceMatcher):
     """
 
     def feed(self, rows: Rows) -> Found:
-        a, b = self.seq
         last_bucket = int(rows.bucket[-1])
-        sel = np.flatnonzero((rows.codes == a) | (rows.codes == b))
+        sel = _select(rows, self.wanted)
         if sel.size == 0:
             if last_bucket:
                 self._reset()
-            return _empty()
-        is_a = rows.codes[sel] == a
-        bucket = rows.bucket[sel]
+            return _found()
+        is_a = rows.codes[sel] == self.seq[0]
+        bucket, ids, ts = rows.bucket[sel], rows.ids[sel], rows.ts[sel]
         fresh = np.empty(sel.size, dtype=bool)
         fresh[0] = bucket[0] != 0
         fresh[1:] = bucket[1:] != bucket[:-1]
@@ -129,37 +170,28 @@ class PairMatcher(SequenceMatcher):
         prev_a[fresh] = False
         taken = np.flatnonzero(is_a != prev_a)
         ends = np.flatnonzero(~is_a[taken])  # positions in ``taken`` that close an occurrence
-        out = _empty()
-        ids, ts = rows.ids[sel], rows.ts[sel]
+        pieces = []
         if ends.size and ends[0] == 0:
             # The first code of this occurrence was seen before this batch.
             end = taken[0]
-            out.row.append(int(sel[end]))
-            out.occ.append(self.occ)
-            out.step0.append(self.step0)
-            out.ids.append(self.ids + [int(ids[end])])
-            out.ts.append(self.ts + [int(ts[end])])
+            got_ids, got_ts = self.ids + [int(ids[end])], self.ts + [int(ts[end])]
+            pieces.append(Piece(int(sel[end]), self.occ, self.step0, got_ids, got_ts))
             ends = ends[1:]
             self.occ += 1
             self.step = self.step0 = 0
             self.ids, self.ts = [], []
-        first, second = taken[ends - 1], taken[ends]
-        out.row.extend(sel[second].tolist())
-        out.ids.extend(np.stack([ids[first], ids[second]], axis=1).tolist())
-        out.ts.extend(np.stack([ts[first], ts[second]], axis=1).tolist())
-        out.step0.extend([0] * ends.size)
-        out.occ.extend([0] * ends.size)  # a whole occurrence needs no number
+        pairs = np.stack([taken[ends - 1], taken[ends]], axis=1).ravel()
+        second = taken[ends]
         final = int(bucket[-1])
-        done = int(np.count_nonzero(bucket[second] == final))
         if bool(fresh.any()):
             self._reset()
-        self.occ += done
+        self.occ += int(np.count_nonzero(bucket[second] == final))
         if final != last_bucket:
             self._reset()
         elif taken.size and is_a[taken[-1]] and bucket[taken[-1]] == final:
             self.ids, self.ts = [int(ids[taken[-1]])], [int(ts[taken[-1]])]
             self.step, self.step0 = 1, 0
-        return out
+        return _found(pieces, sel[second], ids[pairs], ts[pairs])
 
 
 class AdvanceCounter:
@@ -240,12 +272,13 @@ class TemporalMatcher:
             self.chains = [[tuple(e) for e in c] if c else None for c in chains]
 
     def feed(self, rows: Rows) -> Found:
-        out = _empty()
         last_bucket = int(rows.bucket[-1])
-        known = rows.codes < len(self.wanted)
-        sel = np.flatnonzero(known & self.wanted[np.where(known, rows.codes, 0)] & (rows.codes >= 0))
+        sel = _select(rows, self.wanted)
         cur, last = 0, self.n - 1
         chains = self.chains
+        ends: list[int] = []
+        ids: list[int] = []
+        times: list[int] = []
         stream = zip(
             sel.tolist(),
             rows.codes[sel].tolist(),
@@ -253,32 +286,62 @@ class TemporalMatcher:
             rows.ids[sel].tolist(),
             rows.ts[sel].tolist(),
         )
+        within, total, steps = self.within, self.total, self.steps
         for i, code, bucket, event, ts in stream:
             if bucket != cur:
                 chains = [None] * self.n
                 cur = bucket
             closed = None
-            for s in self.steps[code]:
+            for s in steps[code]:
                 if s == 0:
-                    chains[0] = [(event, ts)]
+                    chains[0] = ((event, ts),)
                     continue
                 before = chains[s - 1]
-                if before is None or ts - before[-1][1] > self.within:
+                if before is None or ts - before[-1][1] > within:
                     continue
-                if self.total and ts - before[0][1] > self.total:
+                if total and ts - before[0][1] > total:
                     continue
-                chains[s] = before + [(event, ts)]
+                chains[s] = (*before, (event, ts))
                 if s == last:
                     closed = chains[s]
             if closed:
-                out.row.append(i)
-                out.occ.append(0)
-                out.step0.append(0)
-                out.ids.append([e for e, _ in closed])
-                out.ts.append([t for _, t in closed])
+                ends.append(i)
+                ids += [e for e, _ in closed]
+                times += [t for _, t in closed]
                 chains = [None] * self.n
         self.chains = chains if cur == last_bucket else [None] * self.n
-        return out
+        as_array = lambda xs: np.asarray(xs, dtype=np.int64)
+        return _found(None, as_array(ends), as_array(ids), as_array(times))
 
     def open_piece(self) -> Found:
-        return _empty()
+        return _found()
+
+
+class TemporalPairMatcher(TemporalMatcher):
+    """``TemporalMatcher`` for two different codes, whole batches at a time.
+
+    The latest first code is the row right before the second one, or no first code has been seen since the last
+    occurrence; so a second code matches exactly when the row before it is a first code within the limit.
+    """
+
+    def feed(self, rows: Rows) -> Found:
+        last_bucket = int(rows.bucket[-1])
+        sel = _select(rows, self.wanted)
+        if sel.size == 0:
+            if last_bucket:
+                self.chains = [None, None]
+            return _found()
+        limit = min(self.within, self.total) if self.total else self.within
+        bucket, ids, ts = rows.bucket[sel], rows.ids[sel], rows.ts[sel]
+        is_a = rows.codes[sel] == self.seq[0]
+        held = self.chains[0]
+        if held is not None and bucket[0] == 0:
+            # Put the first code seen before this batch in front.
+            sel, bucket, is_a = np.insert(sel, 0, -1), np.insert(bucket, 0, 0), np.insert(is_a, 0, True)
+            ids, ts = np.insert(ids, 0, held[-1][0]), np.insert(ts, 0, held[-1][1])
+        match = is_a[:-1] & ~is_a[1:] & (bucket[1:] == bucket[:-1]) & (ts[1:] - ts[:-1] <= limit)
+        second = np.flatnonzero(match) + 1
+        pairs = np.stack([second - 1, second], axis=1).ravel()
+        open_end = bool(is_a[-1]) and int(bucket[-1]) == last_bucket
+        self.chains = [((int(ids[-1]), int(ts[-1])),) if open_end else None, None]
+        return _found(None, sel[second], ids[pairs], ts[pairs])

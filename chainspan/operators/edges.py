@@ -12,7 +12,7 @@ from chainspan.functions.text import trimmed, truncate_bytes
 from chainspan.functions.times import duration_text
 from chainspan.operators.layout import ordered_layout, running_position
 from chainspan.operators.matching import scope_column
-from chainspan.plans.rules import Rule, rules_frame
+from chainspan.plans.rules import Rule, rules_frame, small_table
 
 # Beyond this many rows a side is joined by shuffle instead of being broadcast.
 BROADCAST_ROWS = 100_000
@@ -94,19 +94,17 @@ def match_totals(occurrences: DataFrame) -> dict[int, int]:
 
 def cap_matches(
     occurrences: DataFrame, events: DataFrame, rules: Sequence[Rule], limit: int = model.MAX_MATCHES
-) -> tuple[DataFrame, DataFrame]:
-    """The first ``limit`` matches of each rule in match order, and (rule_ix, matches, dropped).
+) -> tuple[DataFrame, list[int]]:
+    """The first ``limit`` matches of each rule in match order, and how many each rule had before the cap.
 
     Match order is scope, then the bucket's first event, then time. Rules under the limit pass untouched; for the
     others ranks come from per-run and per-bucket counts, without sorting the matches.
     """
-    spark = occurrences.sparkSession
-    totals = match_totals(occurrences)
-    rows = [(i, min(n, limit), max(n - limit, 0)) for i, n in totals.items()]
-    report = spark.createDataFrame(rows, "rule_ix int, matches bigint, dropped bigint")
-    over = [i for i, n in totals.items() if n > limit]
+    found = match_totals(occurrences)
+    totals = [found.get(i, 0) for i in range(len(rules))]
+    over = [i for i, n in enumerate(totals) if n > limit]
     if not over:
-        return occurrences, report
+        return occurrences, totals
     kept = [occurrences.filter(~F.col("rule_ix").isin(over))]
     for i in over:
         ranked = _ranked(occurrences.filter(F.col("rule_ix") == i), events, rules[i])
@@ -114,7 +112,7 @@ def cap_matches(
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
-    return out, report
+    return out, totals
 
 
 def _ranked(occ: DataFrame, events: DataFrame, rule: Rule) -> DataFrame:
@@ -126,7 +124,7 @@ def _ranked(occ: DataFrame, events: DataFrame, rule: Rule) -> DataFrame:
     for chunk, n in counts:
         offsets.append((chunk, total))
         total += n
-    before = spark.createDataFrame(offsets, "chunk int, before bigint")
+    before = small_table(spark, [{"chunk": c, "before": n} for c, n in offsets], "chunk int, before bigint")
     placed = occ.join(small_side(before, len(offsets)), "chunk").withColumn("match_rank", F.col("before") + F.col("pos"))
     placed = placed.drop("before")
     slots = sorted(set(rule.bucket_slots))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainspan import model
 from chainspan.functions.text import trimmed
-from chainspan.operators.layout import ordered_layout, running_position
 
 
 def edges_by(
@@ -231,20 +230,18 @@ def apply_edge_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(made)
 
 
-GRAPH_SCHEMA = "graph_id bigint, rule_id string, name string"
-
-
 def ensure_graphs(graphs: DataFrame | None, rules: DataFrame) -> DataFrame:
     """The graph table after making sure every rule has a graph.
 
     A rule keeps the graph that carries its id; otherwise it adopts the oldest unclaimed graph of its name; otherwise
     it gets a new id above all others, in rule order.
     """
-    spark = rules.sparkSession
+    wanted = rules.select("rule_ix", "rule_id", "name").dropDuplicates(["rule_id"])
+    # Rules and graphs are registries of a case, not data: numbering the new ones in one task is all they need.
+    by_rule = F.row_number().over(Window.orderBy("rule_ix"))
     if graphs is None:
-        graphs = spark.createDataFrame([], GRAPH_SCHEMA)
+        return wanted.select(by_rule.cast("bigint").alias("graph_id"), "rule_id", "name")
     graphs = graphs.select("graph_id", F.coalesce("rule_id", F.lit("")).alias("rule_id"), "name")
-    wanted = rules.select("rule_ix", "rule_id", "name").dropDuplicates(["rule_id"])
     open_rules = wanted.join(graphs.select("rule_id"), "rule_id", "left_anti")
     unclaimed = graphs.filter("rule_id = ''").groupBy("name").agg(F.min("graph_id").alias("graph_id"))
     # One graph can be adopted once: the first rule of that name gets it.
@@ -254,7 +251,6 @@ def ensure_graphs(graphs: DataFrame | None, rules: DataFrame) -> DataFrame:
         "graph_id", F.coalesce("new_rule", "rule_id").alias("rule_id"), "name"
     )
     rest = open_rules.join(adopted.select(F.col("new_rule").alias("rule_id")), "rule_id", "left_anti")
-    top = graphs.agg(F.coalesce(F.max("graph_id"), F.lit(0)).alias("m")).first().m
-    numbered = running_position(ordered_layout(rest, [], ["rule_ix"], ["rule_id", "name"]))
-    new = numbered.select((F.col("position") + 1 + top).alias("graph_id"), "rule_id", "name")
+    top = graphs.agg(F.coalesce(F.max("graph_id"), F.lit(0)).alias("top"))
+    new = rest.join(F.broadcast(top), how="left").select((by_rule + F.col("top")).alias("graph_id"), "rule_id", "name")
     return kept.unionByName(new)

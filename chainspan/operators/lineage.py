@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan import model
-from chainspan.operators.edges import bounded_basis, edge_id, match_id
+from chainspan.operators.edges import bounded_basis, edge_id, match_id, small_side
 from chainspan.operators.layout import Layout, Tail, bucket_starts, collect_seams, keys_at, neighbours, ordered_layout
 from chainspan.operators.layout import running_position
 from chainspan.operators.matching import scope_column
-from chainspan.plans.rules import Rule
+from chainspan.plans.rules import Rule, rules_frame
 from chainspan.session import durable
 
 CREATE, EXIT, PROBE = 0, 1, 2
@@ -80,7 +80,7 @@ def _life_row(b: pa.RecordBatch, i: int) -> tuple:
 
 
 _RESOLVED = (
-    "scope string, parent_pid string, child_id bigint, child_ts bigint, child_image string, "
+    "rule_ix int, scope string, parent_pid string, child_id bigint, child_ts bigint, child_image string, "
     "parent_id bigint, parent_ts bigint, parent_image string"
 )
 
@@ -128,7 +128,7 @@ def _resolve(layout: Layout) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*cols, *parent],
                     names=[
-                        "scope", "parent_pid", "child_id", "child_ts", "child_image",
+                        "rule_ix", "scope", "parent_pid", "child_id", "child_ts", "child_image",
                         "parent_id", "parent_ts", "parent_image",
                     ],
                 )
@@ -143,78 +143,119 @@ def _resolve(layout: Layout) -> DataFrame:
     return layout.df.mapInArrow(scan, _RESOLVED)
 
 
-def resolve_parents(events: DataFrame, rule: Rule) -> DataFrame:
-    """One row per create event that names a creator; parent_* are NULL when nobody with that identifier was alive."""
-    base = _life_events(events, rule.create_ids, rule.lineage_exit_id, rule.match_scope)
+def resolve_parents(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per rule and create event that names a creator; parent_* are NULL when nobody with that identifier was
+    alive. All rules share one layout and one pass."""
 
-    def entry(pid: Column, phase: int, kind: Column) -> Column:
-        return F.struct(pid.alias("pid"), F.lit(phase).alias("phase"), kind.alias("kind"))
+    def entry(ix: int, scope: Column, pid: Column, phase: int, kind: Column) -> Column:
+        return F.struct(
+            F.lit(ix).alias("rule_ix"), scope.alias("scope"), pid.alias("pid"), F.lit(phase).alias("phase"), kind.alias("kind")
+        )
 
     # At one instant every create and exit comes before any lookup: a lifetime includes its own start.
-    entries = F.array(
-        entry(subject_pid(), 0, F.col("kind")),
-        entry(F.when(F.col("kind") == CREATE, creator_pid()), 1, F.lit(PROBE)),
-    )
+    entries, codes = [], set()
+    for ix, r in enumerate(rules):
+        creates = F.col("event_code").isin(*r.create_ids)
+        kind = F.when(creates, F.lit(CREATE)).when(F.col("event_code") == r.lineage_exit_id, F.lit(EXIT))
+        scope = scope_column(r.match_scope)
+        entries.append(entry(ix, scope, subject_pid(), 0, kind))
+        entries.append(entry(ix, scope, creator_pid(), 1, F.when(creates, F.lit(PROBE))))
+        codes |= {*r.create_ids, r.lineage_exit_id}
     rows = (
-        base.select("scope", "ts_ns", "id", F.col("process_name").alias("image"), F.explode(entries).alias("e"))
-        .select("scope", "ts_ns", "id", "image", "e.pid", "e.phase", "e.kind")
-        .filter(F.col("pid").isNotNull())
+        events.filter(F.col("ts_ns").isNotNull() & F.col("event_code").isin(sorted(codes)))
+        .select("ts_ns", "id", F.col("process_name").alias("image"), F.explode(F.array(*entries)).alias("e"))
+        .select("ts_ns", "id", "image", "e.*")
+        .filter(F.col("pid").isNotNull() & F.col("kind").isNotNull())
     )
-    return _resolve(ordered_layout(rows, ["scope", "pid"], ["ts_ns", "phase", "id"], ["kind", "image"]))
+    return _resolve(ordered_layout(rows, ["rule_ix", "scope", "pid"], ["ts_ns", "phase", "id"], ["kind", "image"]))
+
 
+def match_lineage(events: DataFrame, rule: Rule, limit: int = model.MAX_MATCHES) -> tuple[DataFrame, dict]:
+    """Parent-to-child edges of one rule (and ancestors when it asks for depth), with its counters."""
+    edges, counters = match_lineages(events, [rule], limit)
+    return edges, counters[0]
 
-def match_lineage(events: DataFrame, rule: Rule, limit: int = model.MAX_MATCHES) -> tuple[DataFrame, DataFrame]:
-    """Parent-to-child edges (and ancestors when the rule asks for depth), and one row of counters.
 
-    Counters: matches, dropped, unresolved.
-    """
-    resolved = durable(resolve_parents(events, rule))
-    counts = resolved.agg(
+def match_lineages(
+    events: DataFrame, rules: Sequence[Rule], limit: int = model.MAX_MATCHES
+) -> tuple[DataFrame, list[dict]]:
+    """Edges of all rules, and per rule a dict of matches, dropped, unresolved and relations."""
+    resolved = durable(resolve_parents(events, rules))
+    counted = resolved.groupBy("rule_ix").agg(
         F.count("parent_id").alias("found"), F.count_if(F.col("parent_id").isNull()).alias("unresolved")
-    ).first()
+    )
+    # One row per rule.
+    totals = {r.rule_ix: (r.found, r.unresolved) for r in counted.collect()}
     direct = resolved.filter(F.col("parent_id").isNotNull())
+    over = [ix for ix, (found, _) in totals.items() if found > limit]
     kept = direct
-    if counts.found > limit:
-        layout = ordered_layout(direct, ["scope"], ["child_ts", "child_id"], [c for c in direct.columns if c not in ("scope", "child_ts", "child_id")])
-        kept = running_position(layout).filter(F.col("position") < limit)
-    counters = events.sparkSession.createDataFrame(
-        [(min(counts.found, limit), max(counts.found - limit, 0), counts.unresolved)],
-        "matches bigint, dropped bigint, unresolved bigint",
-    )
+    if over:
+        carry = [c for c in direct.columns if c not in ("rule_ix", "scope", "child_ts", "child_id")]
+        parts = [direct.filter(~F.col("rule_ix").isin(over))]
+        for ix in over:
+            layout = ordered_layout(
+                direct.filter(F.col("rule_ix") == ix), ["rule_ix", "scope"], ["child_ts", "child_id"], carry
+            )
+            parts.append(running_position(layout).filter(F.col("position") < limit).select(*direct.columns))
+        kept = parts[0]
+        for p in parts[1:]:
+            kept = kept.unionByName(p)
     image = lambda tag, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(tag), F.col(c)))
     basis = F.array(
         F.concat(F.lit("ppid="), F.col("parent_pid")), image("image=", "child_image"), image("parent=", "parent_image")
     )
-    label = rule.labels[0] if rule.labels else ""
-    out = _edges(kept.select("child_id", F.col("parent_id").alias("src"), bounded_basis(basis).alias("basis")),
-                 rule, 0, label, model.CONFIDENCE_EXACT)
-    depth = min(rule.lineage_depth, model.LINEAGE_MAX_DEPTH)
-    if depth > 0:
+    first = kept.select("rule_ix", "child_id", F.col("parent_id").alias("src"), bounded_basis(basis).alias("basis"))
+    edges = _edges(first, rules, 0, model.CONFIDENCE_EXACT)
+    relations = {ix: min(found, limit) for ix, (found, _) in totals.items()}
+    depths = {ix: min(r.lineage_depth, model.LINEAGE_MAX_DEPTH) for ix, r in enumerate(rules)}
+    deep = [ix for ix, d in depths.items() if d > 0]
+    if deep:
         # Each process has at most one parent, so every step is a lookup by a unique key; no pairs are formed.
-        parent_of = direct.select(F.col("child_id").alias("at"), F.col("parent_id").alias("up"))
-        walk = kept.select("child_id", F.col("parent_id").alias("at"))
-        for d in range(1, depth + 1):
-            walk = walk.join(parent_of, "at").select("child_id", F.col("up").alias("at"))
+        parent_of = direct.select("rule_ix", F.col("child_id").alias("at"), F.col("parent_id").alias("up"))
+        walk = kept.filter(F.col("rule_ix").isin(deep)).select("rule_ix", "child_id", F.col("parent_id").alias("at"))
+        for d in range(1, max(depths.values()) + 1):
+            still = [ix for ix in deep if depths[ix] >= d]
+            walk = durable(
+                walk.filter(F.col("rule_ix").isin(still))
+                .join(parent_of, ["rule_ix", "at"])
+                .select("rule_ix", "child_id", F.col("up").alias("at"))
+            )
+            added = walk.groupBy("rule_ix").agg(F.count(F.lit(1)).alias("n")).collect()
+            if not added:
+                break
+            for r in added:
+                relations[r.rule_ix] += r.n
             why = F.array(F.lit(f"ancestor depth={d}"), F.lit("derived from direct lineage"))
-            step = walk.select("child_id", F.col("at").alias("src"), why.alias("basis"))
-            out = out.unionByName(_edges(step, rule, d, "", model.CONFIDENCE_ANCESTOR))
-            if d % 4 == 0 and d < depth:
-                walk = durable(walk)
-    return out, counters
-
-
-def _edges(rows: DataFrame, rule: Rule, step: int, label: str, confidence: float) -> DataFrame:
+            step = walk.select("rule_ix", "child_id", F.col("at").alias("src"), why.alias("basis"))
+            edges = edges.unionByName(_edges(step, rules, d, model.CONFIDENCE_ANCESTOR))
+    counters = []
+    for ix in range(len(rules)):
+        found, unresolved = totals.get(ix, (0, 0))
+        counters.append(
+            {
+                "matches": min(found, limit),
+                "dropped": max(found - limit, 0),
+                "unresolved": unresolved,
+                "relations": relations.get(ix, 0),
+            }
+        )
+    return edges, counters
+
+
+def _edges(rows: DataFrame, rules: Sequence[Rule], step: int, confidence: float) -> DataFrame:
+    names = rules_frame(rows.sparkSession, list(rules)).select("rule_ix", "rule_id", "relation_type", "labels")
+    label = F.coalesce(F.get("labels", F.lit(0)), F.lit("")) if step == 0 else F.lit("")
     match = match_id(F.col("src"), F.col("child_id"), F.lit(2))
-    return rows.select(
-        edge_id(F.lit(rule.rule_id), match, F.lit(step)).alias("edge_id"),
+    return rows.join(small_side(names, len(rules)), "rule_ix").select(
+        edge_id(F.col("rule_id"), match, F.lit(step)).alias("edge_id"),
         "src",
         F.col("child_id").alias("dst"),
         F.lit(None).cast("bigint").alias("graph_id"),
-        F.lit(rule.relation_type).alias("relation_type"),
-        F.lit(label).alias("label"),
+        "relation_type",
+        label.alias("label"),
         F.lit(confidence).alias("confidence"),
         F.lit("system").alias("created_by"),
-        F.lit(rule.rule_id).alias("rule_id"),
+        "rule_id",
         F.lit("lineage").alias("algorithm"),
         match.alias("match_id"),
         F.lit(step).alias("step_index"),

@@ -22,6 +22,7 @@ from chainspan.operators.automata import (
     Rows,
     SequenceMatcher,
     TemporalMatcher,
+    TemporalPairMatcher,
 )
 from chainspan.operators.layout import Layout, Seam, Tail, bucket_starts, collect_seams, keys_at, ordered_layout
 from chainspan.plans.rules import Rule
@@ -68,9 +69,11 @@ class _Plan:
         self.temporal = [(r.within_ns, r.total_ns) if r.algorithm == "temporal" else None for _, r in numbered]
 
     def matcher(self, j: int, carried):
+        pair = len(set(self.seqs[j])) == len(self.seqs[j]) == 2
         if self.temporal[j] is not None:
-            return TemporalMatcher(self.seqs[j], *self.temporal[j], carried)
-        kind = PairMatcher if len(set(self.seqs[j])) == len(self.seqs[j]) == 2 else SequenceMatcher
+            kind = TemporalPairMatcher if pair else TemporalMatcher
+            return kind(self.seqs[j], *self.temporal[j], carried)
+        kind = PairMatcher if pair else SequenceMatcher
         return kind(self.seqs[j], carried or 0)
 
     def code_index(self, batch: pa.RecordBatch) -> np.ndarray:
@@ -184,26 +187,32 @@ def _piece_schema(keys: Sequence[str]) -> str:
     )
 
 
-def _batch_of(found: list[tuple[int, Found, list[int]]], n_steps: dict[int, int], keys, key_cols, chunk) -> pa.RecordBatch:
-    rule_ix, whole, occ, step0, pos, ids, ts = [], [], [], [], [], [], []
-    for ix, f, positions in found:
-        rule_ix += [ix] * len(f.row)
-        whole += [len(i) == n_steps[ix] for i in f.ids]
-        occ += f.occ
-        step0 += f.step0
-        pos += positions
-        ids += f.ids
-        ts += f.ts
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
+
+
+def _batch_of(found: list[tuple[int, Found, int]], n_steps: dict[int, int], keys, key_cols, chunk) -> pa.RecordBatch:
+    """Rows of one batch: (rule, matches, position of its first) in, pieces before whole occurrences."""
+    cat = lambda xs: np.concatenate([np.asarray(x, dtype=np.int64) for x in xs])
+    sizes = [f.size for _, f, _ in found]
+    pieces = [f.pieces for _, f, _ in found]
+    zeros = [[0] * len(f.rows) for _, f, _ in found]
+    lengths = cat(
+        [[len(p.ids) for p in f.pieces] + [n_steps[ix]] * len(f.rows) for ix, f, _ in found]
+    )
+    rule_ix = np.repeat([ix for ix, _, _ in found], sizes)
+    want = np.repeat([n_steps[ix] for ix, _, _ in found], sizes)
     arrays = [
         pa.array(rule_ix, pa.int32()),
-        pa.array(whole, pa.bool_()),
-        pa.array(occ, pa.int64()),
-        pa.array(step0, pa.int32()),
-        pa.array([chunk] * len(occ), pa.int32()),
-        pa.array(pos, pa.int64()),
+        pa.array(lengths == want),
+        pa.array(cat([[p.occ for p in ps] + z for ps, z in zip(pieces, zeros)]), pa.int64()),
+        pa.array(cat([[p.step0 for p in ps] + z for ps, z in zip(pieces, zeros)]), pa.int32()),
+        pa.array(np.full(len(lengths), chunk), pa.int32()),
+        pa.array(cat([np.arange(first, first + n) for (_, _, first), n in zip(found, sizes)]), pa.int64()),
         *key_cols,
-        pa.array(ids, pa.list_(pa.int64())),
-        pa.array(ts, pa.list_(pa.int64())),
+        _lists(cat([x for _, f, _ in found for x in (*[p.ids for p in f.pieces], f.ids)]), lengths),
+        _lists(cat([x for _, f, _ in found for x in (*[p.ts for p in f.pieces], f.ts)]), lengths),
     ]
     return pa.RecordBatch.from_arrays(
         arrays, names=["rule_ix", "whole", "occ", "step0", "chunk", "pos", *keys, "ids", "ts"]
@@ -237,14 +246,14 @@ def match_layout(layout: Layout, numbered: Sequence[tuple[int, Rule]]) -> DataFr
             found = []
             for j, m in enumerate(matchers):
                 f = m.feed(rows)
-                if f.row:
-                    found.append((plan.rule_ix[j], f, list(range(counts[j], counts[j] + len(f.row)))))
-                    counts[j] += len(f.row)
+                if f.size:
+                    found.append((plan.rule_ix[j], f, counts[j]))
+                    counts[j] += f.size
             if found:
-                at = pa.array([r for _, f, _ in found for r in f.row], pa.int64())
+                at = pa.array(np.concatenate([x for _, f, _ in found for x in ([p.row for p in f.pieces], f.rows)]).astype(np.int64))
                 yield _batch_of(found, n_steps, keys, [b.column(k).take(at) for k in keys], chunk)
         if matchers is not None:
-            found = [(plan.rule_ix[j], f, [counts[j]]) for j, m in enumerate(matchers) if (f := m.open_piece()).row]
+            found = [(plan.rule_ix[j], f, counts[j]) for j, m in enumerate(matchers) if (f := m.open_piece()).size]
             if found:
                 key_cols = [pa.array([last[i]] * len(found), pa.string()) for i in range(len(keys))]
                 yield _batch_of(found, n_steps, keys, key_cols, chunk)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from chainspan import model
 from chainspan.operators.edges import cap_matches, emit_edges, exclusion_counts, small_side
 from chainspan.operators.graph import ensure_graphs
-from chainspan.operators.lineage import match_lineage
+from chainspan.operators.lineage import match_lineage, match_lineages
 from chainspan.operators.matching import group_rules, match_rules, scope_column
 from chainspan.operators.query import EventFilter, filter_events
-from chainspan.plans.rules import Rule, rules_frame
+from chainspan.plans.rules import Rule, rules_frame, small_table
 from chainspan.session import durable
 
 _LINEAGE_SLOTS = ("process_id", "new_process_id", "parent_process_id", "process_name")
@@ -23,7 +23,7 @@ _MATCHERS: dict = {}
 
 
 def register_matcher(algorithm: str, fn) -> None:
-    """Add a matching algorithm: ``fn(events, rule) -> (edges, counters)`` with the columns ``match_lineage`` returns."""
+    """Add a matching algorithm: ``fn(events, rule) -> (edges, counters)``, shaped like what ``match_lineage`` returns."""
     _MATCHERS[algorithm] = fn
 
 
@@ -91,30 +91,30 @@ def build(
 def _build(events, prepared, rules, graphs, previous, limit) -> Build:
     spark = events.sparkSession
     stepwise = [r for r in rules if r.algorithm in ("sequence", "field", "temporal")]
-    edge_parts, counter_parts = [], []
+    ancestry = [r for r in rules if r.algorithm == "lineage"]
+    parts: list[DataFrame] = []
+    counters: dict[str, dict] = {}
     if stepwise:
+        # Occurrences are written once; counts and edges are both read from that copy.
         found = durable(match_rules(prepared, stepwise))
-        kept, report = cap_matches(found, events, stepwise, limit)
-        edge_parts.append(emit_edges(kept, stepwise))
-        names = rules_frame(spark, stepwise).select("rule_ix", "rule_id")
-        counter_parts.append(
-            names.join(report, "rule_ix").select("rule_id", "matches", "dropped", F.lit(0).cast("bigint").alias("unresolved"))
-        )
+        kept, totals = cap_matches(found, events, stepwise, limit)
+        parts.append(emit_edges(kept, stepwise))
+        for r, n in zip(stepwise, totals):
+            m = min(n, limit)
+            relations = m * (len(r.sequence) - 1)
+            counters[r.rule_id] = {"matches": m, "dropped": n - m, "unresolved": 0, "relations": relations}
+    if ancestry:
+        edges, counts = match_lineages(prepared, ancestry, limit)
+        parts.append(edges)
+        counters |= {r.rule_id: c for r, c in zip(ancestry, counts)}
     for r in rules:
-        if r in stepwise:
-            continue
-        if r.algorithm == "lineage":
-            edges, counters = match_lineage(prepared, r, limit)
-        elif r.algorithm in _MATCHERS:
-            edges, counters = _MATCHERS[r.algorithm](events, r)
-        else:
-            continue
-        edge_parts.append(edges)
-        counter_parts.append(counters.select(F.lit(r.rule_id).alias("rule_id"), "matches", "dropped", "unresolved"))
-    if not edge_parts:
+        if r.algorithm in _MATCHERS:
+            edges, counters[r.rule_id] = _MATCHERS[r.algorithm](events, r)
+            parts.append(edges)
+    if not parts:
         raise ValueError("no rules to run")
-    edges = edge_parts[0]
-    for e in edge_parts[1:]:
+    edges = parts[0]
+    for e in parts[1:]:
         edges = edges.unionByName(e)
     registry = ensure_graphs(graphs, rules_frame(spark, rules))
     ids = registry.filter(F.col("rule_id") != "").select("rule_id", F.col("graph_id").alias("g"))
@@ -123,34 +123,37 @@ def _build(events, prepared, rules, graphs, previous, limit) -> Build:
         .withColumn("graph_id", F.col("g"))
         .select(*model.EDGE_COLUMNS)
     )
-    edges = durable(edges)
-    counters = counter_parts[0]
-    for c in counter_parts[1:]:
-        counters = counters.unionByName(c)
-    outcomes = durable(build_outcomes(edges, previous, rules, registry, counters, exclusion_counts(events, rules)))
-    empty = outcomes.filter("graph_discarded").select("graph_id")
-    return Build(edges, outcomes, registry.join(empty, "graph_id", "left_anti"))
+    outcomes = build_outcomes(rules, counters, registry, previous, exclusion_counts(events, rules))
+    used = [r.rule_id for r in rules if counters.get(r.rule_id, {}).get("relations")]
+    idle = [r.rule_id for r in rules if r.rule_id not in used]
+    return Build(edges, outcomes, registry.filter(~F.col("rule_id").isin(idle)) if idle else registry)
 
 
 def build_outcomes(
-    edges: DataFrame,
-    previous: DataFrame | None,
     rules: Sequence[Rule],
+    counters: dict[str, dict],
     graphs: DataFrame,
-    counters: DataFrame,
+    previous: DataFrame | None,
     excluded: DataFrame,
 ) -> DataFrame:
-    """One row per rule: what it matched, wrote, replaced, dropped and could not consider."""
-    spark = edges.sparkSession
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
-    written = edges.groupBy("rule_id").agg(F.count(F.lit(1)).alias("relations"))
-    frame = rules_frame(spark, list(rules)).select("rule_ix", "rule_id", F.col("name").alias("rule_name"))
+    """One row per rule: what it matched, wrote, replaced, dropped and could not consider.
+
+    ``counters`` holds matches, dropped, unresolved and relations by rule id, as the matchers counted them.
+    """
+    spark = graphs.sparkSession
+    none = {"matches": 0, "dropped": 0, "unresolved": 0, "relations": 0}
+    rows = [
+        {"rule_ix": i, "rule_id": r.rule_id, "rule_name": r.name} | none | counters.get(r.rule_id, {})
+        for i, r in enumerate(rules)
+    ]
+    frame = small_table(
+        spark,
+        rows,
+        "rule_ix int, rule_id string, rule_name string, matches bigint, dropped bigint, unresolved bigint, relations bigint",
+    )
     named = graphs.select("rule_id", "graph_id", F.col("name").alias("graph_name"))
-    out = (
-        frame.join(named, "rule_id", "left")
-        .join(written, "rule_id", "left")
-        .join(counters, "rule_id", "left")
-        .join(excluded.select("rule_ix", "skipped_undated", "skipped_no_keys"), "rule_ix", "left")
+    out = frame.join(named, "rule_id", "left").join(
+        excluded.select("rule_ix", "skipped_undated", "skipped_no_keys"), "rule_ix", "left"
     )
     if previous is not None:
         removed = previous.groupBy("graph_id").agg(F.count(F.lit(1)).alias("removed"))
@@ -162,15 +165,15 @@ def build_outcomes(
         "rule_name",
         "graph_id",
         "graph_name",
-        zero("matches"),
-        zero("relations"),
-        zero("removed"),
-        (F.coalesce(F.col("dropped"), F.lit(0)) > 0).alias("truncated"),
-        zero("dropped"),
+        "matches",
+        "relations",
+        F.coalesce("removed", F.lit(0).cast("bigint")).alias("removed"),
+        (F.col("dropped") > 0).alias("truncated"),
+        "dropped",
         "skipped_undated",
-        zero("skipped_no_keys"),
-        F.coalesce(F.col("unresolved"), F.lit(0).cast("bigint")).alias("unresolved_parents"),
-        (F.coalesce(F.col("relations"), F.lit(0)) == 0).alias("graph_discarded"),
+        "skipped_no_keys",
+        F.col("unresolved").alias("unresolved_parents"),
+        (F.col("relations") == 0).alias("graph_discarded"),
     )
 
 
@@ -195,19 +198,18 @@ def dry_run(
     if flt is not None:
         events = filter_events(events, flt.without_paging(undated="include"))
     prepared = prepare(events, [rule])
-    excluded = exclusion_counts(events, [rule]).drop("rule_ix", "rule_id")
     if rule.algorithm == "lineage":
         edges, counters = match_lineage(prepared, rule, limit)
-        edges = durable(edges)
         order = _lineage_order(edges, events, rule)
     else:
         found = durable(match_rules(prepared, [rule]))
-        kept, report = cap_matches(found, events, [rule], limit)
-        edges = emit_edges(kept, [rule])
-        counters = report.select("matches", "dropped", F.lit(0).cast("bigint").alias("unresolved"))
+        kept, (n,) = cap_matches(found, events, [rule], limit)
+        m = min(n, limit)
+        counters = {"matches": m, "dropped": n - m, "unresolved": 0, "relations": m * (len(rule.sequence) - 1)}
         order = _match_order(kept, events, rule)
-    total = edges.agg(F.count(F.lit(1)).alias("relations"))
-    summary = total.join(F.broadcast(counters), how="left").join(F.broadcast(excluded), how="left")
+    counts = "matches bigint, dropped bigint, unresolved bigint, relations bigint"
+    excluded = exclusion_counts(events, [rule]).drop("rule_ix", "rule_id")
+    summary = small_table(events.sparkSession, [counters], counts).join(F.broadcast(excluded), how="left")
     # Top-k over matches; only ``samples`` of them go on.
     first = order.orderBy("o").limit(samples)
     first = first.withColumn("sample", F.row_number().over(_over("o"))).drop("o")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chainspan import model
 
@@ -147,23 +148,29 @@ RULE_FRAME_SCHEMA = (
 )
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as a constant of the plan: no job and no Python worker is needed to read it."""
+    text = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(text))
+
+
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """One row per rule. Its size is the number of rules, so it may be broadcast."""
     rows = [
-        (
-            i,
-            r.rule_id,
-            r.name,
-            r.algorithm,
-            r.relation_type,
-            list(r.labels),
-            list(r.bucket_slots),
-            list(r.channels),
-            list(r.step_codes),
-            list(r.sequence),
-            r.within_ns if r.algorithm == "temporal" else None,
-            r.enabled,
-        )
+        {
+            "rule_ix": i,
+            "rule_id": r.rule_id,
+            "name": r.name,
+            "algorithm": r.algorithm,
+            "relation_type": r.relation_type,
+            "labels": r.labels,
+            "match_fields": r.bucket_slots,
+            "channels": r.channels,
+            "step_codes": r.step_codes,
+            "sequence": r.sequence,
+            "within_ns": r.within_ns if r.algorithm == "temporal" else None,
+            "enabled": r.enabled,
+        }
         for i, r in enumerate(rules)
     ]
-    return spark.createDataFrame(rows, RULE_FRAME_SCHEMA)
+    return small_table(spark, rows, RULE_FRAME_SCHEMA)
