@@ -32,40 +32,51 @@ def edge_id(rule_id: Column, match: Column, step: Column) -> Column:
     return F.concat_ws("/", rule_id, match, step.cast("string"))
 
 
-def bounded_basis(entries: Column) -> Column:
-    """At most four entries of at most 64 bytes; blanks are dropped."""
-    kept = F.filter(F.transform(entries, trimmed), lambda e: e.isNotNull() & (e != ""))
-    return F.transform(F.slice(kept, 1, model.MAX_BASIS_ENTRIES), lambda e: truncate_bytes(e, model.MAX_BASIS_BYTES))
+def basis_entry(*parts: Column) -> Column:
+    return truncate_bytes(trimmed(F.concat(*parts)), model.MAX_BASIS_BYTES)
 
 
-def widest_gap(ts: Column) -> Column:
-    return F.array_max(
-        F.transform(F.sequence(F.lit(2), F.size(ts)), lambda i: F.element_at(ts, i) - F.element_at(ts, i - 1))
-    )
-
+def with_basis(occurrences: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add ``basis`` to occurrences that carry match_fields, bucket, gap_ns and within_text.
 
-def match_basis(match_fields: Column, bucket: Column, ts: Column, within_ns: Column) -> Column:
-    """Shared values first, then the gap a temporal match was decided by. The gap always keeps a place."""
-    fields = F.transform(match_fields, lambda f: F.concat(f, F.lit("="), F.element_at(bucket, f)))
-    gap = F.concat(F.lit("max Δt="), duration_text(widest_gap(ts)), F.lit(" ≤ "), duration_text(within_ns))
-    with_gap = F.concat(F.slice(fields, 1, model.MAX_BASIS_ENTRIES - 1), F.array(gap))
-    return bounded_basis(F.when(within_ns.isNotNull(), with_gap).otherwise(fields))
+    Shared values come first, then the gap a temporal match was decided by; at most four entries of 64 bytes, of which
+    the gap always keeps one. Every shape of basis the rules can have is a plain array over text columns made in a
+    step of their own, so no per-element function runs over the matches.
+    """
+    shapes = sorted({(len(r.bucket_slots), r.algorithm == "temporal") for r in rules} - {(0, False)})
+    name = lambda i: F.get("match_fields", F.lit(i))
+    widest = max((n for n, _ in shapes), default=0)
+    texts = {
+        f"_f{i}": F.concat(name(i), F.lit("="), F.element_at("bucket", name(i)))
+        for i in range(min(widest, model.MAX_BASIS_ENTRIES))
+    }
+    if any(timed for _, timed in shapes):
+        texts["_gap"] = F.concat(F.lit("max Δt="), duration_text(F.col("gap_ns")), F.lit(" ≤ "), F.col("within_text"))
+    staged = occurrences.withColumns(texts) if texts else occurrences
+    basis = F.array().cast("array<string>")
+    for n, timed in shapes:
+        shown = [f"_f{i}" for i in range(min(n, model.MAX_BASIS_ENTRIES - timed))]
+        entries = [truncate_bytes(F.col(c), model.MAX_BASIS_BYTES) for c in shown] + ([F.col("_gap")] if timed else [])
+        within = F.col("within_text")
+        fits = (F.size("match_fields") == n) & (within.isNotNull() if timed else within.isNull())
+        basis = F.when(fits, F.array(*entries)).otherwise(basis)
+    return staged.withColumn("basis", basis).drop(*texts)
 
 
 def emit_edges(occurrences: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One edge per pair of consecutive events of an occurrence (graph_id is left NULL for the build to fill)."""
     frame = rules_frame(occurrences.sparkSession, list(rules)).select(
-        "rule_ix", "rule_id", "algorithm", "relation_type", "labels", "match_fields", "within_ns"
+        "rule_ix", "rule_id", "algorithm", "relation_type", "labels", "match_fields", "within_text"
     )
     n = F.size("ids")
-    joined = occurrences.join(small_side(frame, len(rules)), "rule_ix").select(
+    joined = with_basis(occurrences.join(small_side(frame, len(rules)), "rule_ix"), rules).select(
         "rule_id",
         "algorithm",
         "relation_type",
         "labels",
         "ids",
         match_id(F.element_at("ids", 1), F.element_at("ids", -1), n).alias("match_id"),
-        match_basis(F.col("match_fields"), F.col("bucket"), F.col("ts"), F.col("within_ns")).alias("basis"),
+        "basis",
         F.posexplode(F.slice("ids", F.lit(2), n - 1)).alias("step_index", "dst"),
     )
     step = F.col("step_index")

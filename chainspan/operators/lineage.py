@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan import model
-from chainspan.operators.edges import bounded_basis, edge_id, match_id, small_side
+from chainspan.operators.edges import basis_entry, edge_id, match_id, small_side
 from chainspan.operators.layout import Layout, Tail, bucket_starts, collect_seams, keys_at, neighbours, ordered_layout
 from chainspan.operators.layout import running_position
 from chainspan.operators.matching import scope_column
 from chainspan.plans.rules import Rule, rules_frame
-from chainspan.session import durable
+from chainspan.session import written
 
 CREATE, EXIT, PROBE = 0, 1, 2
 
@@ -180,7 +180,7 @@ def match_lineages(
     events: DataFrame, rules: Sequence[Rule], limit: int = model.MAX_MATCHES
 ) -> tuple[DataFrame, list[dict]]:
     """Edges of all rules, and per rule a dict of matches, dropped, unresolved and relations."""
-    resolved = durable(resolve_parents(events, rules))
+    resolved = written(resolve_parents(events, rules))
     counted = resolved.groupBy("rule_ix").agg(
         F.count("parent_id").alias("found"), F.count_if(F.col("parent_id").isNull()).alias("unresolved")
     )
@@ -200,11 +200,17 @@ def match_lineages(
         kept = parts[0]
         for p in parts[1:]:
             kept = kept.unionByName(p)
-    image = lambda tag, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(tag), F.col(c)))
-    basis = F.array(
-        F.concat(F.lit("ppid="), F.col("parent_pid")), image("image=", "child_image"), image("parent=", "parent_image")
+    child, parent = F.coalesce("child_image", F.lit("")) != "", F.coalesce("parent_image", F.lit("")) != ""
+    ppid = basis_entry(F.lit("ppid="), F.col("parent_pid"))
+    image = basis_entry(F.lit("image="), F.col("child_image"))
+    creator = basis_entry(F.lit("parent="), F.col("parent_image"))
+    basis = (
+        F.when(child & parent, F.array(ppid, image, creator))
+        .when(child, F.array(ppid, image))
+        .when(parent, F.array(ppid, creator))
+        .otherwise(F.array(ppid))
     )
-    first = kept.select("rule_ix", "child_id", F.col("parent_id").alias("src"), bounded_basis(basis).alias("basis"))
+    first = kept.select("rule_ix", "child_id", F.col("parent_id").alias("src"), basis.alias("basis"))
     edges = _edges(first, rules, 0, model.CONFIDENCE_EXACT)
     relations = {ix: min(found, limit) for ix, (found, _) in totals.items()}
     depths = {ix: min(r.lineage_depth, model.LINEAGE_MAX_DEPTH) for ix, r in enumerate(rules)}
@@ -215,7 +221,7 @@ def match_lineages(
         walk = kept.filter(F.col("rule_ix").isin(deep)).select("rule_ix", "child_id", F.col("parent_id").alias("at"))
         for d in range(1, max(depths.values()) + 1):
             still = [ix for ix in deep if depths[ix] >= d]
-            walk = durable(
+            walk = written(
                 walk.filter(F.col("rule_ix").isin(still))
                 .join(parent_of, ["rule_ix", "at"])
                 .select("rule_ix", "child_id", F.col("up").alias("at"))

@@ -26,6 +26,7 @@ from chainspan.operators.automata import (
 )
 from chainspan.operators.layout import Layout, Seam, Tail, bucket_starts, collect_seams, keys_at, ordered_layout
 from chainspan.plans.rules import Rule
+from chainspan.session import written
 
 
 def scope_column(scope: str):
@@ -183,7 +184,7 @@ def _piece_schema(keys: Sequence[str]) -> str:
     key_cols = ", ".join(f"{k} string" for k in keys)
     return (
         f"rule_ix int, whole boolean, occ bigint, step0 int, chunk int, pos bigint, {key_cols}, "
-        "ids array<bigint>, ts array<bigint>"
+        "ids array<bigint>, gap_ns bigint"
     )
 
 
@@ -192,7 +193,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
-def _batch_of(found: list[tuple[int, Found, int]], n_steps: dict[int, int], keys, key_cols, chunk) -> pa.RecordBatch:
+def _batch_of(found: list[tuple[int, Found, int]], n_steps: dict[int, int], timed: set[int], keys, key_cols, chunk) -> pa.RecordBatch:
     """Rows of one batch: (rule, matches, position of its first) in, pieces before whole occurrences."""
     cat = lambda xs: np.concatenate([np.asarray(x, dtype=np.int64) for x in xs])
     sizes = [f.size for _, f, _ in found]
@@ -212,19 +213,30 @@ def _batch_of(found: list[tuple[int, Found, int]], n_steps: dict[int, int], keys
         pa.array(cat([np.arange(first, first + n) for (_, _, first), n in zip(found, sizes)]), pa.int64()),
         *key_cols,
         _lists(cat([x for _, f, _ in found for x in (*[p.ids for p in f.pieces], f.ids)]), lengths),
-        _lists(cat([x for _, f, _ in found for x in (*[p.ts for p in f.pieces], f.ts)]), lengths),
+        pa.concat_arrays([_widest_gaps(f, n_steps[ix], ix in timed) for ix, f, _ in found]),
     ]
     return pa.RecordBatch.from_arrays(
-        arrays, names=["rule_ix", "whole", "occ", "step0", "chunk", "pos", *keys, "ids", "ts"]
+        arrays, names=["rule_ix", "whole", "occ", "step0", "chunk", "pos", *keys, "ids", "gap_ns"]
     )
 
 
+def _widest_gaps(f: Found, n: int, timed: bool) -> pa.Array:
+    """Largest step of each occurrence of a temporal rule; NULL for the others, which no gap decides."""
+    if not timed:
+        return pa.nulls(f.size, pa.int64())
+    return pa.array(np.diff(f.ts.reshape(-1, n), axis=1).max(axis=1), pa.int64())
+
+
 def match_layout(layout: Layout, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
-    """Occurrences of every rule of one group: (rule_ix, keys, chunk, pos, ids, ts). (chunk, pos) is match order."""
+    """Occurrences of every rule of one group: (rule_ix, keys, chunk, pos, ids, gap_ns). (chunk, pos) is match order.
+
+    What the pass finds is written once; whole occurrences and the few pieces to join are both read from there.
+    """
     plan = _Plan(numbered, layout.keys)
     carried = carried_states(layout, plan)
     keys = layout.keys
     n_steps = {ix: len(s) for ix, s in zip(plan.rule_ix, plan.seqs)}
+    timed = {ix for ix, t in zip(plan.rule_ix, plan.temporal) if t is not None}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers, chunk, last, counts = None, None, None, None
@@ -251,32 +263,31 @@ def match_layout(layout: Layout, numbered: Sequence[tuple[int, Rule]]) -> DataFr
                     counts[j] += f.size
             if found:
                 at = pa.array(np.concatenate([x for _, f, _ in found for x in ([p.row for p in f.pieces], f.rows)]).astype(np.int64))
-                yield _batch_of(found, n_steps, keys, [b.column(k).take(at) for k in keys], chunk)
+                yield _batch_of(found, n_steps, timed, keys, [b.column(k).take(at) for k in keys], chunk)
         if matchers is not None:
             found = [(plan.rule_ix[j], f, counts[j]) for j, m in enumerate(matchers) if (f := m.open_piece()).size]
             if found:
                 key_cols = [pa.array([last[i]] * len(found), pa.string()) for i in range(len(keys))]
-                yield _batch_of(found, n_steps, keys, key_cols, chunk)
+                yield _batch_of(found, n_steps, timed, keys, key_cols, chunk)
 
-    pieces = layout.df.mapInArrow(scan, _piece_schema(keys))
-    out = ["rule_ix", *keys, "chunk", "pos", "ids", "ts"]
+    pieces = written(layout.df.mapInArrow(scan, _piece_schema(keys)))
+    out = ["rule_ix", *keys, "chunk", "pos", "ids", "gap_ns"]
     if layout.runs <= 1:
         return pieces.filter("whole").select(*out)
     # Each rule leaves at most one open occurrence per run, so the pieces to join are few.
     length = F.create_map(*[F.lit(x) for kv in n_steps.items() for x in kv])
+    last = F.element_at("parts", -1)
     joined = (
         pieces.filter(~F.col("whole"))
         .groupBy("rule_ix", *keys, "occ")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("step0", "chunk", "pos", "ids", "ts"))).alias("parts"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("step0", "chunk", "pos", "ids"))).alias("parts"))
         .select(
             "rule_ix",
             *keys,
-            F.element_at("parts", -1)["chunk"].alias("chunk"),
-            F.element_at("parts", -1)["pos"].alias("pos"),
+            last["chunk"].alias("chunk"),
+            last["pos"].alias("pos"),
             F.flatten(F.col("parts.ids")).alias("ids"),
-            F.flatten(F.col("parts.ts")).alias("ts"),
+            F.lit(None).cast("bigint").alias("gap_ns"),
         )
         .filter(F.size("ids") == F.element_at(length, F.col("rule_ix")))
     )
@@ -286,7 +297,8 @@ def match_layout(layout: Layout, numbered: Sequence[tuple[int, Rule]]) -> DataFr
 def match_rules(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Occurrences of all sequence, field and temporal rules.
 
-    Columns: rule_ix, scope, bucket (map of match field to value), chunk, pos, ids, ts.
+    Columns: rule_ix, scope, bucket (map of match field to value), chunk, pos, ids, gap_ns (temporal rules: the
+    widest step).
     """
     parts = []
     for numbered in group_rules(rules):
@@ -298,7 +310,7 @@ def match_rules(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             if slots
             else F.create_map().cast("map<string,string>")
         )
-        parts.append(found.select("rule_ix", "scope", bucket.alias("bucket"), "chunk", "pos", "ids", "ts"))
+        parts.append(found.select("rule_ix", "scope", bucket.alias("bucket"), "chunk", "pos", "ids", "gap_ns"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -334,8 +346,7 @@ def match_temporal(
 
 
 def occurrence_steps(occurrences: DataFrame) -> DataFrame:
-    """One row per event of an occurrence: rule_ix, scope, first_id, step, id, ts_ns."""
-    pairs = F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("ts").alias("ts_ns"))).alias("step", "e")
-    return occurrences.select("rule_ix", "scope", F.element_at("ids", 1).alias("first_id"), pairs).select(
-        "rule_ix", "scope", "first_id", "step", F.col("e.id").alias("id"), F.col("e.ts_ns").alias("ts_ns")
+    """One row per event of an occurrence: rule_ix, scope, bucket, first_id, step, id."""
+    return occurrences.select(
+        "rule_ix", "scope", "bucket", F.element_at("ids", 1).alias("first_id"), F.posexplode("ids").alias("step", "id")
     )

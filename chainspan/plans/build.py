@@ -15,7 +15,6 @@ from chainspan.operators.lineage import match_lineage, match_lineages
 from chainspan.operators.matching import group_rules, match_rules, scope_column
 from chainspan.operators.query import EventFilter, filter_events
 from chainspan.plans.rules import Rule, rules_frame, small_table
-from chainspan.session import durable
 
 _LINEAGE_SLOTS = ("process_id", "new_process_id", "parent_process_id", "process_name")
 
@@ -95,8 +94,7 @@ def _build(events, prepared, rules, graphs, previous, limit) -> Build:
     parts: list[DataFrame] = []
     counters: dict[str, dict] = {}
     if stepwise:
-        # Occurrences are written once; counts and edges are both read from that copy.
-        found = durable(match_rules(prepared, stepwise))
+        found = match_rules(prepared, stepwise)
         kept, totals = cap_matches(found, events, stepwise, limit)
         parts.append(emit_edges(kept, stepwise))
         for r, n in zip(stepwise, totals):
@@ -202,7 +200,7 @@ def dry_run(
         edges, counters = match_lineage(prepared, rule, limit)
         order = _lineage_order(edges, events, rule)
     else:
-        found = durable(match_rules(prepared, [rule]))
+        found = match_rules(prepared, [rule])
         kept, (n,) = cap_matches(found, events, [rule], limit)
         m = min(n, limit)
         counters = {"matches": m, "dropped": n - m, "unresolved": 0, "relations": m * (len(rule.sequence) - 1)}

@@ -53,6 +53,22 @@ def duration_ns(text: str) -> int:
     return sign * int(sum(Fraction("0" + n.rstrip(".")) * DURATION_NS[u] for n, u in parts))
 
 
+def duration_text(ns: int) -> str:
+    """``300000000000`` -> ``5m0s``; the form of ``functions.duration_text``."""
+    if ns < 0:
+        return "-" + duration_text(-ns)
+    small = next(((unit, size) for unit, size in (("ns", 1), ("µs", 1_000), ("ms", 1_000_000)) if ns < size * 1_000), None)
+    if ns == 0 or small is None:
+        minutes, rest = divmod(ns, 60_000_000_000)
+        hours, minutes = divmod(minutes, 60)
+        seconds = f"{rest // 1_000_000_000}.{rest % 1_000_000_000:09d}".rstrip("0").rstrip(".") + "s"
+        return (f"{hours}h" if hours else "") + (f"{minutes}m" if hours or minutes else "") + seconds
+    unit, size = small
+    width = len(str(size)) - 1
+    fraction = f".{ns % size:0{width}d}".rstrip("0").rstrip(".") if width else ""
+    return f"{ns // size}{fraction}{unit}"
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -144,7 +160,7 @@ class Rule:
 RULE_FRAME_SCHEMA = (
     "rule_ix int, rule_id string, name string, algorithm string, relation_type string, labels array<string>, "
     "match_fields array<string>, channels array<string>, step_codes array<string>, sequence array<string>, "
-    "within_ns bigint, enabled boolean"
+    "within_text string, enabled boolean"
 )
 
 
@@ -168,7 +184,7 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
             "channels": r.channels,
             "step_codes": r.step_codes,
             "sequence": r.sequence,
-            "within_ns": r.within_ns if r.algorithm == "temporal" else None,
+            "within_text": duration_text(r.within_ns) if r.algorithm == "temporal" else None,
             "enabled": r.enabled,
         }
         for i, r in enumerate(rules)
