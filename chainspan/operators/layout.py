@@ -25,9 +25,16 @@ from pyspark.sql import types as T
 from chainspan.session import durable, ship_package
 
 
+# Rows per stored block: large enough that a pass pays per block, small enough to hold a few in a worker.
+BLOCK_ROWS = 65_536
+
+Batches = Iterator[pa.RecordBatch]
+
+
 @dataclass(frozen=True)
 class Layout:
-    df: DataFrame  # keys, order columns, carried columns, chunk; sorted inside each partition
+    df: DataFrame  # (chunk, rows, block): the sorted rows of each run as Arrow blocks, in order
+    schema: T.StructType  # columns inside the blocks: keys, order columns, carried columns, chunk
     keys: tuple[str, ...]
     order: tuple[str, ...]
 
@@ -35,6 +42,48 @@ class Layout:
     def runs(self) -> int:
         return self.df.rdd.getNumPartitions()
 
+    def scan(self, walk: Callable[[Batches], Batches], schema, chunks: list[int] | None = None) -> DataFrame:
+        """Run ``walk`` over the ordered batches of every run (or of the named ones), one task per run."""
+        df = self.df if chunks is None else self.df.filter(F.col("chunk").isin(chunks))
+        return df.mapInArrow(_over_blocks(walk), schema)
+
+
+def _over_blocks(walk: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    def unpacked(stored: Batches) -> Batches:
+        for b in stored:
+            for block in b.column("block"):
+                with pa.ipc.open_stream(block.as_buffer()) as blocks:
+                    yield from blocks
+
+    return lambda stored: walk(unpacked(stored))
+
+
+def _into_blocks(batches: Batches) -> Batches:
+    """Sorted rows to blocks. A pass over blocks hands Python whole buffers instead of converting row by row."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, whole[0].schema) as out:
+            for b in whole:
+                out.write_batch(b)
+        rows = sum(b.num_rows for b in held)
+        chunk = held[0].column("chunk")[0].as_py()
+        held.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int32()), pa.array([rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()])],
+            names=["chunk", "rows", "block"],
+        )
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= BLOCK_ROWS:
+            yield flush()
+    if held:
+        yield flush()
+
 
 def ordered_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = ()) -> Layout:
     """Range-partition and sort ``df`` by keys then order, keep only the named columns, number the runs.
@@ -50,7 +99,8 @@ def ordered_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str], car
         .sortWithinPartitions(*by)
         .withColumn("chunk", F.spark_partition_id())
     )
-    return Layout(durable(out), tuple(keys), tuple(order))
+    blocks = out.mapInArrow(_into_blocks, "chunk int, rows bigint, block binary")
+    return Layout(durable(blocks), out.schema, tuple(keys), tuple(order))
 
 
 def bucket_starts(batch: pa.RecordBatch, keys: Sequence[str], previous: tuple | None) -> np.ndarray:
@@ -94,7 +144,7 @@ def collect_seams(layout: Layout, make: Callable[[], "Tail"], chunks: list[int]
     """
     keys, order = layout.keys, layout.order
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Batches) -> Batches:
         tail, chunk, first, last, first_order, single = make(), None, None, None, None, True
         for b in batches:
             if b.num_rows == 0:
@@ -121,8 +171,7 @@ def collect_seams(layout: Layout, make: Callable[[], "Tail"], chunks: list[int]
                 arrays, names=["chunk", "first_keys", "last_keys", "single", "first_order", "summary"]
             )
 
-    df = layout.df if chunks is None else layout.df.filter(F.col("chunk").isin(chunks))
-    rows = df.mapInArrow(scan, SEAM_SCHEMA).collect()
+    rows = layout.scan(scan, SEAM_SCHEMA, chunks).collect()
     out = [
         Seam(
             r.chunk,
@@ -159,9 +208,9 @@ def neighbours(layout: Layout, columns: Sequence[str], offset: int = 1) -> DataF
         raise ValueError("offset must be -1 or 1")
     keys, forward = layout.keys, offset == 1
     suffix = "_next" if forward else "_prev"
-    fields = {f.name: f for f in layout.df.schema.fields}
+    fields = {f.name: f for f in layout.schema.fields}
     extra = [T.StructField(c + suffix, fields[c].dataType, True) for c in columns]
-    schema = T.StructType([*layout.df.schema.fields, *extra])
+    schema = T.StructType([*layout.schema.fields, *extra])
     edge_rows = _edge_rows(layout, columns, first=forward) if layout.runs > 1 else {}
     seam: dict[int, tuple] = {}
     chunks = sorted(edge_rows)
@@ -174,7 +223,7 @@ def neighbours(layout: Layout, columns: Sequence[str], offset: int = 1) -> DataF
     def emit(rows: pa.RecordBatch, other: list[pa.Array]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*rows.columns, *other], names=names)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Batches) -> Batches:
         # One batch is held back so that its last row can see the first row of the next one.
         held: pa.RecordBatch | None = None
         before: tuple | None = None  # keys and values of the row before ``held``
@@ -196,7 +245,7 @@ def neighbours(layout: Layout, columns: Sequence[str], offset: int = 1) -> DataF
             after = seam.get(c) if forward else None
             yield emit(held, _shifted(held, keys, columns, forward, before, after))
 
-    return layout.df.mapInArrow(scan, schema)
+    return layout.scan(scan, schema)
 
 
 def _shifted(b, keys, columns, forward, before, after) -> list[pa.Array]:
@@ -228,10 +277,13 @@ def _shifted(b, keys, columns, forward, before, after) -> list[pa.Array]:
 def _edge_rows(layout: Layout, columns: Sequence[str], first: bool) -> dict[int, tuple]:
     """The first (or last) row of every run: one row per partition."""
     keys = layout.keys
-    schema = layout.df.select("chunk", *keys, *[F.col(c).alias("v_" + c) for c in columns]).schema
+    fields = {f.name: f for f in layout.schema.fields}
+    schema = T.StructType(
+        [fields[c] for c in ("chunk", *keys)] + [T.StructField("v_" + c, fields[c].dataType, True) for c in columns]
+    )
     names = schema.names
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Batches) -> Batches:
         row = None
         for b in batches:
             if b.num_rows == 0 or (first and row is not None):
@@ -242,7 +294,7 @@ def _edge_rows(layout: Layout, columns: Sequence[str], first: bool) -> dict[int,
             yield pa.RecordBatch.from_arrays(row, names=names)
 
     out = {}
-    for r in layout.df.mapInArrow(scan, schema).collect():
+    for r in layout.scan(scan, schema).collect():
         out[r[0]] = (tuple(r[1 : 1 + len(keys)]), tuple(r[1 + len(keys) :]))
     return out
 
@@ -252,17 +304,28 @@ def running_position(layout: Layout, weight: str | None = None) -> DataFrame:
 
     Equal to a running sum over one global window, but only the per-run totals are ever brought together.
     """
-    schema = T.StructType([*layout.df.schema.fields, T.StructField("position", T.LongType())])
+    schema = T.StructType([*layout.schema.fields, T.StructField("position", T.LongType())])
     names = schema.names
     before: dict[int, int] = {}
+
+    def _weigh(batches: Batches) -> Batches:
+        for b in batches:
+            n = pc.sum(b.column(weight)).as_py() or 0
+            yield pa.RecordBatch.from_arrays(
+                [b.column("chunk").slice(0, 1), pa.array([n], pa.int64())], names=["chunk", "n"]
+            )
+
     if layout.runs > 1:
-        amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+        if weight is None:
+            sums = layout.df.groupBy("chunk").agg(F.sum("rows").alias("n"))
+        else:
+            sums = layout.scan(_weigh, "chunk int, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
         total = 0
-        for r in sorted(layout.df.groupBy("chunk").agg(amount.alias("n")).collect(), key=lambda r: r.chunk):
+        for r in sorted(sums.collect(), key=lambda r: r.chunk):
             before[r.chunk] = total
             total += r.n
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Batches) -> Batches:
         seen = None
         for b in batches:
             if b.num_rows == 0:
@@ -277,4 +340,4 @@ def running_position(layout: Layout, weight: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - w, pa.int64())], names=names)
             seen = int(ends[-1])
 
-    return layout.df.mapInArrow(scan, schema)
+    return layout.scan(scan, schema)

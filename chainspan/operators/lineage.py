@@ -140,7 +140,7 @@ def _resolve(layout: Layout) -> DataFrame:
                 alive = None
             last_keys = keys_at(b, keys, n - 1)
 
-    return layout.df.mapInArrow(scan, _RESOLVED)
+    return layout.scan(scan, _RESOLVED)
 
 
 def resolve_parents(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:

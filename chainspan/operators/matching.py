@@ -270,7 +270,7 @@ def match_layout(layout: Layout, numbered: Sequence[tuple[int, Rule]]) -> DataFr
                 key_cols = [pa.array([last[i]] * len(found), pa.string()) for i in range(len(keys))]
                 yield _batch_of(found, n_steps, timed, keys, key_cols, chunk)
 
-    pieces = written(layout.df.mapInArrow(scan, _piece_schema(keys)))
+    pieces = written(layout.scan(scan, _piece_schema(keys)))
     out = ["rule_ix", *keys, "chunk", "pos", "ids", "gap_ns"]
     if layout.runs <= 1:
         return pieces.filter("whole").select(*out)

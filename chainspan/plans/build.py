@@ -64,12 +64,13 @@ def build(
     graphs: DataFrame | None = None,
     previous: DataFrame | None = None,
     limit: int = model.MAX_MATCHES,
-    cache: bool = True,
+    cache: bool = False,
 ) -> Build:
     """Edges, per-rule outcomes and the graph table after running ``rules``.
 
-    The prepared events are read once and kept; rules that share a scope and match fields share one shuffle and one
-    pass as well. ``previous`` (the edge table before this run) only feeds the ``removed`` counts: a rule's edges
+    Rules that share a scope and match fields share one shuffle and one pass; lineage rules share another. With
+    ``cache`` the narrowed events are kept between the passes: worth it when ``events`` is costly to produce, not for
+    a columnar table, whose few columns are cheaper to read again. ``previous`` (the edge table before this run) only feeds the ``removed`` counts: a rule's edges
     replace what its graph held. Undated events are only counted, so ``flt`` always lets them pass.
     """
     rules = list(rules)
