@@ -21,7 +21,7 @@ from chainspan.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-COPIES = int(os.environ.get("BENCH_COPIES", "100"))
+COPIES = int(os.environ.get("BENCH_COPIES", "20"))
 
 CODES = ("click", "error", "purchase", "signup", "view")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chainspan import model
 from chainspan.catalog.frames import BUYS, CANON, RULES, SESSION, WITH_CANON, canon, pair_sql, table
 from chainspan.catalog.registry import query
+from chainspan.functions.times import epoch_ns
 from chainspan.operators import edges as e
 from chainspan.operators import lineage
 from chainspan.operators.layout import neighbours, ordered_layout
@@ -351,7 +352,7 @@ def equal_times(spark, sf):
     ev = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderstatus").alias("event_code"),
-        (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("ts_ns"),
+        epoch_ns(F.col("o_orderdate")).alias("ts_ns"),
         (F.col("o_custkey") % 10).cast("string").alias("computer"),
         *[F.lit(None).cast("string").alias(s) for s in model.SLOTS],
     )

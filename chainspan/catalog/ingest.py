@@ -16,6 +16,7 @@ from chainspan.functions import (
     image_basename,
     truncate_bytes,
 )
+from chainspan.functions.times import whole_div
 from chainspan.operators import identity, slots
 from chainspan.operators.query import event_detail
 from chainspan.sources import export, tables
@@ -55,11 +56,11 @@ def _time_texts(spark, sf):
     """Each event's time written in one of eight ways."""
     ev = table(spark, sf, "events")
     way = F.col("event_id") % 8
-    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
+    ns = epoch_ns(F.col("ts"))
     fmt = lambda p: F.date_format("ts", p)
     text = (
-        F.when(way == 0, secs.cast("string"))
-        .when(way == 1, F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
+        F.when(way == 0, whole_div(ns, 1_000_000_000).cast("string"))
+        .when(way == 1, whole_div(ns, 1_000_000).cast("string"))
         .when(way == 2, F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
         .when(way == 3, F.concat(F.lit("  "), fmt("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("789")))
         .when(way == 4, fmt("yyyy-MM-dd HH:mm:ss"))
