@@ -46,7 +46,7 @@ def mixed_rules(n: int) -> list[Rule]:
 def enlarged(events, copies: int):
     """``copies`` shifted copies: later by a month each, on other computers, under other ids."""
     shift = F.col("c")
-    wide = events.join(F.broadcast(events.sparkSession.range(copies).withColumnRenamed("id", "c")), how="cross")
+    wide = events.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
     return wide.select(
         (F.col("id") + shift * 10_000_000).alias("id"),
         "event_code",
@@ -76,7 +76,10 @@ def main() -> None:
 
     ev = stored(frames.canon(spark, SF_DIR), "events")
     n = ev.count()
-    build(ev.limit(2000), mixed_rules(4))  # starts the Python workers
+    warm = ev.limit(2000)
+    out = build(warm, mixed_rules(5))  # starts the Python workers
+    out.outcomes.collect()
+    out.edges.count()
 
     run = lambda df: df.write.format("noop").mode("overwrite").save()
 

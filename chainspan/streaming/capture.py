@@ -82,23 +82,35 @@ def captured_events(spark: SparkSession, tables: str) -> DataFrame:
     return fold_observations(seen).select("row.*", "dedup_count", "source_counts")
 
 
+def _per_source(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("hash_normalized", "_source").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+
+
 def fold_observations(seen: DataFrame) -> DataFrame:
-    per_source = seen.groupBy("hash_normalized", "_source").agg(
-        F.sum("_n").alias("_n"), F.min_by("row", "_first").alias("row"), F.min("_first").alias("_first")
-    )
-    return per_source.groupBy("hash_normalized").agg(
-        F.min_by("row", "_first").alias("row"),
-        F.sum("_n").alias("dedup_count"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_source", "_n")))).alias("source_counts"),
+    """Counts per identity, and its first row. Only hashes and counts are aggregated; the wide first rows are then
+    fetched by their place in the stream, which is unique."""
+    counts = (
+        _per_source(seen)
+        .groupBy("hash_normalized")
+        .agg(
+            F.min("_first").alias("_first"),
+            F.sum("_n").alias("dedup_count"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("_source", "_n")))).alias("source_counts"),
+        )
     )
+    return _fetch_rows(seen, counts)
+
+
+def _fetch_rows(seen: DataFrame, counts: DataFrame) -> DataFrame:
+    place = lambda df: df.withColumn("_b", F.col("_first.batch")).withColumn("_s", F.col("_first.seq"))
+    rows = place(seen).select("_b", "_s", "row")
+    return place(counts).join(rows, ["_b", "_s"]).drop("_b", "_s")
 
 
 def compact(spark: SparkSession, tables: str, target: str) -> None:
     """Fold all observation folders into one under ``target``, as a table captures can be added to again."""
     seen = spark.read.parquet(f"{tables}/observations").drop("batch")
-    folded = seen.groupBy("hash_normalized", "_source").agg(
-        F.sum("_n").alias("_n"), F.min_by("row", "_first").alias("row"), F.min("_first").alias("_first")
-    )
+    folded = _fetch_rows(seen, _per_source(seen))
     folded.write.mode("overwrite").parquet(f"{target}/observations/batch=-1")
 
 
