@@ -67,14 +67,17 @@ k AS (
 m AS (
   SELECT page_id, pattern, valid_from, valid_to, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern DESC, valid_from DESC) AS r
   FROM k JOIN i USING (pattern) WHERE valid_from <= d AND (valid_to IS NULL OR d < valid_to))
-SELECT p.page_id, p.url, p.fetched_at, m.pattern IS NOT NULL AS blocked, m.pattern, m.valid_from, m.valid_to
+SELECT p.page_id, p.url, strftime(p.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, m.pattern IS NOT NULL AS blocked, m.pattern,
+  strftime(m.valid_from, '%Y-%m-%d') AS valid_from, strftime(m.valid_to, '%Y-%m-%d') AS valid_to
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1
 """
 
 
 @query("op4_url_filter", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(captures(spark, sf_dir), urls.intervals(list_entries(spark, sf_dir)))
+    found = urls.judge(captures(spark, sf_dir), urls.intervals(list_entries(spark, sf_dir)))
+    days = {c: F.date_format(c, "yyyy-MM-dd") for c in ("valid_from", "valid_to")}
+    return found.withColumns({"fetched_at": F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"), **days})
 
 
 @query("op5_mixing")
