@@ -18,7 +18,7 @@ from chainspan.llm.common import n_words
 from chainspan.session import written
 
 #: Rows a key range is meant to hold.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
