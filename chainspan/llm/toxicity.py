@@ -35,6 +35,7 @@ TABLE_BITS = 18
 PREFIXES = (4, 5, 6, 8, None)
 LEAST_DOCS = 4
 LIFT = 4.0
+PURE = 25.0
 #: Tokens whose scores a worker remembers.
 REMEMBERED = 300_000
 _LETTERS = bytes(i if i >= 0x80 or 97 <= i <= 122 else 32 for i in range(256))
@@ -169,7 +170,8 @@ def toxic_words(ids: np.ndarray, doc: np.ndarray, places: np.ndarray, y: np.ndar
 
     The word or beginning that explains the most toxic documents not yet explained is taken, again and again, so what
     merely stands beside a toxic word, as in copies of one text, is not. It must be ``LIFT`` times as frequent in toxic
-    documents, and explain more of them than chance would for any of the features.
+    documents, and occur in more of them than chance would let any feature; unless it is ``PURE`` times as frequent it
+    must also explain that many of them by itself.
     """
     size = 1 << TABLE_BITS
     chosen = np.zeros(len(places), bool)
@@ -183,14 +185,18 @@ def toxic_words(ids: np.ndarray, doc: np.ndarray, places: np.ndarray, y: np.ndar
     neg = np.bincount(f[y[of] == 0], minlength=size * len(PREFIXES))
     least = np.log(100.0 * np.count_nonzero(np.bincount(f))) / np.log((n0 + n1) / n1)
     f, of = f[y[of] == 1], of[y[of] == 1]
-    lift = np.maximum(np.bincount(f, minlength=size * len(PREFIXES)), 1) / n1 / ((neg + 0.5) / n0)
-    worth = np.where(lift >= LIFT, np.log(lift), 0.0)
+    every = np.bincount(f, minlength=size * len(PREFIXES))
+    lift = np.maximum(every, 1) / n1 / ((neg + 0.5) / n0)
+    worth = np.where((lift >= LIFT) & (every >= max(LEAST_DOCS, least)), np.log(lift), 0.0)
+    # Enough documents left to explain, or a pure feature that explains some at least.
+    needed = np.where(lift >= PURE, 2, max(LEAST_DOCS, least))
     keep = worth[f] > 0
     f, of = f[keep], of[keep]
     while len(f):
         pos = np.bincount(f, minlength=size * len(PREFIXES))
-        best = int((np.where(pos >= max(LEAST_DOCS, least), pos, 0) * worth).argmax())
-        if pos[best] < max(LEAST_DOCS, least):
+        gain = np.where(pos >= needed, pos, 0) * worth
+        best = int(gain.argmax())
+        if not gain[best]:
             break
         chosen |= places[:, best // size] == best % size
         left = ~np.isin(of, of[f == best])
