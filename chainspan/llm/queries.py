@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspan.llm import mixing, quality, simhash, toxicity, urls
+from chainspan.llm import html, mixing, quality, simhash, tokens, toxicity, urls
 from chainspan.llm.common import table
 from chainspan.llm.registry import query
 
@@ -92,8 +93,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+#: Where the public tokenizer lies that the token queries use.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_tokens")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.index(spark, tokens.write(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
