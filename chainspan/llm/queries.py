@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspan.llm import html, mixing, quality, simhash, tokens, toxicity, urls
+from chainspan.llm import html, mixing, quality, simhash, substrings, tokens, toxicity, urls
 from chainspan.llm.common import table
 from chainspan.llm.registry import query
 
@@ -112,3 +112,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_main_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_substrings")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.parsed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
