@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspan.llm import html, mixing, quality, simhash, substrings, tokens, toxicity, urls
+from chainspan.llm import html, jaccard, mixing, quality, simhash, substrings, tokens, toxicity, urls
 from chainspan.llm.common import table
 from chainspan.llm.registry import query
 
@@ -18,6 +18,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
