@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspan.llm import html, jaccard, mixing, quality, simhash, substrings, tokens, toxicity, urls
+from chainspan.llm import decontamination, html, jaccard, mixing, quality, simhash, substrings, tokens, toxicity, urls
 from chainspan.llm.common import table
 from chainspan.llm.registry import query
 
@@ -107,6 +107,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.index(spark, tokens.write(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
