@@ -3,8 +3,8 @@
 1. Documents with the same shingles are one node; copies are counted, never paired.
 2. A node's signature is cut into trees of ``DEPTH`` values. Each tree is sorted as a whole, by ranges of (tree, values,
    node), so a group of near copies spans as many tasks as it needs; neighbours in the order share the longest prefixes.
-3. Prefixes are shortened from ``DEPTH`` on until the share of similar pairs that the found ones stand for, each by the
-   chance that a pair of its likeness is met at that depth, reaches the target recall. Neighbours sharing that much whose
+3. Prefixes are shortened from ``DEPTH`` on until the pairs met make up the target share of all similar pairs, whose
+   number is estimated from those met at the shortest prefix, each by the chance that a pair of its likeness is. Neighbours sharing that much whose
    signatures do not rule out similarity are linked, and linked nodes form candidate groups.
 4. Within a candidate group all pairs are verified on the whole shingle sets. Large groups are cut into blocks and pairs
    of blocks are verified side by side; a block pair reports link counts and a spanning forest, never pairs.
@@ -134,11 +134,14 @@ def neighbours(nodes: DataFrame) -> DataFrame:
 
 
 def depth_for(counts: list[tuple[int, float, int]], recall: float) -> int:
-    """The longest prefix that meets ``recall``; counts are (depth met at, likeness, pairs) of pairs likely similar."""
+    """The longest prefix that meets ``recall``; counts are (depth met at, likeness, pairs) of pairs likely similar.
+
+    Each pair stands for as many as its chance to be met at the shortest prefix says.
+    """
+    stands_for = sum(n / (1 - (1 - s**SHORTEST) ** TREES) for _, s, n in counts)
     for d in range(DEPTH, SHORTEST, -1):
-        found = [(s, n) for at, s, n in counts if at >= d]
-        stands_for = sum(n / (1 - (1 - s**d) ** TREES) for s, n in found)
-        if found and sum(n for _, n in found) >= recall * stands_for:
+        found = sum(n for at, _, n in counts if at >= d)
+        if found and found >= recall * stands_for:
             return d
     return SHORTEST
 
