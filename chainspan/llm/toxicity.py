@@ -89,7 +89,7 @@ def forward_backward(e: np.ndarray, first: np.ndarray, move: np.ndarray, begin:
     x = np.zeros(count * size)
     x[:n] = np.clip(e, -25, 25)
     x = np.exp(x).reshape(count, size)
-    fresh = np.zeros(count * size, bool)
+    fresh = np.ones(count * size, bool)  # what fills the last block starts afresh and so says nothing
     fresh[:n] = first
     fresh = fresh.reshape(count, size)
     a, b = np.exp(move), np.exp(begin)
