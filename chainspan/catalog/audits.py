@@ -53,15 +53,14 @@ def upserted(spark, sf):
 
 @query(
     "normalize_tags",
-    """SELECT doc_id, array_to_string(list_sort(list_slice(list_distinct_ordered, 1, 32)), ';') AS tags FROM (
-         SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (
-           SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8203)))), lambda x: x <> '' AND strlen(x) <= 64) AS w
+    """SELECT doc_id, array_to_string(list_sort(list_distinct_ordered), ';') AS tags FROM (
+         SELECT doc_id, list_distinct(w) AS list_distinct_ordered FROM (
+           SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8203)))), lambda x: x <> '') AS w
            FROM documents))""",
 )
 def tags(spark, sf):
-    """The words of every document as its tags (words over 64 bytes are left to the unit test)."""
-    words = F.filter(F.split("text", " "), lambda w: F.octet_length(w) <= 64)
-    out = normalize_tags(words)
+    """The words of every document as its tags."""
+    out = normalize_tags(F.split("text", " "))
     return table(spark, sf, "documents").select("doc_id", F.array_join(out, ";").alias("tags"))
 
 
@@ -119,7 +118,8 @@ def anchors(spark, sf):
 
 
 _SNAP = (
-    WITH_EDGES
+    # Kept once each, so that no plan works them out again for every join.
+    WITH_EDGES.replace("canon AS (", "canon AS MATERIALIZED (", 1).replace("edges AS (", "edges AS MATERIALIZED (", 1)
     + """, snap_nodes AS (SELECT id, hash_normalized AS hash FROM canon WHERE ts_ns IS NOT NULL AND event_code <> 'click'),
   snap_edges AS (SELECT edge_id, a.hash AS from_hash, b.hash AS to_hash, relation_type, label FROM edges JOIN snap_nodes a ON a.id = src JOIN snap_nodes b ON b.id = dst WHERE graph_id = 1)"""
 )
@@ -143,7 +143,7 @@ def taken(spark, sf):
 
 
 _NOW_STATE = """, moved AS (SELECT CASE WHEN computer = 'HOST-7' THEN id + 1000000 ELSE id END AS id, hash_normalized FROM canon WHERE NOT (event_code = 'purchase' AND value > 60)),
-   live AS (SELECT hash_normalized AS hash, min(id) AS live_id FROM moved GROUP BY 1)"""
+   live AS MATERIALIZED (SELECT hash_normalized AS hash, min(id) AS live_id FROM moved GROUP BY 1)"""
 
 
 def _later(spark, sf):
@@ -171,9 +171,9 @@ _EDGE_PLAN = _SNAP + _NOW_STATE + """, p AS (SELECT s.edge_id, s.label, a.live_i
 @query(
     "restore_plan_edges",
     _EDGE_PLAN + """SELECT edge_id, CASE WHEN outcome <> 'unresolved' THEN ns END AS src, CASE WHEN outcome <> 'unresolved' THEN nd END AS dst, outcome,
-      CASE outcome WHEN 'applied' THEN '' WHEN 'recreatable' THEN 'the events are still here, but the link between them is not'
-        ELSE CASE WHEN ns IS NULL AND nd IS NULL THEN 'neither event is in the case any more' WHEN ns IS NULL THEN 'the source event is not in the case any more'
-        ELSE 'the target event is not in the case any more' END END AS reason FROM p""",
+      CASE outcome WHEN 'applied' THEN '' WHEN 'recreatable' THEN 'edge missing'
+        ELSE CASE WHEN ns IS NULL AND nd IS NULL THEN 'both ends missing' WHEN ns IS NULL THEN 'source missing'
+        ELSE 'target missing' END END AS reason FROM p""",
 )
 def plan_edges(spark, sf):
     n, e = _snapshot(spark, sf)
@@ -218,6 +218,30 @@ def snapshots(spark, sf):
     return s.list_snapshots(n.unionByName(n2), e.unionByName(e2))
 
 
+@query("reingested", _SNAP + _NOW_STATE + "SELECT CAST(count(*) > 0 AS INT) AS reingested FROM snap_nodes JOIN live USING (hash) WHERE live_id <> id")
+def came_back(spark, sf):
+    n, e = _snapshot(spark, sf)
+    plan, _ = s.restore_plan(n, e, _later(spark, sf), edges(spark, sf))
+    return s.reingested(plan).select(F.col("reingested").cast("int").alias("reingested"))
+
+
+@query(
+    "delete_snapshots",
+    _SNAP + """SELECT 'node' AS kind, 's2' AS snapshot_id, count(*) AS n FROM canon WHERE event_code = 'view' AND ts_ns IS NOT NULL
+      UNION ALL SELECT 'node of other graphs', 's1', count(*) FROM snap_nodes UNION ALL SELECT 'edge of other graphs', 's1', count(*) FROM snap_edges""",
+)
+def thinned(spark, sf):
+    """Two snapshots of two graphs: once the first is deleted, once all of the second one's graph."""
+    n, e = _snapshot(spark, sf)
+    ev = canon(spark, sf)
+    n2, e2 = s.take_snapshot(ev, edges(spark, sf), ev.filter("event_code = 'view' AND ts_ns IS NOT NULL"), 3, "s2", "later", NOW + 1)
+    n, e = n.unionByName(n2), e.unionByName(e2)
+    count = lambda df, kind: df.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "snapshot_id", "n")
+    kept = s.delete_snapshots(n, e, n.filter("snapshot_id = 's1'"))
+    others = s.delete_snapshots(n, e, graph_id=3)
+    return count(kept[0], "node").unionByName(count(others[0], "node of other graphs")).unionByName(count(others[1], "edge of other graphs"))
+
+
 @query(
     "inventory",
     WITH_CANON + """SELECT 'total' AS kind, 'events' AS name, count(*) AS n FROM canon UNION ALL SELECT 'total', 'undated', count(*) FROM canon WHERE ts_ns IS NULL
@@ -292,7 +316,7 @@ def _documents(spark, sf):
         .when(k == 5, F.concat(open_, seq, F.lit(', "algorithm": "temporal", "window_within": "10m", "window_total": "90s"}')))
         .when(k == 6, F.concat(open_, seq, F.lit(', "algorithm": "field", "match_fields": ["logon_id", "what", "logon_id"]}')))
         .when(k == 7, F.concat(F.lit('{"format_version": 99, "name": "'), code, F.lit('"}')))
-        .when(k == 8, F.concat(open_, F.lit(', "algorithm": "lineage", "lineage_depth": 99, "lineage_create_ids": ["a", " "]}')))
+        .when(k == 8, F.concat(open_, F.lit(', "algorithm": "lineage", "lineage_depth": -2, "lineage_create_ids": ["a", " "]}')))
         .otherwise(F.concat(open_, F.lit(', "sequence": "'), code, F.lit('"}')))
     )
     return table(spark, sf, "events").select(F.col("event_id").cast("string").alias("rule_id"), doc.alias("doc"))

@@ -175,13 +175,13 @@ def lineage_edges(spark, sf):
     "lineage_ancestors",
     _LIFE + """, walk(child, cur, d) AS (
         SELECT child, p, 0 FROM resolved WHERE p IS NOT NULL
-        UNION ALL SELECT w.child, r.p, w.d + 1 FROM walk w JOIN resolved r ON r.child = w.cur WHERE r.p IS NOT NULL AND w.d < 5)
+        UNION ALL SELECT w.child, r.p, w.d + 1 FROM walk w JOIN resolved r ON r.child = w.cur WHERE r.p IS NOT NULL AND w.d < 20)
       SELECT cur AS src, child AS dst, d AS step_index, CAST(CASE WHEN d = 0 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence FROM walk""",
 )
 def ancestors(spark, sf):
     from dataclasses import replace
 
-    found, _ = lineage.match_lineage(canon(spark, sf), replace(TREE, lineage_depth=5))
+    found, _ = lineage.match_lineage(canon(spark, sf), replace(TREE, lineage_depth=20))
     return found.select("src", "dst", "step_index", "confidence")
 
 
@@ -235,7 +235,7 @@ def bases(spark, sf):
 )
 def capped(spark, sf):
     ev = canon(spark, sf)
-    kept, _ = e.cap_matches(match_rules(ev, [BUYS]), ev, [BUYS], 100)
+    kept, _ = e.first_matches(match_rules(ev, [BUYS]), ev, [BUYS], 100)
     return _chain(kept)
 
 
@@ -249,7 +249,7 @@ def capped(spark, sf):
 def capped_buckets(spark, sf):
     """With shared fields, matches count by bucket, in the order the buckets first appear."""
     ev = canon(spark, sf)
-    kept, _ = e.cap_matches(match_rules(ev, [SESSION]), ev, [SESSION], 150)
+    kept, _ = e.first_matches(match_rules(ev, [SESSION]), ev, [SESSION], 150)
     return _chain(kept)
 
 
@@ -309,7 +309,7 @@ def dry(spark, sf):
 
 @query(
     "dry_run_counts",
-    WITH_CANON + f"""SELECT count(*) AS relations, count(*) AS matches, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS unresolved,
+    WITH_CANON + f"""SELECT count(*) AS relations, count(*) AS matches, CAST(0 AS BIGINT) AS unresolved,
         (SELECT count(*) FROM canon WHERE ts_ns IS NULL) AS skipped_undated,
         (SELECT count(*) FROM canon WHERE ts_ns IS NOT NULL AND logon_id IS NULL) AS skipped_no_keys,
         (SELECT count(*) FROM canon WHERE ts_ns IS NOT NULL AND corr_version <> 2) AS stale_keys
@@ -320,6 +320,37 @@ def dry_counts(spark, sf):
     return counts
 
 
+def _handovers(events, rule):
+    """A matcher of its own kind: two events of the rule's codes on one computer within the same minute."""
+    first, second = rule.sequence
+    at = lambda code, name: events.filter((F.col("event_code") == code) & F.col("ts_ns").isNotNull()).select(
+        "computer", F.call_function("div", F.col("ts_ns"), F.lit(60_000_000_000)).alias("minute"), F.col("id").alias(name)
+    )
+    pairs = at(first, "src").join(at(second, "dst"), ["computer", "minute"])
+    match = e.match_id(F.col("src"), F.col("dst"), F.lit(2))
+    edges = pairs.select(
+        e.edge_id(F.lit(rule.rule_id), match, F.lit(0)).alias("edge_id"), "src", "dst", F.lit(None).cast("bigint").alias("graph_id"),
+        F.lit(rule.relation_type).alias("relation_type"), F.lit("").alias("label"), F.lit(1.0).alias("confidence"), F.lit("system").alias("created_by"),
+        F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.algorithm).alias("algorithm"), match.alias("match_id"), F.lit(0).alias("step_index"),
+        F.array().cast("array<string>").alias("basis"), F.lit(model.RELATION_VERSION).alias("rel_version"),
+    )
+    n = edges.count()
+    return edges, {"matches": n, "unresolved": 0, "relations": n}
+
+
+@query(
+    "register_matcher",
+    WITH_CANON + f""", h AS (SELECT a.id AS src, b.id AS dst FROM canon a JOIN canon b ON a.computer = b.computer AND a.ts_ns // 60000000000 = b.ts_ns // 60000000000
+        WHERE a.event_code = 'view' AND b.event_code = 'signup')
+      SELECT 'handover' AS rule_id, count(*) AS edges, sum(src) AS srcs, sum(dst) AS dsts FROM h HAVING count(*) > 0
+      UNION ALL SELECT 'error-then-purchase', count(*), sum(src), sum(dst) FROM ({pair_sql('error', 'purchase')})""",
+)
+def registered(spark, sf):
+    b.register_matcher("handover", _handovers)
+    out = b.build(canon(spark, sf), [BUYS, Rule("Handover", ("view", "signup"), "handover")])
+    return out.edges.groupBy("rule_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("src").alias("srcs"), F.sum("dst").alias("dsts"))
+
+
 # The shared events know five codes. Each stands for the built-in rules' codes by their number modulo five.
 _STAND_IN = ("click", "error", "purchase", "signup", "view")
 

@@ -75,7 +75,7 @@ def adjacent(spark, sf):
       FROM edges e JOIN canon a ON a.id = src JOIN canon b ON b.id = dst LEFT JOIN graphs gr USING (graph_id)""",
 )
 def inspected(spark, sf):
-    out = g.inspect_edges(edges(spark, sf), canon(spark, sf), graphs(spark))
+    out = g.inspect_edges(edges(spark, sf), canon(spark, sf), graphs(spark), edges(spark, sf))
     return out.select(
         "edge_id", "from_code", "from_computer", "to_code", "to_ts_ns", "graph_name",
         F.array_join("siblings", ";").alias("siblings"), F.col("recorded").cast("int").alias("recorded"),

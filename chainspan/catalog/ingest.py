@@ -16,7 +16,7 @@ from chainspan.functions import (
     image_basename,
     truncate_bytes,
 )
-from chainspan.functions.times import whole_div
+from chainspan.functions.times import filetime_problem, whole_div
 from chainspan.operators import identity, slots
 from chainspan.operators.query import event_detail
 from chainspan.sources import export, tables
@@ -92,14 +92,14 @@ def coerce_timestamps(spark, sf):
     f"""SELECT coalesce(reason, 'good') AS reason, provider, count(*) AS n, sum(id) AS ids FROM (
           SELECT event_id AS id, 'P-' || CAST({_K} % 5 AS VARCHAR) AS provider,
             CASE WHEN {_K} % 10 = 1 THEN 'empty timestamp' WHEN {_K} % 10 = 2 THEN 'unrecognized timestamp'
-                 WHEN {_K} % 10 = 3 THEN 'empty event id' END AS reason
+                 WHEN {_K} % 10 = 3 THEN 'empty event id' WHEN {_K} % 10 IN (4, 5) THEN 'time out of range' END AS reason
           FROM events) GROUP BY ALL""",
 )
 def quarantined(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     raw = table(spark, sf, "events").select(
         F.when(k % 10 == 3, "  ").otherwise(F.col("event_type")).alias("event_id"),
-        F.when(k % 10 == 1, " ").when(k % 10 == 2, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),
+        F.when(k % 10 == 1, " ").when(k % 10 == 2, "soon").when(k % 10 == 4, "1601-01-01 00:00:00").when(k % 10 == 5, "9999-12-31T23:59:59Z").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),
         F.concat(F.lit("P-"), (k % 5).cast("string")).alias("provider"),
         F.lit("c").alias("channel"),
         F.lit("h").alias("computer"),
@@ -187,14 +187,17 @@ def _joined(fields: str):
 
 @query(
     "flatten_payload",
-    f"""SELECT event_id AS id, 'a.k=' || {_K} || ';a.o.t=' || event_type || ';a.o.x=' || ';l=[' || user_id || ',"z"]' || ';ok=true'
+    f"""SELECT event_id AS id, 'a.k=' || {_K} || ';a.o.t=' || event_type || ';a.o.x=' ||
+          CASE WHEN event_id % 3 = 0 THEN ';d.e.f.g.h.i=' || user_id || ';d.e.f.g.n=end' ELSE '' END || ';l=[' || user_id || ',"z"]' || ';ok=true'
           AS fields FROM events""",
 )
 def flattened(spark, sf):
     k = F.get_json_object("props", "$.k")
     doc = F.concat(
         F.lit('{"ok": true, "a": {"k": '), k, F.lit(', "o": {"t": "'), F.col("event_type"),
-        F.lit('", "x": null}}, "l": ['), F.col("user_id").cast("string"), F.lit(', "z"]}'),
+        F.lit('", "x": null}}, "a.k": '), k,
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "d": {"e": {"f": {"g": {"h": {"i": '), F.col("user_id").cast("string"), F.lit('}, "n": "end"}}}}'))).otherwise(F.lit("")),
+        F.lit(', "l": ['), F.col("user_id").cast("string"), F.lit(', "z"]}'),
     )
     flat = table(spark, sf, "events").select(F.col("event_id").alias("id"), flatten_payload(doc).alias("fields"))
     return flat.select("id", _joined("fields"))
@@ -206,6 +209,17 @@ def filetime(spark, sf):
     return canon(spark, sf).select("id", ticks.alias("ft")).select("id", filetime_to_ns(F.col("ft")).alias("ts_ns"))
 
 
+@query(
+    "filetime_problem",
+    WITH_CANON + "SELECT id, CASE WHEN id % 7 IN (1, 2) THEN 'time out of range' ELSE '' END AS problem FROM canon",
+)
+def filetime_problems(spark, sf):
+    """Ticks of 1601 and of the far future have no time and say so; zero has none and is fine."""
+    ticks = F.when(F.col("id") % 7 == 0, 0).when(F.col("id") % 7 == 1, 1).when(F.col("id") % 7 == 2, 9_000_000_000_000_000_000)
+    ticks = ticks.otherwise(F.coalesce(F.call_function("div", F.col("ts_ns"), F.lit(100)) + 116_444_736_000_000_000, F.lit(0)))
+    return canon(spark, sf).select("id", F.coalesce(filetime_problem(ticks), F.lit("")).alias("problem"))
+
+
 @query(
     "stamp_source",
     "SELECT event_id AS id, 'file' AS source_type, 'events.parquet' AS source_identifier FROM events",
@@ -334,9 +348,7 @@ _SLOT_SQL = f"""SELECT event_id AS id,
    CASE WHEN {_K} % 3 <> 0 AND user_id <> 0 THEN '0x' || lower(to_hex(user_id)) END AS process_id,
    CAST(NULL AS VARCHAR) AS new_process_id, CAST(NULL AS VARCHAR) AS parent_process_id,
    event_type || '.exe' AS process_name,
-   CASE WHEN {_K} % 5 = 0 THEN 'fallback' ELSE (
-     SELECT left(x, CAST(list_max(list_filter(range(0, 33), lambda n: strlen(left(x, n)) <= 32)) AS BIGINT))
-     FROM (SELECT 'usér-with-a-näme-löng-enough-' || user_id AS x)) END AS target_user,
+   CASE WHEN {_K} % 5 = 0 THEN 'fallback' ELSE 'usér-with-a-näme-löng-enough-' || user_id END AS target_user,
    CAST(NULL AS VARCHAR) AS subject_user,
    CASE WHEN {_K} % 2 = 0 THEN '10.0.0.1' END AS ip_address, CAST(NULL AS VARCHAR) AS service_name
    FROM events"""

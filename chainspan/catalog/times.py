@@ -27,6 +27,21 @@ def density(spark, sf):
     return t.timeline(canon(spark, sf))
 
 
+@query(
+    "timeline_fine",
+    WITH_CANON + ", " + _sliced(5000) + """
+      SELECT b AS bucket, lo + b * w AS start_ns, CASE WHEN b = 4999 THEN hi ELSE lo + (b + 1) * w END AS end_ns, count(id) AS n
+      FROM range(5000) r(b) CROSS JOIN x LEFT JOIN placed ON bucket = b GROUP BY ALL""",
+)
+def fine(spark, sf):
+    return t.timeline(canon(spark, sf), 5000)
+
+
+@query("timeline_all_lanes", WITH_CANON + ", " + _sliced(50) + """SELECT "user" AS lane, bucket, count(*) AS n FROM placed GROUP BY ALL""")
+def all_lanes(spark, sf):
+    return t.timeline(canon(spark, sf), 50, "user", top=None)
+
+
 @query(
     "timeline_bounded",
     WITH_CANON + ", " + _sliced(60, f"greatest(min(ts_ns), {FROM_NS})", f"least(max(ts_ns), {TO_NS})", f"ts_ns BETWEEN {FROM_NS} AND {TO_NS} AND event_code = 'error'") + """

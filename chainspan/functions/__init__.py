@@ -2,9 +2,9 @@
 
 from chainspan.functions.text import (
     canon_identifier,
-    canon_slot,
     image_basename,
     normalize_tags,
+    slot_value,
     slug,
     trimmed,
     truncate_bytes,
@@ -22,7 +22,6 @@ from chainspan.functions.hashing import hash_fields, hash_raw
 
 __all__ = [
     "canon_identifier",
-    "canon_slot",
     "coerce_timestamp",
     "duration_text",
     "epoch_ns",
@@ -33,6 +32,7 @@ __all__ = [
     "normalize_tags",
     "ns_to_timestamp",
     "parse_duration",
+    "slot_value",
     "slug",
     "trimmed",
     "truncate_bytes",

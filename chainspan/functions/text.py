@@ -50,10 +50,10 @@ def _number(v: Column) -> Column:
     )
 
 
-def canon_identifier(c: Column, width: int = 18) -> Column:
-    """Decimal or 0x-hex unsigned 64-bit number -> ``0x`` + lower hex; zero -> NULL; other text kept (cut to width)."""
+def canon_identifier(c: Column) -> Column:
+    """Decimal or 0x-hex unsigned 64-bit number -> ``0x`` + lower hex; zero -> NULL; other text kept whole."""
     v = F.lower(trimmed(c))
-    return truncate_bytes(F.when(v != "", _number(v)), width)
+    return F.when(v != "", _number(v))
 
 
 def image_basename(c: Column) -> Column:
@@ -68,14 +68,7 @@ def slot_value(c: Column, kind: str) -> Column:
     return F.when((v != "") & ~v.isin(*model.ABSENT_VALUES), value)
 
 
-def canon_slot(c: Column, kind: str, width: int) -> Column:
-    return truncate_bytes(slot_value(c, kind), width)
-
-
 def normalize_tags(c: Column) -> Column:
-    """Trim, lower, cut to 64 bytes, drop blanks and repeats, keep the first 32, sort."""
+    """Trim, lower, drop blanks and repeats, sort."""
     low = F.transform(c, lambda t: F.lower(trimmed(t)))
-    # Repeats are removed before and after the cut, so two long tags with one prefix become one.
-    kept = F.array_distinct(F.filter(low, lambda t: t.isNotNull() & (t != "")))
-    cut = F.array_distinct(F.transform(kept, lambda t: truncate_bytes(t, model.MAX_TAG_BYTES)))
-    return F.array_sort(F.slice(cut, 1, model.MAX_TAGS))
+    return F.array_sort(F.array_distinct(F.filter(low, lambda t: t.isNotNull() & (t != ""))))

@@ -23,8 +23,8 @@ def whole_div(c: Column, n: int) -> Column:
 
 
 def epoch_ns(c: Column) -> Column:
-    """Zone-less timestamp -> nanoseconds since 1970 (the session zone plays no part)."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), c.cast("timestamp_ntz")) * F.lit(1000)
+    """Zone-less timestamp -> nanoseconds since 1970 (the session zone plays no part); NULL outside the years of a LONG."""
+    return F.try_multiply(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), c.cast("timestamp_ntz")), F.lit(1000))
 
 
 def ns_to_timestamp(ns: Column) -> Column:
@@ -51,6 +51,13 @@ def coerce_timestamp(c: Column) -> Column:
     return F.coalesce(F.try_multiply(number, unit), clock)
 
 
+def reads_as_time(c: Column) -> Column:
+    """Whether text or a timestamp is well-formed, also where its nanoseconds do not fit a LONG."""
+    v = trimmed(c.cast("string"))
+    day = F.left(v, F.lit(19)).try_cast("timestamp_ntz").isNotNull()
+    return F.coalesce(v.try_cast("long").isNotNull() | (v.rlike(_CLOCK) & day), F.lit(False))
+
+
 def filetime_to_ns(c: Column) -> Column:
     """100 ns ticks since 1601 -> ``ts_ns``; zero means undated."""
     limit = MAX_SECONDS * 10_000_000
@@ -58,6 +65,14 @@ def filetime_to_ns(c: Column) -> Column:
     return (F.when(in_range, c) - F.lit(FILETIME_EPOCH_TICKS)) * F.lit(100)
 
 
+OUT_OF_RANGE = "time out of range"
+
+
+def filetime_problem(c: Column) -> Column:
+    """Why ticks have no ``ts_ns`` although they are not zero; NULL where nothing is wrong."""
+    return F.when(c.isNotNull() & (c != 0) & filetime_to_ns(c).isNull(), OUT_OF_RANGE)
+
+
 def utc_text(ns: Column) -> Column:
     """``2024-01-02T03:04:05.000000006Z`` with nine digits: the rendering identity hashes are built on."""
     frac = F.lpad(F.pmod(ns, F.lit(NS)).cast("string"), 9, "0")

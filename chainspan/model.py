@@ -20,18 +20,18 @@ SLOTS = (
     "service_name",
 )
 
-# slot -> (class, byte width, source field names in priority order)
+# slot -> (class, source field names in priority order)
 SLOT_RECIPE = {
-    "logon_id": ("identifier", 18, ("TargetLogonId", "SubjectLogonId", "LogonId", "TargetLogonID")),
-    "subject_logon_id": ("identifier", 18, ("SubjectLogonId", "SubjectLogonID")),
-    "process_id": ("identifier", 18, ("ProcessId", "ProcessID", "ClientProcessId", "SourceProcessId")),
-    "new_process_id": ("identifier", 18, ("NewProcessId", "NewProcessID")),
-    "parent_process_id": ("identifier", 18, ("ParentProcessId", "CreatorProcessId", "ParentProcessID")),
-    "process_name": ("image", 40, ("NewProcessName", "Image", "ProcessName", "Application")),
-    "target_user": ("plain", 32, ("TargetUserName", "AccountName", "MemberName")),
-    "subject_user": ("plain", 32, ("SubjectUserName",)),
-    "ip_address": ("plain", 45, ("IpAddress", "ClientAddress", "SourceNetworkAddress", "SourceIp")),
-    "service_name": ("plain", 40, ("ServiceName", "ServiceFileName")),
+    "logon_id": ("identifier", ("TargetLogonId", "SubjectLogonId", "LogonId", "TargetLogonID")),
+    "subject_logon_id": ("identifier", ("SubjectLogonId", "SubjectLogonID")),
+    "process_id": ("identifier", ("ProcessId", "ProcessID", "ClientProcessId", "SourceProcessId")),
+    "new_process_id": ("identifier", ("NewProcessId", "NewProcessID")),
+    "parent_process_id": ("identifier", ("ParentProcessId", "CreatorProcessId", "ParentProcessID")),
+    "process_name": ("image", ("NewProcessName", "Image", "ProcessName", "Application")),
+    "target_user": ("plain", ("TargetUserName", "AccountName", "MemberName")),
+    "subject_user": ("plain", ("SubjectUserName",)),
+    "ip_address": ("plain", ("IpAddress", "ClientAddress", "SourceNetworkAddress", "SourceIp")),
+    "service_name": ("plain", ("ServiceName", "ServiceFileName")),
 }
 
 SLOT_VERSION = 2
@@ -71,17 +71,11 @@ RELATION_TYPES = ("temporal", "correlation", "default")
 RELATION_VERSION = 1
 CONFIDENCE_EXACT = 1.0
 CONFIDENCE_ANCESTOR = 0.9
-MAX_BASIS_ENTRIES = 4
-MAX_BASIS_BYTES = 64
-MAX_MATCHES = 100_000
-MAX_DRY_RUN_SAMPLES = 200
 
 LINEAGE_CREATE_ID = "4688"
 LINEAGE_EXIT_ID = "4689"
-LINEAGE_MAX_DEPTH = 16
 
 DEFAULT_BUCKETS = 240
-MAX_BUCKETS = 2000
 MAX_LANES = 12
 LANE_NONE = "(none)"
 LANE_OTHER = "(other)"
@@ -90,11 +84,6 @@ HEATMAP_GROUPS = ("rule", "relation_type", "computer", "created_by", "step")
 NO_RULE_LABEL = "Not from a rule"
 ABSENT_SLOT_LABEL = "Not recorded"
 
-MAX_TAGS = 32
-MAX_TAG_BYTES = 64
-MAX_NOTE_BYTES = 8000
-MAX_SNAPSHOTS_PER_GRAPH = 50
-
 SEVERITIES = ("error", "warning", "info")
 # --- end of fixed values ----------------------------------------------------
 

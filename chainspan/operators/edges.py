@@ -1,4 +1,4 @@
-"""Occurrences to edges: provenance, basis, the match cap and what was left out."""
+"""Occurrences to edges: provenance, basis, the first matches and what was left out."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan import model
-from chainspan.functions.text import trimmed, truncate_bytes
+from chainspan.functions.text import trimmed
 from chainspan.functions.times import duration_text
 from chainspan.operators.layout import ordered_layout, running_position
 from chainspan.operators.matching import scope_column
@@ -33,14 +33,13 @@ def edge_id(rule_id: Column, match: Column, step: Column) -> Column:
 
 
 def basis_entry(*parts: Column) -> Column:
-    return truncate_bytes(trimmed(F.concat(*parts)), model.MAX_BASIS_BYTES)
+    return trimmed(F.concat(*parts))
 
 
 def with_basis(occurrences: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add ``basis`` to occurrences that carry match_fields, bucket, gap_ns and within_text.
 
-    Shared values come first, then the gap a temporal match was decided by; at most four entries of 64 bytes, of which
-    the gap always keeps one. Every shape of basis the rules can have is a plain array over text columns made in a
+    Shared values come first, then the gap a temporal match was decided by. Every shape of basis the rules can have is a plain array over text columns made in a
     step of their own, so no per-element function runs over the matches.
     """
     shapes = sorted({(len(r.bucket_slots), r.algorithm == "temporal") for r in rules} - {(0, False)})
@@ -48,15 +47,14 @@ def with_basis(occurrences: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     widest = max((n for n, _ in shapes), default=0)
     texts = {
         f"_f{i}": F.concat(name(i), F.lit("="), F.element_at("bucket", name(i)))
-        for i in range(min(widest, model.MAX_BASIS_ENTRIES))
+        for i in range(widest)
     }
     if any(timed for _, timed in shapes):
         texts["_gap"] = F.concat(F.lit("max Δt="), duration_text(F.col("gap_ns")), F.lit(" ≤ "), F.col("within_text"))
     staged = occurrences.withColumns(texts) if texts else occurrences
     basis = F.array().cast("array<string>")
     for n, timed in shapes:
-        shown = [f"_f{i}" for i in range(min(n, model.MAX_BASIS_ENTRIES - timed))]
-        entries = [truncate_bytes(F.col(c), model.MAX_BASIS_BYTES) for c in shown] + ([F.col("_gap")] if timed else [])
+        entries = [F.col(f"_f{i}") for i in range(n)] + ([F.col("_gap")] if timed else [])
         within = F.col("within_text")
         fits = (F.size("match_fields") == n) & (within.isNotNull() if timed else within.isNull())
         basis = F.when(fits, F.array(*entries)).otherwise(basis)
@@ -103,13 +101,14 @@ def match_totals(occurrences: DataFrame) -> dict[int, int]:
     return {r.rule_ix: r.n for r in occurrences.groupBy("rule_ix").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def cap_matches(
-    occurrences: DataFrame, events: DataFrame, rules: Sequence[Rule], limit: int = model.MAX_MATCHES
+def first_matches(
+    occurrences: DataFrame, events: DataFrame, rules: Sequence[Rule], limit: int
 ) -> tuple[DataFrame, list[int]]:
-    """The first ``limit`` matches of each rule in match order, and how many each rule had before the cap.
+    """A report of the first ``limit`` matches of each rule in match order, and how many each rule has.
 
-    Match order is scope, then the bucket's first event, then time. Rules under the limit pass untouched; for the
-    others ranks come from per-run and per-bucket counts, without sorting the matches.
+    For looking at; builds keep every match. Match order is scope, then the bucket's first event, then time. Rules
+    under the limit pass untouched; for the others ranks come from per-run and per-bucket counts, without sorting the
+    matches.
     """
     found = match_totals(occurrences)
     totals = [found.get(i, 0) for i in range(len(rules))]

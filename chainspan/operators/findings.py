@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainspan import model
 from chainspan.functions.text import normalize_tags, trimmed
 from chainspan.operators.query import finding_keys, keys_with_tag
 
@@ -29,13 +28,10 @@ def upsert_findings(old: DataFrame, new: DataFrame, now_ns: int) -> tuple[DataFr
     """Apply ``new(key, flagged, tags, note, descriptor)``, one row per key; returns (findings, rejected).
 
     The creation time of a known finding stays, and its descriptor too when the new one is blank. A finding without
-    flag, tags and note is deleted. A blank key or a note over 8000 bytes is rejected.
+    flag, tags and note is deleted. A blank key is rejected.
     """
     key = trimmed(F.coalesce("key", F.lit("")))
-    reason = F.when(key == "", "no key").when(
-        F.octet_length(F.coalesce("note", F.lit(""))) > model.MAX_NOTE_BYTES, "note too long"
-    )
-    checked = new.withColumn("reason", reason)
+    checked = new.withColumn("reason", F.when(key == "", "no key"))
     change = checked.filter(F.col("reason").isNull()).select(
         key.alias("key"),
         F.coalesce("flagged", F.lit(False)).alias("n_flagged"),

@@ -70,12 +70,12 @@ def neighbours_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return ends.join(ids.select("id").distinct(), "id", "left_semi").withColumnRenamed("other", "neighbour")
 
 
-def inspect_edges(edges: DataFrame, events: DataFrame, graphs: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """Edges with both events, the graph name, the other edges of the same match, and whether provenance exists.
+def inspect_edges(edges: DataFrame, events: DataFrame, graphs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen edges with both events, the graph name, the other edges of the same match, and whether provenance exists.
 
     A match has at most as many edges as its rule has steps, so its siblings fit in one row.
     """
-    picked = edges if chosen is None else edges.join(chosen.select("edge_id").distinct(), "edge_id", "left_semi")
+    picked = edges.join(chosen.select("edge_id").distinct(), "edge_id", "left_semi")
     named = graphs.select("graph_id", F.col("name").alias("graph_name"))
     brief = lambda p, on: events.select(
         F.col("id").alias(on),
@@ -84,8 +84,7 @@ def inspect_edges(edges: DataFrame, events: DataFrame, graphs: DataFrame, chosen
         F.col("computer").alias(p + "_computer"),
     )
     tracked = edges.filter((F.col("rule_id") != "") & (F.col("match_id") != ""))
-    if chosen is not None:
-        tracked = tracked.join(picked.select("rule_id", "match_id").distinct(), ["rule_id", "match_id"], "left_semi")
+    tracked = tracked.join(picked.select("rule_id", "match_id").distinct(), ["rule_id", "match_id"], "left_semi")
     family = tracked.groupBy("rule_id", "match_id").agg(F.array_sort(F.collect_list("edge_id")).alias("_family"))
     return (
         picked.join(brief("from", "src"), "src", "left")
@@ -170,6 +169,7 @@ def delete_events(events: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[
 
 
 def delete_graph(edges: DataFrame, graphs: DataFrame, graph_id: int) -> tuple[DataFrame, DataFrame]:
+    """Edges and registry without a graph; its snapshots go by ``snapshot.delete_snapshots(graph_id=...)``."""
     return (
         edges.filter(~F.col("graph_id").eqNullSafe(F.lit(graph_id))),
         graphs.filter(F.col("graph_id") != graph_id),

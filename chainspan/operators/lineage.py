@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from chainspan import model
 from chainspan.operators.edges import basis_entry, edge_id, match_id, small_side
 from chainspan.operators.layout import Layout, Tail, bucket_starts, collect_seams, keys_at, neighbours, ordered_layout
-from chainspan.operators.layout import running_position
 from chainspan.operators.matching import scope_column
 from chainspan.plans.rules import Rule, rules_frame
 from chainspan.session import written
@@ -170,16 +169,14 @@ def resolve_parents(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return _resolve(ordered_layout(rows, ["rule_ix", "scope", "pid"], ["ts_ns", "phase", "id"], ["kind", "image"]))
 
 
-def match_lineage(events: DataFrame, rule: Rule, limit: int = model.MAX_MATCHES) -> tuple[DataFrame, dict]:
+def match_lineage(events: DataFrame, rule: Rule) -> tuple[DataFrame, dict]:
     """Parent-to-child edges of one rule (and ancestors when it asks for depth), with its counters."""
-    edges, counters = match_lineages(events, [rule], limit)
+    edges, counters = match_lineages(events, [rule])
     return edges, counters[0]
 
 
-def match_lineages(
-    events: DataFrame, rules: Sequence[Rule], limit: int = model.MAX_MATCHES
-) -> tuple[DataFrame, list[dict]]:
-    """Edges of all rules, and per rule a dict of matches, dropped, unresolved and relations."""
+def match_lineages(events: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[dict]]:
+    """Edges of all rules, and per rule a dict of matches, unresolved and relations."""
     resolved = written(resolve_parents(events, rules))
     counted = resolved.groupBy("rule_ix").agg(
         F.count("parent_id").alias("found"), F.count_if(F.col("parent_id").isNull()).alias("unresolved")
@@ -187,19 +184,6 @@ def match_lineages(
     # One row per rule.
     totals = {r.rule_ix: (r.found, r.unresolved) for r in counted.collect()}
     direct = resolved.filter(F.col("parent_id").isNotNull())
-    over = [ix for ix, (found, _) in totals.items() if found > limit]
-    kept = direct
-    if over:
-        carry = [c for c in direct.columns if c not in ("rule_ix", "scope", "child_ts", "child_id")]
-        parts = [direct.filter(~F.col("rule_ix").isin(over))]
-        for ix in over:
-            layout = ordered_layout(
-                direct.filter(F.col("rule_ix") == ix), ["rule_ix", "scope"], ["child_ts", "child_id"], carry
-            )
-            parts.append(running_position(layout).filter(F.col("position") < limit).select(*direct.columns))
-        kept = parts[0]
-        for p in parts[1:]:
-            kept = kept.unionByName(p)
     child, parent = F.coalesce("child_image", F.lit("")) != "", F.coalesce("parent_image", F.lit("")) != ""
     ppid = basis_entry(F.lit("ppid="), F.col("parent_pid"))
     image = basis_entry(F.lit("image="), F.col("child_image"))
@@ -210,15 +194,15 @@ def match_lineages(
         .when(parent, F.array(ppid, creator))
         .otherwise(F.array(ppid))
     )
-    first = kept.select("rule_ix", "child_id", F.col("parent_id").alias("src"), basis.alias("basis"))
+    first = direct.select("rule_ix", "child_id", F.col("parent_id").alias("src"), basis.alias("basis"))
     edges = _edges(first, rules, 0, model.CONFIDENCE_EXACT)
-    relations = {ix: min(found, limit) for ix, (found, _) in totals.items()}
-    depths = {ix: min(r.lineage_depth, model.LINEAGE_MAX_DEPTH) for ix, r in enumerate(rules)}
+    relations = {ix: found for ix, (found, _) in totals.items()}
+    depths = {ix: r.lineage_depth for ix, r in enumerate(rules)}
     deep = [ix for ix, d in depths.items() if d > 0]
     if deep:
         # Each process has at most one parent, so every step is a lookup by a unique key; no pairs are formed.
         parent_of = direct.select("rule_ix", F.col("child_id").alias("at"), F.col("parent_id").alias("up"))
-        walk = kept.filter(F.col("rule_ix").isin(deep)).select("rule_ix", "child_id", F.col("parent_id").alias("at"))
+        walk = direct.filter(F.col("rule_ix").isin(deep)).select("rule_ix", "child_id", F.col("parent_id").alias("at"))
         for d in range(1, max(depths.values()) + 1):
             still = [ix for ix in deep if depths[ix] >= d]
             walk = written(
@@ -231,7 +215,7 @@ def match_lineages(
                 break
             for r in added:
                 relations[r.rule_ix] += r.n
-            why = F.array(F.lit(f"ancestor depth={d}"), F.lit("derived from direct lineage"))
+            why = F.array(F.lit(f"{d + 1} generations up"), F.lit("through the direct parents"))
             step = walk.select("rule_ix", "child_id", F.col("at").alias("src"), why.alias("basis"))
             edges = edges.unionByName(_edges(step, rules, d, model.CONFIDENCE_ANCESTOR))
     counters = []
@@ -239,8 +223,7 @@ def match_lineages(
         found, unresolved = totals.get(ix, (0, 0))
         counters.append(
             {
-                "matches": min(found, limit),
-                "dropped": max(found - limit, 0),
+                "matches": found,
                 "unresolved": unresolved,
                 "relations": relations.get(ix, 0),
             }

@@ -49,11 +49,14 @@ def rule_layout(events: DataFrame, rules: Sequence[Rule]) -> Layout:
     return ordered_layout(kept, ["scope", *slots], ["ts_ns", "id"], ["event_code"])
 
 
+STEPWISE = ("sequence", "field", "temporal")
+
+
 def group_rules(rules: Sequence[Rule]) -> list[list[tuple[int, Rule]]]:
-    """Rules by shared layout, each with its position in the rule list. Lineage rules are matched elsewhere."""
+    """Rules by shared layout, each with its position in the rule list. Others than these kinds are matched elsewhere."""
     groups: dict[tuple, list[tuple[int, Rule]]] = defaultdict(list)
     for i, r in enumerate(rules):
-        if r.algorithm != "lineage":
+        if r.algorithm in STEPWISE:
             groups[(r.match_scope, tuple(sorted(set(r.bucket_slots))))].append((i, r))
     return list(groups.values())
 

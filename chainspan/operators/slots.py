@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan import model
-from chainspan.functions.text import slot_value, trimmed, truncate_bytes
+from chainspan.functions.text import slot_value, trimmed
 
 
 def folded_fields(fields: Column) -> Column:
@@ -26,10 +26,10 @@ def folded_fields(fields: Column) -> Column:
 
 def slot_columns(folded: Column) -> dict[str, Column]:
     out = {}
-    for slot, (kind, width, sources) in model.SLOT_RECIPE.items():
+    for slot, (kind, sources) in model.SLOT_RECIPE.items():
         names = list(dict.fromkeys(s.lower() for s in sources))
         values = [slot_value(F.try_element_at(folded, F.lit(n)), kind) for n in names]
-        out[slot] = truncate_bytes(F.coalesce(*values), width)
+        out[slot] = F.coalesce(*values)
     return out
 
 

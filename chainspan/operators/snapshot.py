@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainspan import model
-
 # --- fixed values -----------------------------------------------------------
 APPLIED, MOVED, RECREATABLE, UNRESOLVED = "applied", "moved", "recreatable", "unresolved"
-NO_LINK = "the events are still here, but the link between them is not"
-NEITHER = "neither event is in the case any more"
-NO_SOURCE = "the source event is not in the case any more"
-NO_TARGET = "the target event is not in the case any more"
 # --- end of fixed values ----------------------------------------------------
 
+# Why an edge is not applied.
+NO_LINK, NEITHER, NO_SOURCE, NO_TARGET = "edge missing", "both ends missing", "source missing", "target missing"
+
 
 def take_snapshot(
     events: DataFrame, edges: DataFrame, nodes: DataFrame, graph_id: int, snapshot_id: str, label: str, at_ns: int
@@ -50,14 +47,8 @@ def take_snapshot(
     return n, e
 
 
-def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str, existing: DataFrame | None = None) -> None:
-    """One folder per snapshot. A graph holds at most 50; the 51st is refused rather than an old one dropped."""
-    if existing is not None:
-        key = nodes.select("graph_id", "snapshot_id").limit(1).first()
-        if key is not None:
-            held = existing.filter(F.col("graph_id") == key.graph_id).select("snapshot_id").distinct()
-            if held.filter(F.col("snapshot_id") != key.snapshot_id).count() >= model.MAX_SNAPSHOTS_PER_GRAPH:
-                raise ValueError(f"graph {key.graph_id} already has {model.MAX_SNAPSHOTS_PER_GRAPH} snapshots")
+def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One folder per snapshot; writing a snapshot again replaces it."""
     for df, name in ((nodes, "nodes"), (edges, "edges")):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(
             f"{path}/{name}"
@@ -107,6 +98,11 @@ def restore_plan(
     return node_plan.select(*snap_nodes.columns, "live_id", "outcome"), edge_plan
 
 
+def reingested(node_plan: DataFrame) -> DataFrame:
+    """One row: whether events of the snapshot came back under other ids."""
+    return node_plan.agg((F.count_if(F.col("outcome") == MOVED) > 0).alias("reingested"))
+
+
 def plan_counts(node_plan: DataFrame, edge_plan: DataFrame) -> DataFrame:
     """(item, outcome, n)."""
     n = node_plan.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("item"), "outcome", "n")
@@ -133,6 +129,18 @@ def recreate_edges(edge_plan: DataFrame, chosen: DataFrame, snapshot_id: str, gr
     )
 
 
+def delete_snapshots(
+    snap_nodes: DataFrame, snap_edges: DataFrame, snapshot_ids: DataFrame | None = None, graph_id: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the snapshots named, or without all of a graph."""
+    if (snapshot_ids is None) == (graph_id is None):
+        raise ValueError("name snapshots or a graph")
+    if graph_id is not None:
+        return tuple(df.filter(~F.col("graph_id").eqNullSafe(F.lit(graph_id))) for df in (snap_nodes, snap_edges))
+    gone = snapshot_ids.select("snapshot_id").distinct()
+    return tuple(df.join(gone, "snapshot_id", "left_anti").select(*df.columns) for df in (snap_nodes, snap_edges))
+
+
 def list_snapshots(snap_nodes: DataFrame, snap_edges: DataFrame) -> DataFrame:
     """Newest first, with node and edge counts."""
     n = snap_nodes.groupBy("snapshot_id", "graph_id", "label", "taken_ns").agg(F.count(F.lit(1)).alias("nodes"))

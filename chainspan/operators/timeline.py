@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chainspan import model
 from chainspan.functions.text import trimmed
 from chainspan.functions.times import whole_div
-from chainspan.operators.edges import BROADCAST_ROWS
+from chainspan.operators.edges import small_side
 from chainspan.operators.graph import graph_membership
 from chainspan.session import durable
 
@@ -20,7 +20,7 @@ class Bucketing:
     """
 
     def __init__(self, lo: int, hi: int, count: int):
-        count = model.DEFAULT_BUCKETS if count <= 0 else min(count, model.MAX_BUCKETS)
+        count = model.DEFAULT_BUCKETS if count <= 0 else count
         width = (hi - lo) // count if hi > lo else 0
         self.lo, self.hi = lo, hi
         self.count, self.width = (count, width) if width > 0 else (1, 1)
@@ -33,7 +33,7 @@ class Bucketing:
         return F.when(off >= 0, F.least(whole_div(off, self.width), F.lit(self.count - 1).cast("bigint")))
 
     def spine(self, spark) -> DataFrame:
-        """One row per bucket (at most MAX_BUCKETS): bucket, start_ns, end_ns."""
+        """One row per bucket: bucket, start_ns, end_ns."""
         b = F.col("bucket")
         last = b == self.count - 1
         end = F.when(last, F.lit(self.hi)).otherwise(F.lit(self.lo) + (b + 1) * self.width)
@@ -50,18 +50,20 @@ def extent(df: DataFrame, ns: str = "ts_ns") -> tuple[int | None, int | None, in
 
 def _filled(spark, counts: DataFrame, buckets: Bucketing) -> DataFrame:
     zero = F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("n")
-    return buckets.spine(spark).join(F.broadcast(counts), "bucket", "left").select("bucket", "start_ns", "end_ns", zero)
+    return buckets.spine(spark).join(small_side(counts, buckets.count), "bucket", "left").select("bucket", "start_ns", "end_ns", zero)
 
 
 def lane_text(c: Column) -> Column:
     return F.when(trimmed(F.coalesce(c.cast("string"), F.lit(""))) == "", F.lit(model.LANE_NONE)).otherwise(c.cast("string"))
 
 
-def fold_lanes(counts: DataFrame, top: int = model.MAX_LANES) -> DataFrame:
-    """(lane, bucket, n) with all but the ``top`` largest lanes (ties by name) folded into one."""
+def fold_lanes(counts: DataFrame, top: int | None = model.MAX_LANES) -> DataFrame:
+    """(lane, bucket, n) with all but the ``top`` largest lanes (ties by name) folded into one; None keeps all."""
+    if top is None:
+        return counts.select("lane", "bucket", "n")
     lanes = counts.groupBy("lane").agg(F.sum("n").alias("total"))
     keep = lanes.orderBy(F.col("total").desc(), "lane").limit(top).select("lane", F.lit(True).alias("kept"))
-    keep = F.broadcast(keep) if top <= BROADCAST_ROWS else keep  # ``top`` rows
+    keep = small_side(keep, top)
     lane = F.when(F.col("kept"), F.col("lane")).otherwise(model.LANE_OTHER)
     return (
         counts.join(keep, "lane", "left")
@@ -81,10 +83,11 @@ def timeline(
     time_from: int | None = None,
     time_to: int | None = None,
     edges: DataFrame | None = None,
+    top: int | None = model.MAX_LANES,
 ) -> DataFrame:
     """Histogram of filtered events. Without ``group_by``: (bucket, start_ns, end_ns, n), zero buckets included.
 
-    With it: (lane, bucket, n), at most twelve lanes and one for the rest. ``graph`` lanes count an event once per
+    With it: (lane, bucket, n), the ``top`` largest lanes and one for the rest (None: all lanes). ``graph`` lanes count an event once per
     graph it belongs to. ``time_from``/``time_to`` narrow the extent; the caller has filtered by them already.
     """
     spark = df.sparkSession
@@ -108,7 +111,7 @@ def timeline(
         lanes = placed
         c = F.col(group_by) if group_by in LANE_COLUMNS else F.lit("")
         lane = F.when(F.coalesce(c, F.lit("")) == "", F.lit(model.LANE_NONE)).otherwise(c)
-    return fold_lanes(lanes.groupBy(lane.alias("lane"), "bucket").agg(F.count(F.lit(1)).alias("n")))
+    return fold_lanes(lanes.groupBy(lane.alias("lane"), "bucket").agg(F.count(F.lit(1)).alias("n")), top)
 
 
 def timeline_summary(df: DataFrame, time_from: int | None = None, time_to: int | None = None) -> DataFrame:
@@ -162,6 +165,7 @@ def relation_heatmap(
     graph_id: int | None = None,
     time_from: int | None = None,
     time_to: int | None = None,
+    top: int | None = model.MAX_LANES,
 ) -> tuple[DataFrame, DataFrame]:
     """((lane, bucket, n), one-row summary: total, placed, undated, outside, max_cell)."""
     group_by = group_by or "rule"
@@ -196,9 +200,9 @@ def relation_heatmap(
             time_from if time_from is not None else lo, time_to if time_to is not None else hi, buckets
         )
         counts = placed.filter(inside).groupBy("lane", slices.index(at).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-        cells = fold_lanes(counts.filter(F.col("bucket").isNotNull()))
-    top = cells.agg(F.coalesce(F.max("n"), F.lit(0).cast("bigint")).alias("max_cell"))
-    return cells, summary.join(F.broadcast(top), how="left")
+        cells = fold_lanes(counts.filter(F.col("bucket").isNotNull()), top)
+    most = cells.agg(F.coalesce(F.max("n"), F.lit(0).cast("bigint")).alias("max_cell"))
+    return cells, summary.join(F.broadcast(most), how="left")
 
 
 def replay_schedule(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan import model
-from chainspan.operators.edges import cap_matches, emit_edges, exclusion_counts, small_side
+from chainspan.operators.edges import emit_edges, exclusion_counts, match_totals, small_side
 from chainspan.operators.graph import ensure_graphs
 from chainspan.operators.lineage import match_lineage, match_lineages
-from chainspan.operators.matching import group_rules, match_rules, scope_column
+from chainspan.operators.matching import STEPWISE, group_rules, match_rules, scope_column
 from chainspan.operators.query import EventFilter, filter_events
 from chainspan.plans.rules import Rule, rules_frame, small_table
 
@@ -22,7 +22,10 @@ _MATCHERS: dict = {}
 
 
 def register_matcher(algorithm: str, fn) -> None:
-    """Add a matching algorithm: ``fn(events, rule) -> (edges, counters)``, shaped like what ``match_lineage`` returns."""
+    """Add a matching algorithm: ``fn(events, rule) -> (edges, counters)``, shaped like what ``match_lineage`` returns.
+
+    The matcher gets all events the build does, with every column.
+    """
     _MATCHERS[algorithm] = fn
 
 
@@ -63,7 +66,6 @@ def build(
     flt: EventFilter | None = None,
     graphs: DataFrame | None = None,
     previous: DataFrame | None = None,
-    limit: int = model.MAX_MATCHES,
     cache: bool = False,
 ) -> Build:
     """Edges, per-rule outcomes and the graph table after running ``rules``.
@@ -82,34 +84,36 @@ def build(
     if cache:
         prepared = prepared.persist()
     try:
-        return _build(events, prepared, rules, graphs, previous, limit)
+        return _build(events, prepared, rules, graphs, previous)
     finally:
         if cache:
             prepared.unpersist()
 
 
-def _build(events, prepared, rules, graphs, previous, limit) -> Build:
+def _build(events, prepared, rules, graphs, previous) -> Build:
     spark = events.sparkSession
-    stepwise = [r for r in rules if r.algorithm in ("sequence", "field", "temporal")]
+    stepwise = [r for r in rules if r.algorithm in STEPWISE]
     ancestry = [r for r in rules if r.algorithm == "lineage"]
     parts: list[DataFrame] = []
     counters: dict[str, dict] = {}
     if stepwise:
         found = match_rules(prepared, stepwise)
-        kept, totals = cap_matches(found, events, stepwise, limit)
-        parts.append(emit_edges(kept, stepwise))
-        for r, n in zip(stepwise, totals):
-            m = min(n, limit)
-            relations = m * (len(r.sequence) - 1)
-            counters[r.rule_id] = {"matches": m, "dropped": n - m, "unresolved": 0, "relations": relations}
+        totals = match_totals(found)
+        parts.append(emit_edges(found, stepwise))
+        for ix, r in enumerate(stepwise):
+            n = totals.get(ix, 0)
+            counters[r.rule_id] = {"matches": n, "unresolved": 0, "relations": n * (len(r.sequence) - 1)}
     if ancestry:
-        edges, counts = match_lineages(prepared, ancestry, limit)
+        edges, counts = match_lineages(prepared, ancestry)
         parts.append(edges)
         counters |= {r.rule_id: c for r, c in zip(ancestry, counts)}
     for r in rules:
         if r.algorithm in _MATCHERS:
             edges, counters[r.rule_id] = _MATCHERS[r.algorithm](events, r)
             parts.append(edges)
+    unknown = sorted({r.algorithm for r in rules} - {*STEPWISE, "lineage", *_MATCHERS})
+    if unknown:
+        raise ValueError(f"no matcher for {', '.join(unknown)}")
     if not parts:
         raise ValueError("no rules to run")
     edges = parts[0]
@@ -135,12 +139,12 @@ def build_outcomes(
     previous: DataFrame | None,
     excluded: DataFrame,
 ) -> DataFrame:
-    """One row per rule: what it matched, wrote, replaced, dropped and could not consider.
+    """One row per rule: what it matched, wrote, replaced and could not consider.
 
-    ``counters`` holds matches, dropped, unresolved and relations by rule id, as the matchers counted them.
+    ``counters`` holds matches, unresolved and relations by rule id, as the matchers counted them.
     """
     spark = graphs.sparkSession
-    none = {"matches": 0, "dropped": 0, "unresolved": 0, "relations": 0}
+    none = {"matches": 0, "unresolved": 0, "relations": 0}
     rows = [
         {"rule_ix": i, "rule_id": r.rule_id, "rule_name": r.name} | none | counters.get(r.rule_id, {})
         for i, r in enumerate(rules)
@@ -148,7 +152,7 @@ def build_outcomes(
     frame = small_table(
         spark,
         rows,
-        "rule_ix int, rule_id string, rule_name string, matches bigint, dropped bigint, unresolved bigint, relations bigint",
+        "rule_ix int, rule_id string, rule_name string, matches bigint, unresolved bigint, relations bigint",
     )
     named = graphs.select("rule_id", "graph_id", F.col("name").alias("graph_name"))
     out = frame.join(named, "rule_id", "left").join(
@@ -167,8 +171,6 @@ def build_outcomes(
         "matches",
         "relations",
         F.coalesce("removed", F.lit(0).cast("bigint")).alias("removed"),
-        (F.col("dropped") > 0).alias("truncated"),
-        "dropped",
         "skipped_undated",
         "skipped_no_keys",
         F.col("unresolved").alias("unresolved_parents"),
@@ -190,23 +192,22 @@ def write_edges(edges: DataFrame, path: str) -> None:
 
 
 def dry_run(
-    events: DataFrame, rule: Rule, samples: int = 20, flt: EventFilter | None = None, limit: int = model.MAX_MATCHES
+    events: DataFrame, rule: Rule, samples: int = 20, flt: EventFilter | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """What a rule would produce: one row of exact counts, and the events of the first ``samples`` matches."""
-    samples = max(0, min(samples, model.MAX_DRY_RUN_SAMPLES))
+    samples = max(0, samples)
     if flt is not None:
         events = filter_events(events, flt.without_paging(undated="include"))
     prepared = prepare(events, [rule])
     if rule.algorithm == "lineage":
-        edges, counters = match_lineage(prepared, rule, limit)
+        edges, counters = match_lineage(prepared, rule)
         order = _lineage_order(edges, events, rule)
     else:
         found = match_rules(prepared, [rule])
-        kept, (n,) = cap_matches(found, events, [rule], limit)
-        m = min(n, limit)
-        counters = {"matches": m, "dropped": n - m, "unresolved": 0, "relations": m * (len(rule.sequence) - 1)}
-        order = _match_order(kept, events, rule)
-    counts = "matches bigint, dropped bigint, unresolved bigint, relations bigint"
+        n = match_totals(found).get(0, 0)
+        counters = {"matches": n, "unresolved": 0, "relations": n * (len(rule.sequence) - 1)}
+        order = _match_order(found, events, rule)
+    counts = "matches bigint, unresolved bigint, relations bigint"
     excluded = exclusion_counts(events, [rule]).drop("rule_ix", "rule_id")
     summary = small_table(events.sparkSession, [counters], counts).join(F.broadcast(excluded), how="left")
     # Top-k over matches; only ``samples`` of them go on.
@@ -221,7 +222,7 @@ def dry_run(
 def _over(column: str):
     from pyspark.sql import Window
 
-    return Window.orderBy(column)  # only ever applied to at most MAX_DRY_RUN_SAMPLES rows
+    return Window.orderBy(column)  # only ever applied to the samples asked for
 
 
 def _match_order(found: DataFrame, events: DataFrame, rule: Rule) -> DataFrame:

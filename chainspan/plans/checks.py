@@ -132,7 +132,7 @@ def _errors() -> Column:
         ).otherwise(_none()),
         _each(F.col("lineage_create_ids"), blank, "lineage_ids_empty", _reads("lineage_create_ids")),
         _once(
-            _reads("lineage_depth") & ~F.col("lineage_depth").between(0, model.LINEAGE_MAX_DEPTH), "lineage_depth_range"
+            _reads("lineage_depth") & (F.col("lineage_depth") < 0), "lineage_depth_range"
         ),
         _each(F.col("channels"), blank, "channel_empty"),
     ]

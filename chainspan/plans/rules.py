@@ -113,8 +113,8 @@ class Rule:
 
     @property
     def bucket_slots(self) -> tuple[str, ...]:
-        reads = "match_fields" in ALGORITHMS[self.algorithm][1]
-        return self.match_fields if reads else ()
+        known = ALGORITHMS.get(self.algorithm)
+        return self.match_fields if known is None or "match_fields" in known[1] else ()
 
     @staticmethod
     def from_json(text: str) -> "Rule":

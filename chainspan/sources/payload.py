@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OBJECT = "map<string,variant>"
 
@@ -18,11 +22,40 @@ def _text(v: Column) -> Column:
     )
 
 
-def flatten_payload(c: Column, depth: int = 4) -> Column:
-    """JSON object -> map of dotted key to text. Objects are opened down to ``depth`` levels; deeper ones stay JSON.
+#: Levels of objects that are unrolled as built-in expressions; payloads nested deeper go to a Python function.
+UNROLLED = 4
+
+
+def deep_entries(text: str | None) -> dict[str, str] | None:
+    """Dotted key to text of all leaves of a JSON object, objects read in key order; later leaves replace earlier ones."""
+    if text is None:
+        return None
+    out: list[tuple[str, str]] = []
+    whole = json.loads(text)
+    todo = [("", whole if isinstance(whole, dict) else {})]
+    while todo:
+        key, value = todo.pop()
+        if isinstance(value, dict) and (value or not key):
+            todo += [(f"{key}.{k}" if key else k, v) for k, v in sorted(value.items(), key=lambda kv: kv[0].encode("utf-8", "surrogatepass"), reverse=True)]
+        elif value is None or isinstance(value, str):
+            out.append((key, value or ""))
+        else:
+            out.append((key, json.dumps(value, separators=(",", ":"), ensure_ascii=False)))
+    return dict(out)
+
+
+def _deep_maps(text: pd.Series) -> pd.Series:
+    return text.map(deep_entries)
+
+
+def flatten_payload(c: Column) -> Column:
+    """JSON object -> map of dotted key to text, however deep objects lie in it. Objects are read in key order; of repeated
+    dotted keys the last one read stays.
 
-    All built-in: the levels are unrolled, and each level handles all keys of an object at once.
+    Up to ``UNROLLED`` levels are built-in expressions, each handling all keys of an object at once. Only payloads with
+    objects below that are walked in Python.
     """
+    depth = UNROLLED
 
     def entries(obj: Column, prefix: Column, left: int) -> Column:
         pairs = F.map_entries(F.try_variant_get(obj, "$", _OBJECT))
@@ -38,4 +71,9 @@ def flatten_payload(c: Column, depth: int = 4) -> Column:
         empty = F.array().cast("array<struct<k:string,v:string>>")
         return F.coalesce(F.flatten(F.transform(pairs, one)), empty)
 
-    return F.map_from_entries(entries(F.try_parse_json(c), F.lit(""), depth - 1))
+    shallow = entries(F.try_parse_json(c), F.lit(""), depth - 1)
+    last = F.filter(shallow, lambda e, i: ~F.exists(F.slice(shallow, i + 2, F.size(shallow)), lambda later: later["k"] == e["k"]))
+    # Deeper nesting needs more opening braces than there are levels unrolled.
+    braces = (F.regexp_count(c, F.lit(r"\{")) > UNROLLED) & F.try_parse_json(c).isNotNull()
+    walked = F.pandas_udf(_deep_maps, T.MapType(T.StringType(), T.StringType()))(F.when(braces, c))
+    return F.coalesce(walked, F.map_from_entries(last))

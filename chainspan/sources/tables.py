@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from chainspan import model
 from chainspan.functions.hashing import hash_raw
 from chainspan.functions.text import trimmed
-from chainspan.functions.times import coerce_timestamp, epoch_ns
+from chainspan.functions.times import OUT_OF_RANGE, coerce_timestamp, epoch_ns, reads_as_time
 from chainspan.operators.identity import identity_hash
 
 
@@ -60,6 +60,7 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = df.withColumn("ts_ns", timestamp_ns(df, "timestamp")).withColumn(
         "reason",
         F.when(F.coalesce(stamp, F.lit("")) == "", "empty timestamp")
+        .when(F.col("ts_ns").isNull() & reads_as_time(F.col("timestamp")), OUT_OF_RANGE)
         .when(F.col("ts_ns").isNull(), "unrecognized timestamp")
         .when(F.coalesce(code, F.lit("")) == "", "empty event id"),
     )

@@ -4,7 +4,7 @@ import pytest
 
 import models
 from chainspan.operators import layout, lineage
-from chainspan.operators.edges import cap_matches, emit_edges
+from chainspan.operators.edges import emit_edges, first_matches
 from chainspan.operators.layout import neighbours, ordered_layout, running_position
 from chainspan.operators.matching import match_rules
 from chainspan.plans.rules import Rule
@@ -87,11 +87,11 @@ def test_edges_carry_provenance(spark):
     assert got["fast/m-1-2-2/0"].basis == ["logon_id=s", "max Δt=15ns ≤ 1µs"]
 
 
-def test_cap_keeps_the_first_matches_and_counts_the_rest(spark):
+def test_first_matches_and_counts(spark):
     rows = make(5)
     rules = [RULES[0], RULES[8], RULES[4]]
     df = spark.createDataFrame(rows, SCHEMA)
-    kept, totals = cap_matches(match_rules(df, rules), df, rules, 20)
+    kept, totals = first_matches(match_rules(df, rules), df, rules, 20)
     got = {}
     for r in kept.collect():
         got.setdefault(r.rule_ix, set()).add(tuple(r.ids))
@@ -146,7 +146,7 @@ def test_lineage_reuse_exit_and_ties(spark):
     ]
     got, counts = resolve(spark, rows)
     assert got == sorted([(1, 2, 0), (2, 5, 0), (5, 6, 0), (6, 8, 0), (1, 5, 1), (2, 6, 1), (1, 6, 2), (5, 8, 1), (2, 8, 2), (1, 8, 3)])
-    assert counts == {"matches": 4, "dropped": 0, "unresolved": 3, "relations": 10}
+    assert counts == {"matches": 4, "unresolved": 3, "relations": 10}
 
 
 def test_lineage_agrees_with_brute_force(spark):

@@ -33,7 +33,7 @@ CASES = [
     ({"algorithm": "temporal", "window_within": "721h"}, ["window_too_large"]),
     ({"algorithm": "temporal", "window_within": "10m", "window_total": "1m"}, ["window_total_too_small"]),
     ({"algorithm": "lineage", "sequence": None}, []),
-    ({"algorithm": "lineage", "lineage_depth": 17, "lineage_create_ids": ["1", ""]}, ["lineage_ids_empty", "lineage_depth_range"]),
+    ({"algorithm": "lineage", "lineage_depth": -1, "lineage_create_ids": ["1", ""]}, ["lineage_ids_empty", "lineage_depth_range"]),
     ({"channels": ["S", " "]}, ["channel_empty"]),
 ]
 

@@ -1,11 +1,13 @@
 import pytest
+from chainspan.functions.times import filetime_problem, filetime_to_ns
+from chainspan.sources.payload import flatten_payload
 from pyspark.sql import functions as F
 
 from chainspan.operators import identity, snapshot
 from chainspan.plans.build import build, select_rules, write_edges
 from chainspan.plans.rules import Rule
 from chainspan.sources.export import export_events
-from chainspan.sources.tables import MissingColumns, resolve_columns
+from chainspan.sources.tables import MissingColumns, quarantine, resolve_columns
 from chainspan.streaming import capture as c
 
 EVENT = "id long, event_code string, ts_ns long, provider string, channel string, computer string, user string, source_identifier string, hash_raw string, record_id long"
@@ -126,10 +128,37 @@ def test_exports(spark, tmp_path):
     assert j.filter("finding is not null").count() == j.filter("finding.flagged").count() >= 1
 
 
-def test_the_fifty_first_snapshot_is_refused(spark, tmp_path):
-    held = spark.range(50).select(F.lit(1).cast("bigint").alias("graph_id"), F.col("id").cast("string").alias("snapshot_id"))
-    n = spark.createDataFrame([("new", 1)], "snapshot_id string, graph_id long")
+def test_snapshots_are_many_and_can_be_deleted(spark, tmp_path):
+    n = spark.range(60).select(F.lit(1).cast("bigint").alias("graph_id"), F.col("id").cast("string").alias("snapshot_id"))
+    snapshot.write_snapshot(n, n, str(tmp_path))
+    snapshot.write_snapshot(n.filter("snapshot_id = '7'"), n.filter("snapshot_id = '7'"), str(tmp_path))
+    held = spark.read.parquet(str(tmp_path / "nodes"))
+    assert held.count() == 60
+    some, _ = snapshot.delete_snapshots(held, held, held.filter("snapshot_id < 10"))
+    assert some.count() == 50
+    assert snapshot.delete_snapshots(held, held, graph_id=1)[0].count() == 0
     with pytest.raises(ValueError):
-        snapshot.write_snapshot(n, n, str(tmp_path), held)
-    snapshot.write_snapshot(n, n, str(tmp_path), held.filter("snapshot_id <> '0'"))
-    assert spark.read.parquet(str(tmp_path / "nodes")).count() == 1
+        snapshot.delete_snapshots(held, held)
+
+
+def test_loads_survive_odd_times(spark):
+    df = spark.sql(
+        "select 'x' event_id, timestamp_ntz'1601-01-01 00:00:00' timestamp, 'p' provider, 'c' channel, 'h' computer, '' user, '' raw_xml "
+        "union all select 'x', timestamp_ntz'9999-01-01 00:00:00', 'p', 'c', 'h', '', '' union all select 'x', timestamp_ntz'2024-01-01 00:00:00', 'p', 'c', 'h', '', ''"
+    )
+    good, rejected = quarantine(df)
+    assert good.count() == 1 and {r.reason for r in rejected.collect()} == {"time out of range"}
+    ticks = spark.createDataFrame([(0,), (1,), (9_000_000_000_000_000_000,), (133_000_000_000_000_000,), (None,)], "t long")
+    got = ticks.select(filetime_to_ns(F.col("t")).isNull(), filetime_problem(F.col("t")).isNotNull()).collect()
+    assert [tuple(r) for r in got] == [(True, False), (True, True), (True, True), (False, False), (True, False)]
+
+
+def test_payloads_of_any_depth(spark):
+    docs = [
+        '{"a.b":1,"a":{"b":2}}', '{"a":{"b":{"c":{"d":{"e":{"f":1}}},"x":[1,{"y":2}]}}}', '{"a":{"b":{"c":{"d":{}}}}}', "not json", None, "[1]",
+        '{"q":{"a":{"b":{"c":{"d":null,"e":"t","f":true}}}},"q.a.b.c.e":"later"}',
+    ]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
+    got = {r.i: r.m for r in df.select("i", flatten_payload(F.col("d")).alias("m")).collect()}
+    assert got[0] == {"a.b": "1"} and got[1] == {"a.b.c.d.e.f": "1", "a.b.x": '[1,{"y":2}]'} and got[2] == {"a.b.c.d": "{}"}
+    assert got[3] == got[4] == got[5] == {} and got[6] == {"q.a.b.c.d": "", "q.a.b.c.e": "later", "q.a.b.c.f": "true"}
