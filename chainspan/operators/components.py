@@ -74,28 +74,67 @@ def component_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def step_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, rank, forced): length of the longest path of edges that ends in a node.
 
-    Round r keeps the edges whose source can be reached over r edges, so a node is among their targets exactly when a
-    path of r + 1 edges ends in it: the last such round gives its rank. The edges shrink every round, and there are as
-    many rounds as the longest chain has steps. If they stop shrinking there is a circle, which is then opened by
-    force.
+    A node with one predecessor ranks one above it, so chains and trees are climbed by pointer jumping and taken out,
+    their outgoing edges put on the node they hang from with the length added. Then all nodes nothing leads to are
+    ranked and what they reach is remembered as a floor, after which more nodes have one predecessor. The number of
+    rounds follows the branching, not the length of chains. Circles are opened by force.
     """
-    layers = [durable(_inner_edges(nodes, edges))]
-    sizes = [layers[0].count()]
-    while sizes[-1]:
-        reached = layers[-1].select(F.col("dst").alias("src")).distinct()
-        layers.append(durable(layers[-1].join(reached, "src", "left_semi").select("src", "dst")))
-        sizes.append(layers[-1].count())
-        if sizes[-1] == sizes[-2]:
-            return _rank_with_circles(nodes, layers[0])
-    ranked = None
-    for r, layer in enumerate(layers[:-1]):
-        part = layer.select(F.col("dst").alias("id"), F.lit(r + 1).alias("rank"))
-        ranked = part if ranked is None else ranked.unionByName(part)
+    inner = durable(_inner_edges(nodes, edges))
     ids = nodes.select("id").distinct()
-    if ranked is None:
-        return ids.select("id", F.lit(0).alias("rank"), F.lit(False).alias("forced"))
-    top = ranked.groupBy("id").agg(F.max("rank").alias("rank"))
-    return ids.join(top, "id", "left").select("id", F.coalesce("rank", F.lit(0)).alias("rank"), F.lit(False).alias("forced"))
+    nothing = ids.limit(0).select("id", F.lit(0).cast("bigint").alias("rank"))
+    left = inner.withColumn("w", F.lit(1).cast("bigint"))
+    floors, done, climbs = nothing, nothing, []
+    while not left.isEmpty():
+        single = left.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up"), F.max("w").alias("d"))
+        steps = single.filter("n = 1").join(floors.withColumnRenamed("rank", "least"), "id", "left").select("id", "up", "d", "least")
+        climb = _climb(durable(steps))
+        if climb is None:
+            return _rank_with_circles(nodes, inner)
+        climbs.append(climb)
+        rest = left.join(climb.select(F.col("id").alias("dst")), "dst", "left_anti")
+        hung = rest.join(climb.select(F.col("id").alias("src"), "up", "d", "least"), "src", "left")
+        hung = durable(hung.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"), (F.col("least") + F.col("w")).alias("least")))
+        left = hung.groupBy("src", "dst").agg(F.max("w").alias("w"))
+        floors = floors.join(climb.select("id"), "id", "left_anti").unionByName(
+            hung.filter("least is not null").select(F.col("dst").alias("id"), F.col("least").alias("rank"))
+        )
+        # Nothing leads to these any more, so their floors are their ranks.
+        free = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+        free = durable(free.join(floors.groupBy("id").agg(F.max("rank").alias("rank")), "id", "left").select("id", F.coalesce("rank", F.lit(0)).alias("rank")))
+        if free.isEmpty() and not left.isEmpty():
+            return _rank_with_circles(nodes, inner)
+        reach = left.join(free.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("rank") + F.col("w")).alias("rank"))
+        floors = durable(floors.join(free.select("id"), "id", "left_anti").unionByName(reach).groupBy("id").agg(F.max("rank").alias("rank")))
+        left = durable(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        done = done.unionByName(free)
+    ranks = done.unionByName(floors)
+    for climb in reversed(climbs):
+        at = ranks.groupBy(F.col("id").alias("up")).agg(F.max("rank").alias("rank"))
+        higher = climb.join(at, "up", "left")
+        above = F.greatest(F.coalesce("rank", F.lit(0)) + F.col("d"), F.coalesce("least", F.lit(0)))
+        ranks = durable(ranks.unionByName(higher.select("id", above.alias("rank"))))
+    top = ranks.groupBy("id").agg(F.max("rank").alias("rank"))
+    return ids.join(top, "id", "left").select("id", F.coalesce("rank", F.lit(0)).cast("int").alias("rank"), F.lit(False).alias("forced"))
+
+
+def _climb(steps: DataFrame) -> DataFrame | None:
+    """(id, up, d, least): each id ranks ``d`` above ``up``, which has no step of its own, or ``least`` if that is more.
+
+    The distance doubles every round; None if the steps run in a circle.
+    """
+    more = steps.select(F.col("id").alias("up"), F.lit(True).alias("more"))
+    hop = durable(steps.join(more, "up", "left").select("id", "up", "d", "least", F.coalesce("more", F.lit(False)).alias("open")))
+    total, n, rounds = hop.count(), hop.filter("open").count(), 0
+    while n and 2**rounds <= total:
+        ahead = hop.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("least").alias("least2"), F.col("open").alias("open2"))
+        moved = hop.filter("open").join(ahead, "up").select(
+            "id", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"),
+            F.greatest("least", F.col("least2") + F.col("d")).alias("least"), F.col("open2").alias("open"),
+        )
+        hop = durable(hop.filter("not open").unionByName(moved))
+        n = hop.filter("open").count()
+        rounds += 1
+    return None if n else hop.select("id", "up", "d", "least")
 
 
 def _rank_with_circles(nodes: DataFrame, inner: DataFrame) -> DataFrame:

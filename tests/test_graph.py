@@ -68,3 +68,32 @@ def test_tree_depth(spark):
 def test_step_rank_without_edges(spark):
     nodes, edges = frames(spark, 3, [(0, 1)])
     assert c.step_rank(nodes, edges.filter(F.lit(False))).agg(F.sum("rank")).first()[0] == 0
+
+
+def longest(n, pairs):
+    rank = [0] * n
+    for _ in range(n):
+        for a, b in pairs:
+            rank[b] = max(rank[b], rank[a] + 1)
+    return rank
+
+
+def test_step_rank_of_branching_graphs(spark):
+    rnd = random.Random(8)
+    for n, m in ((12, 14), (30, 34), (25, 80)):
+        pairs = sorted({tuple(sorted(rnd.sample(range(n), 2))) for _ in range(m)})
+        nodes = spark.range(n)
+        edges = spark.createDataFrame(pairs, "src long, dst long")
+        got = {r.id: (r.rank, r.forced) for r in c.step_rank(nodes, edges).collect()}
+        assert got == {i: (r, False) for i, r in enumerate(longest(n, pairs))}
+
+
+def test_step_rank_of_a_long_ladder_takes_few_jobs(spark):
+    n = 20_000
+    nodes = spark.range(2 * n)
+    edges = spark.range(1, n).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    edges = edges.union(spark.range(n).select((F.col("id") + n).alias("src"), F.col("id").alias("dst")))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = c.step_rank(nodes, edges).filter(f"id < {n}").agg(F.max("rank"), F.count_if(F.col("rank") != F.col("id") + 1)).first()
+    assert tuple(got) == (n, 0)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 600
