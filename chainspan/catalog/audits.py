@@ -308,7 +308,7 @@ def _documents(spark, sf):
     code = F.col("event_type")
     open_, seq = F.concat(F.lit('{"name": "R '), code, F.lit('", "channels": ["S"]')), F.concat(F.lit(', "sequence": ["'), code, F.lit('", "x"]'))
     doc = (
-        F.when(k == 0, F.concat(open_, seq, F.lit("}")))
+        F.when(k == 0, F.concat(open_, seq, F.lit(', "match_scope": "global"}')))
         .when(k == 1, F.concat(open_, F.lit(', "sequence": ["'), code, F.lit('"]}')))
         .when(k == 2, F.concat(open_, seq))
         .when(k == 3, F.concat(F.lit('{"name": " "'), seq, F.lit(', "format_version": 1}')))
@@ -340,7 +340,7 @@ def validated(spark, sf):
     return checks.validate_rules(_documents(spark, sf))
 
 
-_NOTES = [(m, "no_description", "description") for m in (0, 1, 3, 4, 5, 6, 7, 8)] + [(m, "no_channels", "channels") for m in (3, 7)]
+_NOTES = [(m, "no_description", "description") for m in (0, 1, 3, 4, 5, 6, 7, 8)] + [(m, "no_channels", "channels") for m in (3, 7)] + [(0, "global_without_fields", "match_scope")]
 
 
 @query(

@@ -177,6 +177,8 @@ def advise_rules(docs: DataFrame) -> DataFrame:
         note(F.size("channels") == 0, "no_channels", "channels"),
         *[note(known_algo & on & ~_reads(f), "field_not_for_algorithm", f) for f, on in filled.items()],
         note(known_algo & no_sequence & (F.size("sequence") > 0), "sequence_ignored", "sequence"),
+        # Legal for every matcher, but then one stream of all computers' events is matched.
+        note(known_algo & ~no_sequence & (trimmed(F.col("match_scope")) == "global") & (F.size("match_fields") == 0), "global_without_fields", "match_scope"),
         F.transform(extra, lambda k: F.struct(F.lit("unknown_field").alias("code"), k.alias("field"))),
     )
     ok = _parsed(docs).filter(~F.col("_bad") & ~F.col("_too_large"))
