@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chainspan.catalog.frames import CANON, WITH_CANON, canon_of, table
-from chainspan.catalog.registry import query
+from chainspan.catalog.registry import ORACLES, query
 from chainspan.session import checkpoint_root
 from chainspan.streaming import capture as c
 
@@ -32,13 +32,36 @@ def _captured(spark, sf) -> str:
       QUALIFY row_number() OVER (PARTITION BY canon.hash_normalized ORDER BY id) = 1""",
 )
 def captured(spark, sf):
-    out = c.captured_events(spark, _captured(spark, sf))
+    return _shown(c.captured_events(spark, _captured(spark, sf)))
+
+
+def _shown(out):
     pairs = F.transform(F.array_sort(F.map_entries("source_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.select(
         "id", "event_code", "ts_ns", "hash_normalized", "dedup_count", F.array_join(pairs, ";").alias("source_counts")
     )
 
 
+CAPTURED_SQL = ORACLES["capture_events"]
+
+
+@query("capture_compacted", CAPTURED_SQL)
+def compacted(spark, sf):
+    """The same table after its batches were folded."""
+    tables = _captured(spark, sf)
+    c.compact(spark, tables)
+    return _shown(c.captured_events(spark, tables))
+
+
+@query("capture_reset", WITH_CANON + "SELECT channel, max(id) + 1 AS position FROM canon WHERE channel <> 'Security' GROUP BY channel")
+def reset(spark, sf):
+    """Positions after one channel was reset and the batches were folded."""
+    tables = _captured(spark, sf)
+    c.reset_position(spark, tables, "Security")
+    c.compact(spark, tables)
+    return c.positions(spark, tables)
+
+
 @query("capture_positions", WITH_CANON + "SELECT channel, max(id) + 1 AS position FROM canon GROUP BY channel")
 def position(spark, sf):
     return c.positions(spark, _captured(spark, sf))
