@@ -57,16 +57,35 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Tables written and not yet discarded, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a columnar table in the checkpoint folder and continue from it.
 
-    For results several later steps read a few columns each of; row order is not kept, ``durable`` is for that.
+    For results several later steps read a few columns each of; row order is not kept, ``durable`` is for that. The table
+    stays until ``discard_written``.
     """
     path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> int:
+    """Delete the tables ``written`` has made in this application; returns how many.
+
+    For use once the results that read them are stored.
+    """
+    sc = spark.sparkContext
+    paths = _WRITTEN.pop(sc.applicationId, [])
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application."""
     sc = spark.sparkContext

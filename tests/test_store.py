@@ -1,5 +1,8 @@
+import os
+
 import pytest
 from chainspan.functions.times import filetime_problem, filetime_to_ns
+from chainspan.session import discard_written, written
 from chainspan.sources.payload import flatten_payload
 from pyspark.sql import functions as F
 
@@ -143,6 +146,14 @@ def test_snapshots_are_many_and_can_be_deleted(spark, tmp_path):
         snapshot.delete_snapshots(held, held)
 
 
+def test_written_tables_can_be_discarded(spark):
+    discard_written(spark)
+    df = written(spark.range(5))
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(folder)
+    assert discard_written(spark) == 1 and not os.path.exists(folder) and discard_written(spark) == 0
+
+
 def test_loads_survive_odd_times(spark):
     df = spark.sql(
         "select 'x' event_id, timestamp_ntz'1601-01-01 00:00:00' timestamp, 'p' provider, 'c' channel, 'h' computer, '' user, '' raw_xml "
