@@ -68,8 +68,14 @@ class Lines(HTMLParser):
             return not any(t in ("article", "main") for t, _ in self.open)
         if tag in ("html", "body", "main", "article"):
             return False
-        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-        return bool(named) and not MARKS.isdisjoint(re.split("[^a-z]+", named.lower()))
+        named, hidden = [], False
+        for k, v in attrs:
+            hidden = hidden or k == "hidden" or (k == "style" and "display:none" in (v or "").replace(" ", "").lower())
+            if v and k in ("class", "id", "role"):
+                named += re.split("[^a-z]+", v.lower())
+        if hidden or not MARKS.isdisjoint(named):
+            return True
+        return tag in ("div", "section") and "header" in named and not any(t in ("article", "main") for t, _ in self.open)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1

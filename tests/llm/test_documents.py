@@ -168,7 +168,7 @@ def test_pieces_have_the_ids_of_the_whole():
     assert [x.tolist() for x in e.encode(texts)] == e.raw(texts)
 
 
-PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li>Menu</ul></nav>
+PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header><div id="page-header">Top</div><p style="display: none">Unseen</p><nav><ul><li>Menu</ul></nav>
 <div class="cookie-notice">We use cookies to make this very long notice longer than the article itself, really.</div><aside><p>Side</p></aside>
 <article><h1>A  title</h1><p>First &amp; <b>bold</b>&nbsp;text<br>after.<p>Second.<div class="ad"><p>Buy</p></div><ul><li>one<li>two</ul><form><input value=x>Name</form></article>
 <section id="comments"><p>What a nice article, I liked it so much that I write a long comment.</p></section><footer>&copy; all</footer></body></html>"""
