@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,18 @@ SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 16_384
 DICTIONARY_BYTES = 65_536
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 #: Pieces of text a worker remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
-_PIECE = re.compile(r"\s*\S+|\s+")
+# A word of letters up to a stop, a stop after it, or any run of white space with what follows it. Tokens end at all of
+# these places: a letter and a stop are never in one token, nor white space and what stands before it.
+_PIECE = re.compile(r"\s*+[A-Za-zÀ-ÖØ-öø-ɏ]++(?![^\s.,])|[.,](?!\S)|\s*\S+|\s+")
 #: Characters on which Python and the tokenizer may disagree whether they are white space.
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
 
 
+_ENDS = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct piece of text once.
 
@@ -58,22 +64,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # In a byte-level vocabulary each character of a token stands for one byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[str, int] = {}
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has.
+
+        Pieces that begin with white space and end without are encoded many at a time, as a text, and told apart by the
+        bytes their ids stand for.
+        """
+        joined: list[str] = []
+        rest: list[str] = []
+        for p in pieces:
+            (joined if p[0] in " \n" and p[-1] not in _ENDS else rest).append(p)
+        flat, counts = [], []
+        for lo in range(0, len(joined), 512):
+            some = joined[lo : lo + 512]
+            text = "".join(some)
+            ids = np.array(self.raw([text])[0], np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, some if text.isascii() else [p.encode("utf-8", "surrogatepass") for p in some]), np.int64, len(some)))
+            at = np.searchsorted(np.cumsum(self.bytes[ids]), ends)
+            n = np.diff(at, prepend=-1)
+            if "<|" in text or not len(ids) or at[-1] != len(ids) - 1:
+                made = self.raw(some)
+                n, ids = np.array([len(m) for m in made]), np.fromiter((i for m in made for i in m), np.uint32)
+            flat.append(ids), counts.append(n)
+        made = self.raw(rest)
+        flat.append(np.fromiter((i for m in made for i in m), np.uint32)), counts.append(np.array([len(m) for m in made], np.int64))
+        pieces[:] = joined + rest
+        return np.concatenate(flat), np.concatenate(counts)
+
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         cut = [[t] if _DOUBTFUL.search(t) else _PIECE.findall(t) for t in (x or "" for x in texts)]
-        flat = [p for pieces in cut for p in pieces]
+        flat = list(chain.from_iterable(cut))
         table = self.known
-        fresh = list(dict.fromkeys(p for p in flat if p not in table))
+        fresh = list(set(flat).difference(table))
         ids, starts = self.ids, self.starts
         if fresh:
-            made = self.raw(fresh)
-            ids = np.concatenate([ids, np.fromiter((i for m in made for i in m), np.uint32)])
-            starts = np.concatenate([starts, starts[-1] + np.cumsum([len(m) for m in made])])
+            made, n = self.pieces(fresh)
+            ids, starts = np.concatenate([ids, made]), np.concatenate([starts, starts[-1] + np.cumsum(n)])
             numbers = zip(fresh, range(len(table), len(table) + len(fresh)), strict=True)
             if len(table) + len(fresh) <= REMEMBERED:
                 table.update(numbers)
@@ -124,7 +160,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int) -
 
 
 def _compressor(data: bytes) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data)) if data else zstandard.ZstdCompressor(level=3)
+    if not data:
+        return zstandard.ZstdCompressor(level=3)
+    shared = zstandard.ZstdCompressionDict(data)
+    shared.precompute_compress(level=3)
+    return zstandard.ZstdCompressor(level=3, dict_data=shared)
 
 
 def _decompressor(data: bytes, expected: str) -> zstandard.ZstdDecompressor:
