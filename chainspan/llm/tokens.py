@@ -40,7 +40,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 16_384
 DICTIONARY_BYTES = 65_536
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 #: Pieces of text a worker remembers the ids of.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 # A word of letters up to a stop, a stop after it, or any run of white space with what follows it. Tokens end at all of
 # these places: a letter and a stop are never in one token, nor white space and what stands before it.

@@ -37,7 +37,7 @@ LEAST_DOCS = 4
 LIFT = 4.0
 PURE = 25.0
 #: Tokens whose scores a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _LETTERS = bytes(i if i >= 0x80 or 97 <= i <= 122 else 32 for i in range(256))
 _TOKEN = re.compile("[a-z\x80-\U0010ffff]+")
 
