@@ -260,7 +260,8 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("node", "comp", "copies", "block", "units")), sets], ["node", "comp", "copies", "block", "units", "shingles"])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    met = texts.join(dealt, (texts["key"] == dealt["text_key"]) & texts["doc_id"].eqNullSafe(dealt["first_id"]))
+    # The same plan at every size: a broadcast of few members would turn into a shuffle of texts as they grow.
+    met = texts.join(dealt.hint("merge"), (texts["key"] == dealt["text_key"]) & texts["doc_id"].eqNullSafe(dealt["first_id"]))
     unit = "array<struct<unit:long,i:int,j:int,shared:boolean>>"
     spelt = with_python(met.select("node", "comp", "copies", "block", "units", "text")).mapInArrow(spell, f"node long, comp long, copies long, block int, units {unit}, shingles binary")
     spelt = spelt.withColumn("u", F.explode("units")).select("u.*", "node", "comp", "copies", "block", "shingles")
