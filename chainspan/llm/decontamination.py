@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,16 @@ UNITS = frozenset(
 WORD_KIND, NUMBER, NAME, UNIT, NOTHING = range(5)
 _NUMBER = re.compile(r"([$€£¥]?)[+-]?(\d[\d.,:/]*)(\D*)")
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "%$°") + "“”‘’«»¿¡…–—"
-_PLACEHOLDERS = mix(np.arange(1, 5, dtype=np.uint64))
+_PLACEHOLDERS = mix(np.arange(1, 6, dtype=np.uint64))
 
 
 def canon(word: str) -> tuple[list[tuple[int, int]], bool, bool]:
     """The (kind, value hash) template words of a word, whether it is capitalised, and whether a sentence ends with it."""
+    if word.isascii() and len(word) > 2:  # most words are letters, with a stop or without
+        stop = word[-1] if word[-1] in ",.;:!?" else ""
+        bare = word[:-1] if stop else word
+        if bare.isalpha() and (low := bare.lower()) not in UNITS:
+            return [(WORD_KIND, zlib.crc32(low.encode()))], bare[0].isupper(), stop in (".", "!", "?", ":")
     bare = word.strip(_EDGE)
     ends = word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":")
     if not bare:
@@ -64,36 +70,53 @@ def canon(word: str) -> tuple[list[tuple[int, int]], bool, bool]:
 
 
 class Templates:
-    """Turns texts into template words; remembers what words turn into."""
+    """Turns texts into template words, many texts at a time; remembers what words turn into."""
 
     def __init__(self, remembered: int = 300_000) -> None:
-        self.known: dict[str, int] = {}
-        self.kind, self.value, self.size, self.capital, self.ends = [], [], [], [], []
         self.remembered = remembered
+        self.clear()
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, kinds, values) of a text's template words."""
-        words = (text or "").split()
-        if len(self.known) > self.remembered:
-            self.__init__(self.remembered)
-        for w in {w for w in words if w not in self.known}:
-            found, capital, ends = canon(w)
-            self.known[w] = len(self.size)
-            k = (found + [(NOTHING, 0)] * 3)[:3]
-            self.kind.append([x for x, _ in k]), self.value.append([v for _, v in k])
-            self.size.append(len(found)), self.capital.append(capital), self.ends.append(ends)
-        if not words:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        some, back = np.unique(at, return_inverse=True)
-        pick = lambda column, dtype: np.array([column[i] for i in some.tolist()], dtype)[back]
-        kind, value = pick(self.kind, np.int64), pick(self.value, np.uint64)
-        inside = np.concatenate([[False], ~pick(self.ends, bool)[:-1]])
-        name = pick(self.capital, bool) & inside & (kind[:, 0] == WORD_KIND)
-        kind[name, 0] = NAME
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        # Up to three template words per word; of each its kind, value and code.
+        self.kind, self.value, self.code = np.empty((0, 3), np.int8), np.empty((0, 3), np.uint64), np.empty((0, 3), np.uint64)
+        self.capital, self.ends = np.empty(0, bool), np.empty(0, bool)
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > self.remembered:
+            self.clear()
+        found = [canon(w) for w in words]
+        kind, value = np.full((len(words), 3), NOTHING, np.int8), np.zeros((len(words), 3), np.uint64)
+        for i, (made, _, _) in enumerate(found):
+            for j, (k, v) in enumerate(made):
+                kind[i, j], value[i, j] = k, v
+        code = np.where(kind == WORD_KIND, mix(value + np.uint64(1 << 33)), _PLACEHOLDERS[np.clip(kind, 0, 3)])
+        self.known.update(zip(words, range(len(self.kind), len(self.kind) + len(words)), strict=True))
+        self.kind, self.value, self.code = np.concatenate([self.kind, kind]), np.concatenate([self.value, value]), np.concatenate([self.code, code])
+        self.capital = np.concatenate([self.capital, np.array([c for _, c, _ in found], bool)])
+        self.ends = np.concatenate([self.ends, np.array([e for _, _, e in found], bool)])
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, kinds, values, bounds) of the texts' template words, one text after the other."""
+        cut = [(t or "").split() for t in texts]
+        flat = list(chain.from_iterable(cut))
+        distinct = set(flat)
+        fresh = distinct.difference(self.known)
+        if fresh and len(self.known) + len(fresh) > self.remembered:
+            fresh = distinct
+        self.learn(list(fresh))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        ends = np.cumsum([len(w) for w in cut], dtype=np.int64)
+        inside = np.ones(len(at), bool)
+        inside[1:] = ~self.ends[at[:-1]]
+        first = np.concatenate([[0], ends[:-1]])
+        inside[first[first < len(at)]] = False
+        kind, value, code = self.kind[at], self.value[at], self.code[at]
+        name = self.capital[at] & inside & (kind[:, 0] == WORD_KIND)
+        kind[name, 0], code[name, 0] = NAME, _PLACEHOLDERS[NAME]
         keep = kind != NOTHING
-        kinds, values = kind[keep], value[keep]
-        return np.where(kinds == WORD_KIND, mix(values + np.uint64(1 << 33)), _PLACEHOLDERS[np.minimum(kinds, 3)]), kinds, values
+        before = np.concatenate([[0], np.cumsum(keep.sum(axis=1))])
+        return code[keep], kind[keep].astype(np.int64), value[keep], np.concatenate([[0], before[ends]]).astype(np.int64)
 
 
 def windows(codes: np.ndarray, kinds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +143,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         t = Templates()
         for b in batches:
             out: list[tuple] = []
-            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                codes, kinds, values = t.of(text)
+            every = t.of(b.column("text").to_pylist())
+            for k, item in enumerate(b.column("item_id").to_pylist()):
+                codes, kinds, values = (x[every[3][k] : every[3][k + 1]] for x in every[:3])
                 n = min(WINDOW, len(codes))
                 if n >= LEAST_WORDS:
                     h, good = windows(codes, kinds, n)
@@ -153,13 +177,16 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         t, (bits, sizes) = Templates(), sent.value
         for b in rows_of(batches):
             out: list[tuple] = []
-            for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                codes, kinds, values = t.of(text)
-                for n in sizes:
-                    h, good = windows(codes, kinds, n)
-                    top = h >> np.uint64(64 - BITMAP)
-                    maybe = good & ((bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    out += [(doc, key, int(h[i : i + 1].view(np.int64)[0]), i, _slots(kinds, values, i, n)) for i in np.flatnonzero(maybe).tolist()]
+            codes, kinds, values, bounds = t.of(b.column("text").to_pylist())
+            docs, keys = b.column("doc_id").to_pylist(), b.column("text_key").to_pylist()
+            for n in sizes:
+                h, good = windows(codes, kinds, n)
+                top = h >> np.uint64(64 - BITMAP)
+                maybe = np.flatnonzero(good & ((bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool))
+                of = np.searchsorted(bounds, maybe, side="right") - 1
+                within = maybe + n <= bounds[of + 1]  # not across the end of a text
+                for i, k in zip(maybe[within].tolist(), of[within].tolist(), strict=True):
+                    out.append((docs[k], keys[k], int(h[i : i + 1].view(np.int64)[0]), i - int(bounds[k]), _slots(kinds, values, i, n)))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), _LONGS]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], ["doc_id", "text_key", "hash", "at", "found"])
 
