@@ -1,11 +1,11 @@
 """Similarity join of documents on word shingles: a forest of MinHash signatures, then exact verification.
 
 1. Documents with the same shingles are one node; copies are counted, never paired.
-2. A node's signature is cut into trees of ``DEPTH`` values. Each tree is sorted as a whole, by ranges of (tree, values,
-   node), so a group of near copies spans as many tasks as it needs; neighbours in the order share the longest prefixes.
-3. Prefixes are shortened from ``DEPTH`` on until the pairs met make up the target share of all similar pairs, whose
-   number is estimated from those met at the shortest prefix, each by the chance that a pair of its likeness is. Neighbours sharing that much whose
-   signatures do not rule out similarity are linked, and linked nodes form candidate groups.
+2. A node's signature is cut into trees of ``DEPTH`` values. Nodes that share a prefix of a tree are a bucket. The prefix is
+   the longest at which pairs right at the threshold share one with the target chance, so whether a pair is met does not
+   depend on other rows.
+3. All nodes of a bucket are compared by signature, those of a large bucket in pairs of blocks, and a spanning forest of
+   the pairs whose signatures do not rule similarity out comes back. Its trees form candidate groups.
 4. Within a candidate group all pairs are verified on the whole shingle sets. Large groups are cut into blocks and pairs
    of blocks are verified side by side; a block pair reports link counts and a spanning forest, never pairs.
 5. Classes are the connected components of verified links.
@@ -20,8 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan.llm.common import mix, parts, rolling, rows_of, strong_word_hashes, with_python
@@ -31,12 +30,12 @@ from chainspan.session import written
 SHINGLE, THRESHOLD = 5, (4, 5)
 TREES, DEPTH, SHORTEST = 16, 8, 3
 RECALL = 0.999
-#: Neighbours looked at on each side in a sorted tree.
-REACH = 2
 #: Signatures agreeing in fewer than this share of values rule a link out: five deviations below the threshold.
 RULED_OUT = 0.62
 #: Nodes, and shingles, a block holds.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
+#: Nodes a block of a bucket holds, and rows of whole buckets in a unit.
+BUCKET_NODES, UNIT_ROWS = 512, 20_000
 
 _FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -80,59 +79,6 @@ def node_of(s: np.ndarray) -> int | None:
     return int(mix(np.bitwise_xor.reduce(mix(s + at * np.uint64(0x9E3779B97F4A7C15)), keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
-def shared_prefix(a: bytes, b: bytes) -> int:
-    if a == b:
-        return DEPTH
-    return next(k for k in range(DEPTH) if a[2 * k : 2 * k + 2] != b[2 * k : 2 * k + 2])
-
-
-def neighbours(nodes: DataFrame) -> DataFrame:
-    """(a, b, depth): nodes within ``REACH`` of each other in a sorted tree and the longest prefix they share in any."""
-    spark = nodes.sparkSession
-    trees = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    trees = trees.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("path"), "node")
-    ordered = trees.repartitionByRange(max(2, parts(spark)), "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-    names = ["a", "b", "depth", "part", "place", "tree", "path"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        last: list[tuple[int, bytes, int]] = []
-        place = 0
-        for b in batches:
-            out: list[tuple] = []
-            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if place < REACH:  # the first rows may be neighbours of the partition before
-                    out.append((row[2], None, None, part, place, row[0], row[1]))
-                out += near(last, row)
-                last = [*last, row][-REACH:]
-                place += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names)
-        tail = [(r[2], None, None, part, k - len(last), r[0], r[1]) for k, r in enumerate(last)]
-        if tail:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*tail, strict=True), types, strict=True)], names)
-
-    def near(last: list[tuple[int, bytes, int]], row: tuple[int, bytes, int]) -> list[tuple]:
-        found = []
-        for tree, path, node in last:
-            if tree == row[0] and node != row[2] and (depth := shared_prefix(path, row[1])) >= SHORTEST:
-                found.append((min(node, row[2]), max(node, row[2]), depth, None, None, None, None))
-        return found
-
-    met = written(with_python(ordered).mapInArrow(walk, "a long, b long, depth int, part int, place int, tree int, path binary"))
-    # At most 2 * REACH rows of each partition: where it begins and ends.
-    seams = sorted(met.filter("part is not null").collect(), key=lambda r: (r.part, r.place < 0, r.place))
-    across: list[tuple] = []
-    last: list[tuple[int, bytes, int]] = []
-    for r in seams:
-        row = (r.tree, bytes(r.path), r.a)
-        if r.place >= 0:
-            across += near(last, row)
-        last = [*[x for x in last if x != row], row][-REACH:]
-    more = spark.createDataFrame([x[:3] for x in across], "a long, b long, depth int")
-    return met.filter("part is null").select("a", "b", "depth").unionByName(more).groupBy("a", "b").agg(F.max("depth").alias("depth"))
-
-
 def depth_for(counts: list[tuple[int, float, int]], recall: float) -> int:
     """The longest prefix that meets ``recall``; counts are (depth met at, likeness, pairs) of pairs likely similar.
 
@@ -146,23 +92,70 @@ def depth_for(counts: list[tuple[int, float, int]], recall: float) -> int:
     return SHORTEST
 
 
-def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(src, dst) of nodes that may be linked or lie on the way between linked ones."""
+def prefix_for(recall: float) -> int:
+    """The longest prefix at which ``recall`` of the pairs right at the threshold share a bucket, whatever else a table holds."""
+    s = THRESHOLD[0] / THRESHOLD[1]
+    met = [1 - (1 - s**d) ** TREES for d in range(SHORTEST, DEPTH + 1)] + [0.0]
+    return depth_for([(d, s, met[k] - met[k + 1]) for k, d in enumerate(range(SHORTEST, DEPTH + 1))], recall)
+
+
+def buckets(nodes: DataFrame, depth: int) -> DataFrame:
+    """(key, node, n): the nodes of each prefix that two or more share; of prefixes with the same nodes one."""
+    trees = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    keyed = trees.select(F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * depth})")).alias("key"), "node")
+    # Sets of nodes are told apart by their size and 128 bits.
+    sets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (3, 4)))
+    one = written(sets.filter("n > 1").groupBy("n", "x3", "x4").agg(F.min("key").alias("key")).select("key", "n"))
+    return keyed.join(one, "key")
+
+
+def meet(rows: pa.Table) -> pa.Table:
+    """(src, dst): a spanning forest of the nodes in each bucket of a unit whose signatures do not rule similarity out."""
     size = TREES * DEPTH
-    n = neighbours(nodes)
-    for side in ("a", "b"):
-        n = n.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    key, node, block = (rows[k].to_numpy() for k in ("key", "node", "block"))
+    sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(-1, size)
+    order = np.lexsort((node, key))
+    key, node, block, sigs = key[order], node[order], block[order], sigs[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(start, len(key)))
+    a, b = rows["i"][0].as_py(), rows["j"][0].as_py()
+    two = start[n == 2]
+    if a != b:  # pairs within a block have a unit of their own
+        two = two[block[two] != block[two + 1]]
+    two = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= RULED_OUT * size]
+    src, dst = [node[two + 1]], [node[two]]
+    for at, m in zip(start[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+        these, columns = slice(at, at + m), np.ascontiguousarray(sigs[at : at + m].T)
+        same = np.zeros((m, m), np.uint8)
+        for c in columns:
+            same += c[:, None] == c[None, :]
+        yes = same >= RULED_OUT * size
+        if a != b:
+            yes &= block[these][:, None] != block[these][None, :]
+        low = roots(yes, node[these])
+        src.append(node[these][low != node[these]])
+        dst.append(low[low != node[these]])
+    return pa.Table.from_pydict({"src": np.concatenate(src), "dst": np.concatenate(dst)}, schema=pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
+
+
+def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(src, dst): a spanning forest of the nodes that may be linked or lie on the way between linked ones."""
+    members = buckets(nodes, prefix_for(recall)).withColumn("blocks", F.ceil(F.col("n") / BUCKET_NODES).cast("int"))
+    members = written(members.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")))
+    small = members.filter("blocks = 1").count()
+    signed_ones = members.join(nodes.select("node", "sig"), "node")
+    bins = max(parts(nodes.sparkSession), -(-small // UNIT_ROWS))
+    whole, paired = units_of("key", bins)
+    dealt = signed_ones.select("key", "node", "block", "sig", F.explode(F.when(F.col("blocks") == 1, whole).otherwise(paired)).alias("u"))
+    dealt = with_python(dealt.select("u.*", "key", "node", "block", "sig"))
+    return dealt.groupBy("shared", "unit", "i", "j").applyInArrow(meet, "src long, dst long").distinct()
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, size) for k in ("sig_a", "sig_b"))
-            same = (x == y).sum(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("depth"), pa.array(same, pa.int32())], ["a", "b", "depth", "same"])
 
-    met = written(n.select("a", "b", "depth", "sig_a", "sig_b").mapInArrow(agree, "a long, b long, depth int, same int"))
-    likely = met.filter(F.col("same") * THRESHOLD[1] >= THRESHOLD[0] * size).groupBy("depth", "same").agg(F.count(F.lit(1)).alias("n")).collect()
-    depth = depth_for([(r.depth, r.same / size, r.n) for r in likely], recall)
-    return met.filter((F.col("depth") >= depth) & (F.col("same") >= RULED_OUT * size)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def units_of(group: str, bins: int) -> tuple[Column, Column]:
+    """Where a row is worked on: small groups share units; a block of a large one meets every block."""
+    whole = F.array(F.struct(F.pmod(F.xxhash64(group), F.lit(bins)).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("shared")))
+    paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col(group).alias("unit"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.lit(False).alias("shared")))
+    return whole, paired
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -249,9 +242,7 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     small = sizes.filter("blocks = 1").agg(F.sum("total").alias("n")).first()
     bins = max(parts(spark), -(-(small.n or 0) // BLOCK_SHINGLES))
     dealt = members.join(sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks")).cast("int"))
-    # Small groups share units; a block of a large one meets every block.
-    whole = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("shared")))
-    paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("component").alias("unit"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.lit(False).alias("shared")))
+    whole, paired = units_of("component", bins)
     dealt = dealt.select(F.col("id").alias("node"), F.col("component").alias("comp"), "copies", "first_id", "text_key", "block", F.when(F.col("blocks") == 1, whole).otherwise(paired).alias("units"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

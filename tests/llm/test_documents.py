@@ -59,6 +59,22 @@ def test_jaccard_join_against_all_pairs(spark, small, monkeypatch):
     assert [got[i].class_id for i, _ in rows] == [rows[t][0] for t in top]
 
 
+def test_jaccard_join_behind_a_shared_passage(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = [f"s{i}" for i in range(90)]
+    rows = []
+    for k in range(400):  # pages of one template, alike to a half, and near copies of some
+        own = [f"o{k}x{i}" for i in range(40)]
+        rows.append((k, " ".join(shared + own)))
+        if k % 8 == 0:
+            rows.append((1000 + k, " ".join(shared + own[:28] + [f"p{k}x{i}" for i in range(12)])))
+    monkeypatch.setattr(jaccard, "BUCKET_NODES", 64)  # so that the bucket is compared block by block
+    got = {r.doc_id: r for r in jaccard.similar(documents(spark, [(i, t, "a") for i, t in rows])).collect()}
+    top, links = brute_links(rows)
+    assert sum(links) == 100 and [got[i].n_links for i, _ in rows] == links
+    assert [got[i].class_id for i, _ in rows] == [rows[t][0] for t in top]
+
+
 def test_jaccard_join_edge_cases(messy, empty):
     rows = jaccard.similar(messy).collect()
     assert len(rows) == len(MESSY)
