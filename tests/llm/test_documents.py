@@ -95,6 +95,13 @@ def test_prefix_length_follows_recall():
     assert jaccard.depth_for(unsure, 0.999) < 6 and jaccard.depth_for([], 0.99) == jaccard.SHORTEST
 
 
+@pytest.mark.parametrize("recall", [0.9, 0.99, 0.999, 0.9999])
+def test_prefix_length_holds_recall_at_the_threshold(recall):
+    d = jaccard.prefix_for(recall)
+    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= recall
+    assert d == jaccard.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < recall
+
+
 def brute_passages(rows, n=20):
     seen, out = set(), []
     for i, t in rows:
