@@ -9,8 +9,8 @@ value of the item always meets the same value in the document, and different one
 Before the join, documents drop windows that are surely not in the benchmark by a bitmap of fixed size; what passes by
 chance falls out in the join. The join is an equi-join whatever the sizes, so adaptive execution may split a hot window.
 
-Results in edge cases: null and empty texts hold nothing; items without a window of at least ``LEAST_WORDS`` literal words
-match nothing; items shorter than a window match as a whole; repeated items and repeated documents are each judged.
+Results in edge cases: null and empty texts hold nothing; windows of fewer than ``LEAST_WORDS`` literal words
+match with equal values only; items shorter than a window match as a whole; repeated items and repeated documents are each judged.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan.llm.common import mix, rolling, rows_of, with_python
@@ -119,13 +119,17 @@ class Templates:
         return code[keep], kind[keep].astype(np.int64), value[keep], np.concatenate([[0], before[ends]]).astype(np.int64)
 
 
-def windows(codes: np.ndarray, kinds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of windows of ``n`` template words, and which have enough literal words."""
+def windows(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of windows of ``n`` template words, and which have enough literal words; the others are hashed with their values."""
     h = rolling(codes, n) + np.uint64(n)
     if not len(h):
         return h, np.empty(0, bool)
     literal = np.concatenate([[0], np.cumsum(kinds == WORD_KIND)])
-    return h, literal[n:] - literal[:-n] >= min(n, LEAST_WORDS)
+    good = literal[n:] - literal[:-n] >= min(n, LEAST_WORDS)
+    if not good.all():
+        exact = np.where(kinds == WORD_KIND, codes, mix(codes + values + np.uint64(1)))
+        h = np.where(good, h, mix(rolling(exact, n) + np.uint64(n)))
+    return h, good
 
 
 def _slots(kinds: np.ndarray, values: np.ndarray, at: int, n: int) -> list[int]:
@@ -133,11 +137,16 @@ def _slots(kinds: np.ndarray, values: np.ndarray, at: int, n: int) -> list[int]:
     return [int(v) * 4 + int(k) for k, v in zip(kinds[at : at + n], values[at : at + n], strict=True) if k != WORD_KIND]
 
 
+def _words_in(places: str) -> Column:
+    """How many words the windows at these places hold together."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1)))))
+
+
 _LONGS = pa.list_(pa.int64())
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, item_id, place, size, words, slots) of every window of every item."""
+    """(hash, item_id, place, size, words, open, slots) of every window; open words of the item are in windows that match with other values."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Templates()
@@ -147,14 +156,15 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for k, item in enumerate(b.column("item_id").to_pylist()):
                 codes, kinds, values = (x[every[3][k] : every[3][k + 1]] for x in every[:3])
                 n = min(WINDOW, len(codes))
-                if n >= LEAST_WORDS:
-                    h, good = windows(codes, kinds, n)
-                    out += [(int(h[i : i + 1].view(np.int64)[0]), item, i, n, len(codes), _slots(kinds, values, i, n)) for i in np.flatnonzero(good).tolist()]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), _LONGS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["hash", "item_id", "place", "size", "words", "slots"])
+                if n:
+                    h, good = windows(codes, kinds, values, n)
+                    free = int((np.convolve(good, np.ones(n)) > 0.5).sum())
+                    out += [(x, item, i, n, len(codes), free, _slots(kinds, values, i, n)) for i, x in enumerate(h.view(np.int64).tolist())]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), _LONGS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], ["hash", "item_id", "place", "size", "words", "open", "slots"])
 
     items = with_python(benchmark.select("item_id", "text"))
-    return items.mapInArrow(cut, "hash long, item_id long, place long, size long, words long, slots array<long>")
+    return items.mapInArrow(cut, "hash long, item_id long, place long, size long, words long, open long, slots array<long>")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -180,9 +190,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             codes, kinds, values, bounds = t.of(b.column("text").to_pylist())
             docs, keys = b.column("doc_id").to_pylist(), b.column("text_key").to_pylist()
             for n in sizes:
-                h, good = windows(codes, kinds, n)
+                h, _ = windows(codes, kinds, values, n)
                 top = h >> np.uint64(64 - BITMAP)
-                maybe = np.flatnonzero(good & ((bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool))
+                maybe = np.flatnonzero(((bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool))
                 of = np.searchsorted(bounds, maybe, side="right") - 1
                 within = maybe + n <= bounds[of + 1]  # not across the end of a text
                 for i, k in zip(maybe[within].tolist(), of[within].tolist(), strict=True):
@@ -197,11 +207,15 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # A diagonal has at most one match per place of its item, so these sets are as long as an item at most.
     pairs = F.arrays_zip("slots", "found")
     one = met.groupBy("doc_id", "text_key", "item_id", "start").agg(
-        F.count_distinct("place").alias("n_windows"), F.first("words").alias("words"), F.first("size").alias("size"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        F.count_distinct("place").alias("n_windows"), F.first("words").alias("words"), F.first("size").alias("size"), F.first("open").alias("open"),
+        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     n = F.size("pairs")
     consistent = (n == F.size(F.array_distinct("pairs.slots"))) & (n == F.size(F.array_distinct("pairs.found")))
-    enough = F.col("n_windows") >= F.greatest(F.lit(1), F.least(F.lit(ENOUGH), F.col("words") - 1) - F.col("size") + 1)
+    need = F.greatest(F.col("size"), F.least(F.lit(ENOUGH), F.col("words") - 1))
+    # Windows that match with equal values only do not count against an item met with other values.
+    bound = F.when(F.col("open") > 0, F.least(need, F.col("open"))).otherwise(need)
+    enough = _words_in("places") >= bound
     return one.filter(consistent & enough).select("doc_id", "text_key", "item_id", "start", "n_windows")
 
 

@@ -161,6 +161,15 @@ def test_decontamination_of_other_parameters(spark):
     assert {r.doc_id: r.contaminated for r in rows} == {0: True, 1: False, 2: False, 3: False, 4: False}
 
 
+def test_decontamination_of_items_dense_in_numbers(spark):
+    dense = "Add 3 4 5 6 7 8 9 then name the sum of all these"
+    bench = spark.createDataFrame([(0, dense), (1, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (2, "Osmium density 22.59")], "item_id long, text string")
+    other = dense.replace("3 4 5 6 7 8 9", "13 14 15 16 17 18 19")
+    texts = [f"So. {dense} now.", "see 1 2 3 4 5 6 7 8 9 10 11 12 13 14 end", "the osmium density 22.59 is high", "2 3 4 5 6 7 8 9 1 10 11 12 13 14", "the osmium density 22.6", f"So. {other} now."]
+    rows = decontamination.judged(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench).collect()
+    assert {r.doc_id: list(r["items"]) for r in rows} == {0: [0], 1: [1], 2: [2], 3: [], 4: [], 5: [0]}
+
+
 @pytest.mark.parametrize("which", ["small", "messy"])
 def test_token_files_round_trip(spark, small, messy, which):
     docs = {"small": small, "messy": messy}[which]
