@@ -4,7 +4,8 @@ Words are brought to a template: numbers, names (capitalised words within a sent
 placeholders, other words lose case and punctuation. Windows of ``WINDOW`` template words of the benchmark are joined by
 hash with those of the documents. Matches that lie on one diagonal (document place minus item place) are one occurrence;
 it counts if its windows make up ``ENOUGH`` words of the item or all of a shorter one, and if its slots are consistent: the same
-value of the item always meets the same value in the document, and different ones different ones.
+value of the item always meets the same value in the document, and different ones different ones. Windows with equal values
+that make up as much by themselves are a verbatim copy, whatever the other slots hold.
 
 Before the join, documents drop windows that are surely not in the benchmark by a bitmap of fixed size; what passes by
 chance falls out in the join. The join is an equi-join whatever the sizes, so adaptive execution may split a hot window.
@@ -208,15 +209,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.arrays_zip("slots", "found")
     one = met.groupBy("doc_id", "text_key", "item_id", "start").agg(
         F.count_distinct("place").alias("n_windows"), F.first("words").alias("words"), F.first("size").alias("size"), F.first("open").alias("open"),
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("slots") == F.col("found"), F.col("place"))).alias("same"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     n = F.size("pairs")
     consistent = (n == F.size(F.array_distinct("pairs.slots"))) & (n == F.size(F.array_distinct("pairs.found")))
     need = F.greatest(F.col("size"), F.least(F.lit(ENOUGH), F.col("words") - 1))
     # Windows that match with equal values only do not count against an item met with other values.
     bound = F.when(F.col("open") > 0, F.least(need, F.col("open"))).otherwise(need)
-    enough = _words_in("places") >= bound
-    return one.filter(consistent & enough).select("doc_id", "text_key", "item_id", "start", "n_windows")
+    enough = consistent & (_words_in("places") >= bound)
+    verbatim = _words_in("same") >= need
+    return one.filter(enough | verbatim).select("doc_id", "text_key", "item_id", "start", "n_windows")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -170,6 +170,14 @@ def test_decontamination_of_items_dense_in_numbers(spark):
     assert {r.doc_id: list(r["items"]) for r in rows} == {0: [0], 1: [1], 2: [2], 3: [], 4: [], 5: [0]}
 
 
+def test_decontamination_of_a_copy_with_one_name_changed(spark):
+    item = "The report says that Smith wrote the first part of the long paper while he stayed at home, and later on Smith added all of the tables that readers know so well today."
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = [item, item.replace("on Smith", "on Jones"), item.replace("that Smith", "that Jones"), item.replace("Smith", "Jones")]
+    rows = decontamination.judged(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench).collect()
+    assert {r.doc_id: r.contaminated for r in rows} == {0: True, 1: True, 2: True, 3: True}
+
+
 @pytest.mark.parametrize("which", ["small", "messy"])
 def test_token_files_round_trip(spark, small, messy, which):
     docs = {"small": small, "messy": messy}[which]
