@@ -1,8 +1,9 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
 The standard library's streaming parser reports tags and text; blocks of text come out as lines, each with the tags that
-were met in it and the container it stands in. Elements that never hold article text (menus, forms, scripts, what is
-named an advert, a notice, comments, ...) are left out while parsing. Of what remains, each line's ratio of text to tags
+were met in it and the container it stands in. Elements that never hold article text (menus, scripts, ...) are left out
+while parsing; forms and what is named an advert, a notice, comments, ... afterwards, unless the article or, on a page
+without one, most of the text stands inside. Of what remains, each line's ratio of text to tags
 is smoothed with a Gaussian and compared with a threshold; lines above it vote, with their text, for the container they
 stand in, and the container with most votes is the content region. All its lines are kept, short ones too.
 
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from chainspan.llm.common import rows_of, with_python
 
 LEFT_OUT = frozenset(
-    "head script style noscript template nav footer aside form button select textarea input iframe svg canvas object dialog menu".split()
+    "head script style noscript template nav footer aside button select textarea input iframe svg canvas object dialog menu".split()
 )
+#: Left out like marked elements: unless the article stands inside.
+MARKED_TAGS = frozenset(["form"])
 #: Words in a class, id or role that mark an element as something other than the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay "
@@ -48,6 +51,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.kinds, self.parents = ["body"], [-1]
+        #: Containers that are left out unless the article stands in them.
+        self.marked: set[int] = set()
+        self.marks: list[int] = []  # where in ``open`` marked elements begin
         self.open: list[tuple[str, int]] = []
         self.skipped = 0
         self.text: list[str] = []
@@ -61,21 +67,22 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text.clear()
 
-    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether an element is left out whatever it holds, and whether it is unless it holds the article."""
         if tag in LEFT_OUT:
-            return True
+            return True, False
         if tag == "header":
-            return not any(t in ("article", "main") for t, _ in self.open)
+            return not any(t in ("article", "main") for t, _ in self.open), False
         if tag in ("html", "body", "main", "article"):
-            return False
+            return False, False
         named, hidden = [], False
         for k, v in attrs:
             hidden = hidden or k == "hidden" or (k == "style" and "display:none" in (v or "").replace(" ", "").lower())
             if v and k in ("class", "id", "role"):
                 named += re.split("[^a-z]+", v.lower())
-        if hidden or not MARKS.isdisjoint(named):
-            return True
-        return tag in ("div", "section") and "header" in named and not any(t in ("article", "main") for t, _ in self.open)
+        if hidden or tag in MARKED_TAGS or not MARKS.isdisjoint(named):
+            return hidden, not hidden
+        return False, tag in ("div", "section") and "header" in named and not any(t in ("article", "main") for t, _ in self.open)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -87,7 +94,8 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS and not self.skipped:
             self.flush()
-        if self.skipped or self.left_out(tag, attrs):
+        out, marked = (True, False) if self.skipped else self.left_out(tag, attrs)
+        if out:
             if not self.skipped:
                 self.flush()
             self.skipped += 1
@@ -96,7 +104,11 @@ class Lines(HTMLParser):
         if tag in ("td", "th"):
             self.text.append(" ")
         was = self.at
-        if tag in CONTAINERS and not (tag == "body" and self.at == 0):
+        if marked:
+            self.flush()
+            self.marks.append(len(self.open))
+            self.marked.add(len(self.kinds))
+        if marked or (tag in CONTAINERS and not (tag == "body" and self.at == 0)):
             self.kinds.append(tag)
             self.parents.append(self.at)
             self.at = len(self.kinds) - 1
@@ -116,8 +128,12 @@ class Lines(HTMLParser):
             return
         if self.skipped and self.open[depth][1] >= 0 and tag not in ("body", "html", "article", "main"):
             return  # an end tag without a start inside a left-out element
+        if self.marks and depth < self.marks[-1] and tag not in ("body", "html", "article", "main"):
+            return  # the same inside a marked one
         while len(self.open) > depth:
             _, was = self.open.pop()
+            if self.marks and self.marks[-1] == len(self.open):
+                self.marks.pop()
             if was < 0:
                 self.skipped -= 1
             else:
@@ -141,7 +157,8 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.lines
+    out = left_containers(parser)
+    lines = [x for x in parser.lines if out.isdisjoint(around(parser, x[2]))]
     if not lines:
         return ""
     size = np.array([len(t) for t, _, _ in lines], float)
@@ -155,6 +172,31 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(t for t, _, at in lines if region(parser, at) == best)
 
 
+def around(parser: Lines, at: int) -> list[int]:
+    """A container and those it stands in, but for the body."""
+    found = []
+    while at > 0:
+        found.append(at)
+        at = parser.parents[at]
+    return found
+
+
+def left_containers(parser: Lines) -> set[int]:
+    """The marked containers without the article: the article or main in the fewest marked ones, else most of the text."""
+    if not parser.marked:
+        return set()
+    inside = [parser.marked.intersection(around(parser, k)) for k, tag in enumerate(parser.kinds) if tag in ("article", "main")]
+    if inside:
+        least = min(map(len, inside))
+        return parser.marked.difference(*(x for x in inside if len(x) == least))
+    held = dict.fromkeys(parser.marked, 0)
+    for text, _, at in parser.lines:
+        for k in parser.marked.intersection(around(parser, at)):
+            held[k] += len(text)
+    total = sum(len(t) for t, _, _ in parser.lines)
+    return {k for k, n in held.items() if 2 * n <= total}
+
+
 def region(parser: Lines, at: int) -> int:
     """The outermost article around a container, else the outermost main, else the body."""
     found, kind = 0, ""

@@ -227,6 +227,16 @@ def test_main_text(spark):
     assert len(html.main_text("<p>" + "x <b>y</b> " * 50_000)) == 4 * 50_000 - 1
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div id='no-ads'", "section class='search-result'", "form action=x", "div class=header"])
+def test_main_text_inside_marked_wrappers(wrapper):
+    tag, ad = wrapper.split()[0], "<div class=ad><p>Buy</section></div>"
+    wrap = lambda x: f"<html><body><{wrapper}>{x}</{tag}><p>Foot</body></html>"
+    comments = "<section id=comments><article>A comment</article></section>"
+    assert html.main_text(wrap(f"<article><h1>A</h1><p>Text.{ad}<p>More.</article>{comments}")) == "A\n\nText.\n\nMore."
+    assert html.main_text(wrap(f"<div><p>Most of the text stands here.{ad}</div>")).startswith("Most of the text stands here.")
+    assert html.main_text(f"<article>Story</article><{wrapper}><p>Something longer than the story</{tag}>") == "Story"
+
+
 def test_pages_of_the_small_table(spark):
     from html import unescape
 
