@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspan.llm import decontamination, html, jaccard, mixing, quality, simhash, substrings, tokens, toxicity, urls
+from chainspan.llm import decontamination, html, jaccard, mixing, quality, simhash, sql, structure, substrings, tokens, toxicity, trie, urls, warc
 from chainspan.llm.common import table
 from chainspan.llm.registry import query
 
@@ -127,3 +127,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substrings")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.parsed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op11_prefix_trie", sql.TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_structure_repair", sql.STRUCTURE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return structure.repaired(structure.damaged(turns), turns)
+
+
+@query("op13_warc", sql.WARC)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.catalogued(table(spark, sf_dir, "pages"))
