@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from chainspan import model
 from chainspan.operators.edges import basis_entry, edge_id, match_id, small_side
-from chainspan.operators.layout import Layout, Tail, bucket_starts, collect_seams, keys_at, neighbours, ordered_layout
+from chainspan.operators.layout import Layout, Tail, bucket_starts, carried, keys_at, last_said, neighbours, ordered_layout
 from chainspan.operators.matching import scope_column
 from chainspan.plans.rules import Rule, rules_frame
 from chainspan.session import written
@@ -62,16 +62,16 @@ def process_lifetimes(
 
 
 class _LastLife(Tail):
-    def start(self, chunk: int, whole_bucket: bool) -> None:
-        self.last = None
+    def start(self, states: dict, whole_bucket: bool) -> None:
+        self.last: list = []
 
     def feed(self, batch: pa.RecordBatch) -> None:
         at = np.flatnonzero(batch.column("kind").to_numpy(zero_copy_only=False) < PROBE)
         if at.size:
-            self.last = list(_life_row(batch, int(at[-1])))
+            self.last = [_life_row(batch, int(at[-1]))]
 
-    def summary(self) -> object:
-        return self.last
+    def summary(self) -> list:
+        return [self.last]
 
 
 def _life_row(b: pa.RecordBatch, i: int) -> tuple:
@@ -86,25 +86,16 @@ _RESOLVED = (
 
 def _resolve(layout: Layout) -> DataFrame:
     keys = layout.keys
-    carried: dict[int, tuple] = {}
-    if layout.runs > 1:
-        last, prev = None, None
-        for seam in collect_seams(layout, _LastLife):
-            begin = last if prev is not None and prev.last_keys == seam.first_keys else None
-            if begin is not None:
-                carried[seam.chunk] = tuple(begin)
-            last = seam.summary if seam.summary is not None else (begin if seam.single else None)
-            prev = seam
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alive, last_keys, begun = None, None, False
+    states = carried(layout, _LastLife, last_said) if layout.runs > 1 else None
+
+    def scan(batches: Iterator[pa.RecordBatch], begin: dict | None = None) -> Iterator[pa.RecordBatch]:
+        alive, last_keys, begun = (begin or {}).get(0), None, False
         for b in batches:
             n = b.num_rows
             if n == 0:
                 continue
             if not begun:
                 begun = True
-                alive = carried.get(b.column("chunk")[0].as_py())
                 last_keys = keys_at(b, keys, 0)
             starts = bucket_starts(b, keys, last_keys)
             kind = b.column("kind").to_numpy(zero_copy_only=False)
@@ -139,7 +130,7 @@ def _resolve(layout: Layout) -> DataFrame:
                 alive = None
             last_keys = keys_at(b, keys, n - 1)
 
-    return layout.scan(scan, _RESOLVED)
+    return layout.scan(scan, _RESOLVED, states)
 
 
 def resolve_parents(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:

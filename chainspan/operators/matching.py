@@ -24,7 +24,7 @@ from chainspan.operators.automata import (
     TemporalMatcher,
     TemporalPairMatcher,
 )
-from chainspan.operators.layout import Layout, Seam, Tail, bucket_starts, collect_seams, keys_at, ordered_layout
+from chainspan.operators.layout import Layout, Tail, bucket_starts, carried, keys_at, ordered_layout
 from chainspan.plans.rules import Rule
 from chainspan.session import written
 
@@ -72,13 +72,38 @@ class _Plan:
         self.seqs = [[at[c] for c in r.sequence] for _, r in numbered]
         self.temporal = [(r.within_ns, r.total_ns) if r.algorithm == "temporal" else None for _, r in numbered]
 
-    def matcher(self, j: int, carried):
-        pair = len(set(self.seqs[j])) == len(self.seqs[j]) == 2
+    def pair(self, j: int) -> bool:
+        return len(set(self.seqs[j])) == len(self.seqs[j]) == 2
+
+    @property
+    def rounds(self) -> int:
+        """Passes that find the states runs begin with: one, or as many as the longest rule with bounded gaps has steps."""
+        return max([len(s) for j, s in enumerate(self.seqs) if self.swept(j)], default=1)
+
+    def swept(self, j: int) -> bool:
+        return self.temporal[j] is not None and not self.pair(j)
+
+    def matcher(self, j: int, begin):
         if self.temporal[j] is not None:
-            kind = TemporalPairMatcher if pair else TemporalMatcher
-            return kind(self.seqs[j], *self.temporal[j], carried)
-        kind = PairMatcher if pair else SequenceMatcher
-        return kind(self.seqs[j], carried or 0)
+            kind = TemporalPairMatcher if self.pair(j) else TemporalMatcher
+            return kind(self.seqs[j], *self.temporal[j], begin)
+        kind = PairMatcher if self.pair(j) else SequenceMatcher
+        return kind(self.seqs[j], begin or 0)
+
+    def compose(self, j: int, told, begin, single: bool):
+        """The state after a run, in the form ``matcher`` takes it; None: a fresh start."""
+        if self.temporal[j] is None:
+            taken = begin or 0
+            return (taken + told[taken % len(self.seqs[j])] if single else told[0]) or None
+        chains, after = told
+        held = begin[0] if begin and single else [None] * len(chains)
+        if self.pair(j):
+            chains, fresh = chains if after else held, None
+        else:
+            # Who completed a step last: in the run, else before it.
+            chains = [c or h for c, h in zip(chains, held)]
+            fresh = after[begin[1] if begin and single else -1]
+        return [chains, fresh] if any(chains) else None
 
     def code_index(self, batch: pa.RecordBatch) -> np.ndarray:
         ix = pc.index_in(batch.column("event_code"), value_set=pa.array(self.codes, pa.string()))
@@ -86,101 +111,58 @@ class _Plan:
 
 
 class _RuleTails(Tail):
-    """End-of-run state of every rule: advances for sequence rules, live chains for temporal ones."""
+    """End-of-run summary of every rule: advances for sequence rules, live chains for temporal ones.
 
-    def __init__(self, plan: _Plan, carried: dict):
-        self.plan, self.carried = plan, carried
+    Passes after the first, and only these, are given states; they are for the rules with bounded gaps alone.
+    """
 
-    def start(self, chunk: int, whole_bucket: bool) -> None:
+    def __init__(self, plan: _Plan, number: int):
+        self.plan, self.number = plan, number
+
+    def start(self, states: dict, whole_bucket: bool) -> None:
         p = self.plan
-        self.state = []
+        self.state: list = []
         for j, seq in enumerate(p.seqs):
-            if p.temporal[j] is None:
+            if self.number and not p.swept(j):
+                self.state.append(None)
+            elif p.temporal[j] is None:
                 self.state.append(AdvanceCounter(seq, 1 if whole_bucket else len(seq)))
             else:
-                begin = None if whole_bucket else self.carried.get((j, chunk))
-                self.state.append(p.matcher(j, begin))
+                m = p.matcher(j, states.get(j))
+                m.all_moves = self.number == p.rounds - 1
+                self.state.append(m)
 
     def feed(self, batch: pa.RecordBatch) -> None:
-        codes = self.plan.code_index(batch)
-        rows = None
-        plain = codes.tolist()
-        for j, state in enumerate(self.state):
-            if isinstance(state, AdvanceCounter):
-                state.feed(plain)
-            else:
-                if rows is None:
-                    n = batch.num_rows
-                    rows = Rows(
-                        codes,
-                        np.zeros(n, dtype=np.int64),
-                        batch.column("id").to_numpy(zero_copy_only=False),
-                        batch.column("ts_ns").to_numpy(zero_copy_only=False),
-                    )
+        rows = Rows(
+            self.plan.code_index(batch),
+            np.zeros(batch.num_rows, dtype=np.int64),
+            batch.column("id").to_numpy(zero_copy_only=False),
+            batch.column("ts_ns").to_numpy(zero_copy_only=False),
+        )
+        for state in self.state:
+            if state is not None:
                 state.feed(rows)
 
-    def summary(self) -> object:
-        return [s.advances() if isinstance(s, AdvanceCounter) else s.chains for s in self.state]
+    def summary(self) -> list:
+        return [None if s is None else s.advances() if isinstance(s, AdvanceCounter) else s.summary() for s in self.state]
 
 
-def _continues(a: Seam, b: Seam) -> bool:
-    return a.last_keys == b.first_keys
+def begin_states(layout: Layout, plan: _Plan) -> DataFrame | None:
+    """(chunk, states): the state each rule begins each run with; no state means a fresh start.
 
-
-def _live(chains: list | None, next_ts: int, within: int) -> list | None:
-    """Chains that can still grow when the next event is at ``next_ts``."""
-    if chains is None:
-        return None
-    kept = [c if c and next_ts - c[-1][1] <= within else None for c in chains]
-    return kept if any(kept) else None
-
-
-def carried_states(layout: Layout, plan: _Plan) -> dict[tuple[int, int], object]:
-    """State each rule begins each run with: (position in the group, run) -> state; absent means a fresh start.
-
-    Sequence rules compose in one go, since a run is fully described by its advance from each possible state. A
-    temporal rule's state holds times, so a run that is wholly inside one bucket is redone when the state it should
-    have begun with turns out to differ from the one it was given; chains die at the first gap over the limit, so
-    this settles after a round or two, and at the latest when the last run has been redone.
+    Sequence rules compose in one go, since a run is fully described by its advance from each possible state. For a
+    rule with bounded gaps, which events of a run complete a step depends on the chains that completed the step before
+    it earlier, in other runs. So the first pass settles which chain completed the first step last before each run, the
+    second pass, with these, the second step, and so on; the last pass also says, for every number of chains that are
+    still free at the beginning of a run, how many are at its end. However many runs there are, and whatever is in
+    them, the passes are as many as the rule has steps.
     """
     if layout.runs <= 1:
-        return {}
-    carried: dict[tuple[int, int], object] = {}
-    seams = collect_seams(layout, lambda: _RuleTails(plan, {}))
-    for j, seq in enumerate(plan.seqs):
-        if plan.temporal[j] is not None:
-            continue
-        taken = 0
-        for prev, seam in zip([None, *seams], seams):
-            begin = taken if prev is not None and _continues(prev, seam) else 0
-            if begin:
-                carried[(j, seam.chunk)] = begin
-            adv = seam.summary[j]
-            taken = begin + adv[begin % len(seq)] if seam.single else adv[0]
-    timed = [j for j, t in enumerate(plan.temporal) if t is not None]
-    used: dict[tuple[int, int], object] = {}
-    while timed:
-        redo = set()
-        for prev, seam in zip(seams, seams[1:]):
-            for j in timed:
-                begin = None
-                if _continues(prev, seam):
-                    begin = _live(prev.summary[j], seam.first_order[0], plan.temporal[j][0])
-                key = (j, seam.chunk)
-                if begin is None:
-                    carried.pop(key, None)
-                else:
-                    carried[key] = begin
-                if seam.single and used.get(key) != begin:
-                    redo.add(seam.chunk)
-        if not redo:
-            break
-        begin_with = {k: v for k, v in carried.items() if k[0] in timed}
-        fresh = {s.chunk: s for s in collect_seams(layout, lambda b=begin_with: _RuleTails(plan, b), sorted(redo))}
-        seams = [fresh.get(s.chunk, s) for s in seams]
-        for key in [(j, c) for j in timed for c in redo]:
-            used[key] = begin_with.get(key)
-    return carried
+        return None
+    states = None
+    for number in range(plan.rounds):
+        states = carried(layout, lambda k=number: _RuleTails(plan, k), plan.compose, states)
+    return states
 
 
 def _piece_schema(keys: Sequence[str]) -> str:
@@ -236,19 +218,19 @@ def match_layout(layout: Layout, numbered: Sequence[tuple[int, Rule]]) -> DataFr
     What the pass finds is written once; whole occurrences and the few pieces to join are both read from there.
     """
     plan = _Plan(numbered, layout.keys)
-    carried = carried_states(layout, plan)
+    states = begin_states(layout, plan)
     keys = layout.keys
     n_steps = {ix: len(s) for ix, s in zip(plan.rule_ix, plan.seqs)}
     timed = {ix for ix, t in zip(plan.rule_ix, plan.temporal) if t is not None}
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch], begin: dict | None = None) -> Iterator[pa.RecordBatch]:
         matchers, chunk, last, counts = None, None, None, None
         for b in batches:
             if b.num_rows == 0:
                 continue
             if matchers is None:
                 chunk = b.column("chunk")[0].as_py()
-                matchers = [plan.matcher(j, carried.get((j, chunk))) for j in range(len(plan.seqs))]
+                matchers = [plan.matcher(j, (begin or {}).get(j)) for j in range(len(plan.seqs))]
                 counts = [0] * len(matchers)
                 last = keys_at(b, keys, 0)
             rows = Rows(
@@ -273,7 +255,8 @@ def match_layout(layout: Layout, numbered: Sequence[tuple[int, Rule]]) -> DataFr
                 key_cols = [pa.array([last[i]] * len(found), pa.string()) for i in range(len(keys))]
                 yield _batch_of(found, n_steps, timed, keys, key_cols, chunk)
 
-    pieces = written(layout.scan(scan, _piece_schema(keys)))
+    size = sum(64 * len(s) ** 2 for s in plan.seqs)
+    pieces = written(layout.scan(scan, _piece_schema(keys), states, size))
     out = ["rule_ix", *keys, "chunk", "pos", "ids", "gap_ns"]
     if layout.runs <= 1:
         return pieces.filter("whole").select(*out)

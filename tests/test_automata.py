@@ -74,3 +74,46 @@ def test_advance_from_every_state(codes, seq):
         for c in codes:
             k += c == seq[k % len(seq)]
         assert got == k - start
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.integers(0, 6), st.booleans().map(lambda x: False)), min_size=1, max_size=60),
+    st.lists(st.integers(1, 6), min_size=1, max_size=20),
+    st.lists(st.integers(0, 2), min_size=2, max_size=4),
+    st.integers(1, 12),
+    st.integers(0, 20),
+)
+def test_temporal_states_of_runs_are_settled_in_as_many_passes_as_steps(rows, sizes, seq, within, total):
+    """Runs of one bucket, each worked on by itself; only summaries of whole runs go from one to the next."""
+    parts, buckets = batches(rows, 1)
+    flat = parts
+    runs, at = [], 0
+    for k in range(len(flat)):
+        if at >= len(flat):
+            break
+        n = sizes[k % len(sizes)]
+        runs.append(flat[at : at + n])
+        at += n
+    n = len(seq)
+    begin = [None] * len(runs)
+    for number in range(n):
+        after, fresh = [None] * (n - 1), n - 1
+        begun = []
+        for run_rows, given_state in zip(runs, begin):
+            begun.append([list(after), fresh] if any(after) else None)
+            m = TemporalMatcher(seq, within, total, given_state)
+            m.all_moves = number == n - 1
+            for r in run_rows:
+                m.feed(r)
+            chains, moves = m.summary()
+            fresh = moves[fresh if any(after) else -1]
+            after = [c or h for c, h in zip(chains, after)]
+        begin = begun
+    found = []
+    for run_rows, given_state in zip(runs, begin):
+        m = TemporalMatcher(seq, within, total, given_state)
+        for r in run_rows:
+            found += [tuple(x) for x in m.feed(r).ids.reshape(-1, n).tolist()]
+    codes = [CODES[s] for s in seq]
+    assert sorted(found) == sorted(x for b in buckets.values() for x in models.temporal(b, codes, within, total))

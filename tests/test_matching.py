@@ -172,3 +172,37 @@ def test_lineage_agrees_with_brute_force(spark):
                 break
     random.Random(1).shuffle(rows)
     assert resolve(spark, rows)[0] == sorted(expected_edges)
+
+
+def _jobs(spark, run):
+    """How many Spark jobs ``run`` starts."""
+    tracker, group = spark.sparkContext.statusTracker(), f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_jobs_of_a_timed_rule_do_not_grow_with_runs(spark):
+    """A then many B, then C, without a gap over the limit: what one run begins with depends on all before it."""
+    codes = ["A", *["B"] * 30, "C"] * 13
+    rows = [(i, c, 10 * i, "h", None, 2) for i, c in enumerate(codes)]
+    rule = Rule("chain", ("A", "B", "C"), "temporal", window_within="1us")
+    counts = {}
+    for n in (8, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = []
+        counts[n] = _jobs(spark, lambda: got.extend(match_rules(spark.createDataFrame(rows, SCHEMA), [rule]).collect()))
+        assert sorted(tuple(r.ids) for r in got) == sorted(models.temporal([(r[0], r[1], r[2]) for r in rows], ("A", "B", "C"), 1000))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert counts[8] == counts[200]
+
+
+def test_states_shuffled_to_runs_give_the_same_matches(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BLOCK_ROWS", 23)
+    rows = make(11)
+    found = []
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(layout, "SENT_BYTES", limit)
+        found.append(sorted((r.rule_ix, tuple(r.ids)) for r in match_rules(spark.createDataFrame(rows, SCHEMA), RULES).collect()))
+    assert found[0] == found[1]
