@@ -108,6 +108,9 @@ def temporal_pair(spark, sf):
     return _chain(match_temporal(canon(spark, sf), ["error", "purchase"], "1h"))
 
 
+BURST_RULE = Rule("temporal", ("error", "error", "purchase"), "temporal", window_within="4h", window_total="6h")
+
+
 @query(
     "match_temporal",
     WITH_CANON + f""",
@@ -131,7 +134,7 @@ def temporal_pair(spark, sf):
       SELECT g AS scope, out AS chain FROM sweep WHERE out IS NOT NULL""",
 )
 def temporal(spark, sf):
-    return _chain(match_temporal(canon(spark, sf), ["error", "error", "purchase"], "4h", "6h"), "scope")
+    return _chain(match_rules(canon(spark, sf), [BURST_RULE]), "scope")
 
 
 _LIFE = f"""WITH RECURSIVE {CANON},

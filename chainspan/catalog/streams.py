@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from chainspan.catalog.frames import CANON, WITH_CANON, canon_of, table
+from chainspan.catalog.correlation import BURST_RULE, _chain
+from chainspan.catalog.frames import CANON, WITH_CANON, canon, canon_of, table
 from chainspan.catalog.registry import ORACLES, query
 from chainspan.session import checkpoint_root
 from chainspan.streaming import capture as c
+from chainspan.streaming import matching as m
 
 
 def _captured(spark, sf) -> str:
@@ -45,6 +47,27 @@ def _shown(out):
 CAPTURED_SQL = ORACLES["capture_events"]
 
 
+@query("match_temporal_stream", ORACLES["match_temporal"])
+def matched(spark, sf):
+    """The rule of ``match_temporal`` over a stream: six micro-batches, events up to some hours late across their cuts."""
+    folder = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    events = canon(spark, sf).select("id", "event_code", "ts_ns", "computer")
+    span = events.agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).first()
+    width = max((span.hi or 0) - (span.lo or 0), 1)
+    # Rows arrive by a time up to six hours after their own.
+    arrival = F.col("ts_ns") + F.pmod(F.xxhash64("id"), F.lit(6 * 3_600)) * 1_000_000_000
+    batch = F.least(F.floor((arrival - F.lit(span.lo or 0)) * 6 / width), F.lit(5)).cast("int")
+    dated = events.filter("ts_ns is not null")
+    # The source reads files in the order they were written, one in each micro-batch.
+    for k in range(6):
+        dated.filter(batch == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    m.closing(spark, events).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run = m.run_matching(stream, m.Pattern(BURST_RULE, "8 hours"), f"{folder}/out", f"{folder}/checkpoint")
+    run.awaitTermination()
+    return _chain(spark.read.schema("scope string, ids array<bigint>, gap_ns bigint").parquet(f"{folder}/out"), "scope")
+
+
 @query("capture_compacted", CAPTURED_SQL)
 def compacted(spark, sf):
     """The same table after its batches were folded."""

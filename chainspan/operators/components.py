@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainspan.session import durable
+from chainspan.session import durable, ship_package
+
+
+def with_package(df: DataFrame) -> DataFrame:
+    ship_package(df.sparkSession)
+    return df
 
 
 def _inner_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,104 +79,110 @@ def component_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+#: A rank that no path has: the node lies on a circle or behind one.
+_ENDLESS = 1 << 40
+#: What is left is ranked in one task once it has so few edges.
+SMALL_EDGES = 100_000
+#: Nodes whose removal leaves at most so many edges more than it takes away are taken out together.
+MOST_FILL = 4
+
+
 def step_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, rank, forced): length of the longest path of edges that ends in a node.
 
-    A node with one predecessor ranks one above it, so chains and trees are climbed by pointer jumping and taken out,
-    their outgoing edges put on the node they hang from with the length added. Then all nodes nothing leads to are
-    ranked and what they reach is remembered as a floor, after which more nodes have one predecessor. The number of
-    rounds follows the branching, not the length of chains. Circles are opened by force.
+    Where circles leave no node that nothing leads to, the lowest id of each remaining piece is ranked as if nothing
+    unranked led to it, and says so (``forced``).
     """
-    inner = durable(_inner_edges(nodes, edges))
     ids = nodes.select("id").distinct()
-    nothing = ids.limit(0).select("id", F.lit(0).cast("bigint").alias("rank"))
-    left = inner.withColumn("w", F.lit(1).cast("bigint"))
-    floors, done, climbs = nothing, nothing, []
-    while not left.isEmpty():
-        single = left.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up"), F.max("w").alias("d"))
-        steps = single.filter("n = 1").join(floors.withColumnRenamed("rank", "least"), "id", "left").select("id", "up", "d", "least")
-        climb = _climb(durable(steps))
-        if climb is None:
-            return _rank_with_circles(nodes, inner)
-        climbs.append(climb)
-        rest = left.join(climb.select(F.col("id").alias("dst")), "dst", "left_anti")
-        hung = rest.join(climb.select(F.col("id").alias("src"), "up", "d", "least"), "src", "left")
-        hung = durable(hung.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"), (F.col("least") + F.col("w")).alias("least")))
-        left = hung.groupBy("src", "dst").agg(F.max("w").alias("w"))
-        floors = floors.join(climb.select("id"), "id", "left_anti").unionByName(
-            hung.filter("least is not null").select(F.col("dst").alias("id"), F.col("least").alias("rank"))
-        )
-        # Nothing leads to these any more, so their floors are their ranks.
-        free = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-        free = durable(free.join(floors.groupBy("id").agg(F.max("rank").alias("rank")), "id", "left").select("id", F.coalesce("rank", F.lit(0)).alias("rank")))
-        if free.isEmpty() and not left.isEmpty():
-            return _rank_with_circles(nodes, inner)
-        reach = left.join(free.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("rank") + F.col("w")).alias("rank"))
-        floors = durable(floors.join(free.select("id"), "id", "left_anti").unionByName(reach).groupBy("id").agg(F.max("rank").alias("rank")))
-        left = durable(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        done = done.unionByName(free)
-    ranks = done.unionByName(floors)
-    for climb in reversed(climbs):
-        at = ranks.groupBy(F.col("id").alias("up")).agg(F.max("rank").alias("rank"))
-        higher = climb.join(at, "up", "left")
-        above = F.greatest(F.coalesce("rank", F.lit(0)) + F.col("d"), F.coalesce("least", F.lit(0)))
-        ranks = durable(ranks.unionByName(higher.select("id", above.alias("rank"))))
-    top = ranks.groupBy("id").agg(F.max("rank").alias("rank"))
-    return ids.join(top, "id", "left").select("id", F.coalesce("rank", F.lit(0)).cast("int").alias("rank"), F.lit(False).alias("forced"))
-
-
-def _climb(steps: DataFrame) -> DataFrame | None:
-    """(id, up, d, least): each id ranks ``d`` above ``up``, which has no step of its own, or ``least`` if that is more.
-
-    The distance doubles every round; None if the steps run in a circle.
-    """
-    more = steps.select(F.col("id").alias("up"), F.lit(True).alias("more"))
-    hop = durable(steps.join(more, "up", "left").select("id", "up", "d", "least", F.coalesce("more", F.lit(False)).alias("open")))
-    total, n, rounds = hop.count(), hop.filter("open").count(), 0
-    while n and 2**rounds <= total:
-        ahead = hop.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("least").alias("least2"), F.col("open").alias("open2"))
-        moved = hop.filter("open").join(ahead, "up").select(
-            "id", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"),
-            F.greatest("least", F.col("least2") + F.col("d")).alias("least"), F.col("open2").alias("open"),
-        )
-        hop = durable(hop.filter("not open").unionByName(moved))
-        n = hop.filter("open").count()
-        rounds += 1
-    return None if n else hop.select("id", "up", "d", "least")
-
-
-def _rank_with_circles(nodes: DataFrame, inner: DataFrame) -> DataFrame:
-    """Rank every node nothing unranked leads to, round by round; when only circles are left, the lowest id of each
-    remaining piece is ranked by force (and says so), which opens them."""
-    edges_left = inner
-    left = durable(nodes.select("id").distinct().withColumn("rank", F.lit(0)))
-    done: DataFrame | None = None
+    left = durable(_inner_edges(nodes, edges).withColumn("w", F.lit(1).cast("bigint")))
+    forced = ids.limit(0)
     while True:
-        blocked = edges_left.select(F.col("dst").alias("id")).distinct()
-        ready = left.join(blocked, "id", "left_anti").withColumn("forced", F.lit(False))
-        ready = durable(ready)
-        if ready.isEmpty():
-            if left.isEmpty():
-                break
-            piece = connected_components(left, edges_left).groupBy("component").agg(F.min("id").alias("id"))
-            ready = durable(left.join(piece.select("id"), "id", "left_semi").withColumn("forced", F.lit(True)))
-        done = ready if done is None else done.unionByName(ready)
-        gone = ready.select("id")
-        step = edges_left.join(ready.select(F.col("id").alias("src"), F.col("rank").alias("r")), "src")
-        reach = step.groupBy(F.col("dst").alias("id")).agg((F.max("r") + 1).alias("r"))
-        left = durable(
-            left.join(gone, "id", "left_anti")
-            .join(reach, "id", "left")
-            .select("id", F.greatest(F.col("rank"), F.coalesce("r", F.lit(0))).alias("rank"))
-        )
-        edges_left = durable(
-            edges_left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
-            .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-            .select("src", "dst")
-        )
-    if done is None:
-        return left.withColumn("forced", F.lit(False))
-    return done.select("id", "rank", "forced")
+        ranks = _longest_paths(left)
+        endless = durable(ranks.filter(F.col("rank") >= _ENDLESS).select("id"))
+        if endless.isEmpty():
+            break
+        behind = left.join(endless.withColumnRenamed("id", "src"), "src", "left_semi").join(endless.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        lowest = connected_components(endless, behind).groupBy("component").agg(F.min("id").alias("id")).select("id")
+        forced = durable(forced.unionByName(lowest))
+        cut = behind.join(lowest.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+        left = durable(left.join(cut, ["src", "dst"], "left_anti"))
+    out = ids.join(ranks, "id", "left").join(forced.withColumn("forced", F.lit(True)), "id", "left")
+    return out.select("id", F.coalesce("rank", F.lit(0)).cast("int").alias("rank"), F.coalesce("forced", F.lit(False)).alias("forced"))
+
+
+def _longest_paths(edges: DataFrame) -> DataFrame:
+    """(id, rank) of all nodes of weighted edges (src, dst, w): the heaviest path to each, ``_ENDLESS`` on and behind circles.
+
+    Nodes are taken out, many at a time: the paths through a node become edges past it, of the sum of both weights, and
+    the heaviest of edges between the same two stays. Taking out a node that few edges touch leaves no more edges than
+    before; nodes nothing leads to or that lead nowhere leave fewer. Those taken out together are never neighbours, and
+    in chains, trees, ladders and whatever is narrow they are a fixed share of all, so the rounds follow the logarithm of
+    the size, not the length of paths. An edge past a node back to where it came from shows a circle. Once little is
+    left, one task ranks it; then the nodes taken out get their ranks from those they were taken from, last round first.
+    """
+    removed: list[DataFrame] = []
+    floors = None  # the heaviest paths that begin at a node taken out
+    n, most, number = edges.count(), MOST_FILL, 0
+    while n > SMALL_EDGES:
+        number += 1
+        ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        degree = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        cheap = durable(degree.filter(F.col("i") * F.col("o") <= F.col("i") + F.col("o") + most).select("id", F.xxhash64("id", F.lit(number)).alias("turn")))
+        # Of two neighbours the one with the smaller number goes.
+        both = edges.join(cheap.select(F.col("id").alias("src"), F.col("turn").alias("a")), "src").join(cheap.select(F.col("id").alias("dst"), F.col("turn").alias("b")), "dst")
+        stays = both.select(F.when(F.struct("a", "src") > F.struct("b", "dst"), F.col("src")).otherwise(F.col("dst")).alias("id")).distinct()
+        gone = durable(cheap.select("id").join(stays, "id", "left_anti"))
+        into = durable(edges.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "w"))
+        out = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "w")
+        rest = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "w")
+        past = into.select("src", F.col("dst").alias("via"), F.col("w").alias("first")).join(out.withColumnRenamed("src", "via"), "via")
+        past = past.select("src", "dst", (F.col("first") + F.col("w")).alias("w"))
+        known = gone.join(floors, "id", "left").select("id", F.coalesce("rank", F.lit(0).cast("bigint")).alias("rank")) if floors is not None else gone.withColumn("rank", F.lit(0).cast("bigint"))
+        known = durable(known)
+        handed = out.join(known.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.least(F.col("rank") + F.col("w"), F.lit(_ENDLESS)).alias("rank"))
+        handed = handed.unionByName(past.filter("src = dst").select(F.col("dst").alias("id"), F.lit(_ENDLESS).alias("rank")))
+        if floors is not None:
+            handed = handed.unionByName(floors.join(gone, "id", "left_anti"))
+        floors = durable(handed.groupBy("id").agg(F.max("rank").alias("rank")))
+        removed.append(known.join(into.select(F.col("dst").alias("id"), "src", "w"), "id", "left").select("id", "rank", "src", "w"))
+        edges = durable(rest.unionByName(past.filter("src <> dst")).groupBy("src", "dst").agg(F.max("w").alias("w")))
+        before, n = n, edges.count()
+        # What is dense everywhere fills up; then only nodes at its ends go, and those it costs least.
+        most = most if n < 0.95 * before else 2 * most
+    started = edges.select("src", "dst", "w")
+    if floors is not None:
+        started = started.unionByName(floors.select(F.lit(None).cast("bigint").alias("src"), F.col("id").alias("dst"), F.col("rank").alias("w")))
+    ranks = durable(with_package(started).repartition(1).mapInArrow(_ranked, "id bigint, rank bigint"))
+    for gone in reversed(removed):
+        above = gone.join(ranks.select(F.col("id").alias("src"), F.col("rank").alias("up")), "src", "left")
+        best = F.greatest(F.max("rank"), F.max(F.coalesce(F.col("up") + F.col("w"), F.lit(0))))
+        ranks = durable(ranks.unionByName(above.groupBy("id").agg(F.least(best, F.lit(_ENDLESS)).alias("rank"))))
+    return ranks
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of a small graph: edges, and floors as edges from nowhere."""
+    after: dict[int, list[tuple[int, int]]] = {}
+    rank: dict[int, int] = {}
+    waits: dict[int, int] = {}
+    for src, dst, w in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        waits.setdefault(dst, 0)
+        if src is None:
+            rank[dst] = max(rank.get(dst, 0), w)
+            continue
+        after.setdefault(src, []).append((dst, w))
+        waits.setdefault(src, 0)
+        waits[dst] += 1
+    ready = [i for i, n in waits.items() if n == 0]
+    while ready:
+        i = ready.pop()
+        for dst, w in after.get(i, ()):
+            rank[dst] = min(max(rank.get(dst, 0), rank.get(i, 0) + w), _ENDLESS)
+            waits[dst] -= 1
+            if waits[dst] == 0:
+                ready.append(dst)
+    ids = list(waits)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "rank": pa.array([_ENDLESS if waits[i] else rank.get(i, 0) for i in ids], pa.int64())})
 
 
 def choose_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ identifier or a host that holds most of the events is spread over many tasks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ from chainspan.operators.edges import basis_entry, edge_id, match_id, small_side
 from chainspan.operators.layout import Layout, Tail, bucket_starts, carried, keys_at, last_said, neighbours, ordered_layout
 from chainspan.operators.matching import scope_column
 from chainspan.plans.rules import Rule, rules_frame
-from chainspan.session import written
+from chainspan.session import checkpoint_root, written
 
 CREATE, EXIT, PROBE = 0, 1, 2
 
@@ -186,29 +187,16 @@ def match_lineages(events: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame,
         .otherwise(F.array(ppid))
     )
     first = direct.select("rule_ix", "child_id", F.col("parent_id").alias("src"), basis.alias("basis"))
-    edges = _edges(first, rules, 0, model.CONFIDENCE_EXACT)
+    edges = _edges(first, rules, F.lit(0), model.CONFIDENCE_EXACT)
     relations = {ix: found for ix, (found, _) in totals.items()}
-    depths = {ix: r.lineage_depth for ix, r in enumerate(rules)}
-    deep = [ix for ix, d in depths.items() if d > 0]
-    if deep:
-        # Each process has at most one parent, so every step is a lookup by a unique key; no pairs are formed.
-        parent_of = direct.select("rule_ix", F.col("child_id").alias("at"), F.col("parent_id").alias("up"))
-        walk = direct.filter(F.col("rule_ix").isin(deep)).select("rule_ix", "child_id", F.col("parent_id").alias("at"))
-        for d in range(1, max(depths.values()) + 1):
-            still = [ix for ix in deep if depths[ix] >= d]
-            walk = written(
-                walk.filter(F.col("rule_ix").isin(still))
-                .join(parent_of, ["rule_ix", "at"])
-                .select("rule_ix", "child_id", F.col("up").alias("at"))
-            )
-            added = walk.groupBy("rule_ix").agg(F.count(F.lit(1)).alias("n")).collect()
-            if not added:
-                break
-            for r in added:
-                relations[r.rule_ix] += r.n
-            why = F.array(F.lit(f"{d + 1} generations up"), F.lit("through the direct parents"))
-            step = walk.select("rule_ix", "child_id", F.col("at").alias("src"), why.alias("basis"))
-            edges = edges.unionByName(_edges(step, rules, d, model.CONFIDENCE_ANCESTOR))
+    depths = {ix: r.lineage_depth for ix, r in enumerate(rules) if r.lineage_depth > 0}
+    if depths:
+        above = ancestors(direct.select("rule_ix", "child_id", "parent_id"), depths)
+        for r in above.groupBy("rule_ix").agg(F.count(F.lit(1)).alias("n")).collect():
+            relations[r.rule_ix] += r.n
+        why = F.array(F.concat((F.col("step") + 1).cast("string"), F.lit(" generations up")), F.lit("through the direct parents"))
+        further = above.select("rule_ix", "child_id", F.col("ancestor_id").alias("src"), "step", why.alias("basis"))
+        edges = edges.unionByName(_edges(further, rules, F.col("step"), model.CONFIDENCE_ANCESTOR))
     counters = []
     for ix in range(len(rules)):
         found, unresolved = totals.get(ix, (0, 0))
@@ -222,12 +210,36 @@ def match_lineages(events: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame,
     return edges, counters
 
 
-def _edges(rows: DataFrame, rules: Sequence[Rule], step: int, confidence: float) -> DataFrame:
+def ancestors(direct: DataFrame, depths: dict[int, int]) -> DataFrame:
+    """(rule_ix, child_id, ancestor_id, step): all ancestors beyond the direct parent, ``step`` generations above it, as
+    many generations as ``depths`` gives each rule.
+
+    Each process has at most one parent, so a jump table (who is 2^k generations up) is a lookup by a unique key. All
+    generations up to 2^k, each moved up by that jump, give those up to 2^(k+1): the rounds are the bits of the depth.
+    """
+    spark, limits = direct.sparkSession, F.create_map(*[F.lit(x) for kv in depths.items() for x in kv])
+    jump = written(direct.filter(F.col("rule_ix").isin(list(depths))).select("rule_ix", F.col("child_id").alias("at"), F.col("parent_id").alias("up")))
+    known = jump.select("rule_ix", F.col("at").alias("child_id"), F.col("up").alias("ancestor_id"), F.lit(0).alias("step"))
+    folder, reach = f"{checkpoint_root(spark)}/ancestors-{uuid.uuid4().hex}", 1
+    known.write.parquet(f"{folder}/{reach}")
+    while reach <= max(depths.values()):
+        known = spark.read.schema(known.schema).parquet(*[f"{folder}/{2**k}" for k in range(reach.bit_length())])
+        moved = known.join(jump.withColumnRenamed("at", "ancestor_id"), ["rule_ix", "ancestor_id"])
+        moved = moved.select("rule_ix", "child_id", F.col("up").alias("ancestor_id"), (F.col("step") + reach).alias("step"))
+        moved.filter(F.col("step") <= F.element_at(limits, F.col("rule_ix"))).write.parquet(f"{folder}/{2 * reach}")
+        reach *= 2
+        if reach <= max(depths.values()):
+            ahead = jump.select("rule_ix", F.col("at").alias("up"), F.col("up").alias("up2"))
+            jump = written(jump.join(ahead, ["rule_ix", "up"]).select("rule_ix", "at", F.col("up2").alias("up")))
+    return spark.read.schema(known.schema).parquet(*[f"{folder}/{2**k}" for k in range(reach.bit_length())]).filter("step > 0")
+
+
+def _edges(rows: DataFrame, rules: Sequence[Rule], step: Column, confidence: float) -> DataFrame:
     names = rules_frame(rows.sparkSession, list(rules)).select("rule_ix", "rule_id", "relation_type", "labels")
-    label = F.coalesce(F.get("labels", F.lit(0)), F.lit("")) if step == 0 else F.lit("")
+    label = F.when(step == 0, F.coalesce(F.get("labels", F.lit(0)), F.lit(""))).otherwise(F.lit(""))
     match = match_id(F.col("src"), F.col("child_id"), F.lit(2))
     return rows.join(small_side(names, len(rules)), "rule_ix").select(
-        edge_id(F.col("rule_id"), match, F.lit(step)).alias("edge_id"),
+        edge_id(F.col("rule_id"), match, step).alias("edge_id"),
         "src",
         F.col("child_id").alias("dst"),
         F.lit(None).cast("bigint").alias("graph_id"),
@@ -238,7 +250,7 @@ def _edges(rows: DataFrame, rules: Sequence[Rule], step: int, confidence: float)
         "rule_id",
         F.lit("lineage").alias("algorithm"),
         match.alias("match_id"),
-        F.lit(step).alias("step_index"),
+        step.alias("step_index"),
         "basis",
         F.lit(model.RELATION_VERSION).alias("rel_version"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,26 +27,27 @@ def _text(v: Column) -> Column:
 UNROLLED = 4
 
 
-def deep_entries(text: str | None) -> dict[str, str] | None:
-    """Dotted key to text of all leaves of a JSON object, objects read in key order; later leaves replace earlier ones."""
+def flat_json(text: str | None) -> str | None:
+    """A JSON object with its nested objects opened up: dotted keys, objects read in key order, later leaves replacing
+    earlier ones. Leaves stay as they are, numbers letter for letter."""
     if text is None:
         return None
-    out: list[tuple[str, str]] = []
-    whole = json.loads(text)
+    # Numbers are carried as marked strings, so that nothing is rounded or written in another form.
+    mark = next(m for m in map(chr, range(0xE000, 0xF8FF)) if m not in text)
+    whole = json.loads(text, parse_int=lambda n: mark + n, parse_float=lambda n: mark + n)
     todo = [("", whole if isinstance(whole, dict) else {})]
+    out: dict[str, object] = {}
     while todo:
         key, value = todo.pop()
-        if isinstance(value, dict) and (value or not key):
+        if isinstance(value, dict):
             todo += [(f"{key}.{k}" if key else k, v) for k, v in sorted(value.items(), key=lambda kv: kv[0].encode("utf-8", "surrogatepass"), reverse=True)]
-        elif value is None or isinstance(value, str):
-            out.append((key, value or ""))
         else:
-            out.append((key, json.dumps(value, separators=(",", ":"), ensure_ascii=False)))
-    return dict(out)
+            out[key] = value
+    return re.sub(f'"{mark}([^"]*)"', r"\1", json.dumps(out, ensure_ascii=False))
 
 
-def _deep_maps(text: pd.Series) -> pd.Series:
-    return text.map(deep_entries)
+def _flat(text: pd.Series) -> pd.Series:
+    return text.map(flat_json)
 
 
 def flatten_payload(c: Column) -> Column:
@@ -53,9 +55,10 @@ def flatten_payload(c: Column) -> Column:
     dotted keys the last one read stays.
 
     Up to ``UNROLLED`` levels are built-in expressions, each handling all keys of an object at once. Only payloads with
-    objects below that are walked in Python.
+    objects below that are opened up in Python; their leaves are then rendered by the same expressions as all others, so
+    the result does not depend on the depth. Empty objects have no leaves.
     """
-    depth = UNROLLED
+    empty = F.array().cast("array<struct<k:string,v:string>>")
 
     def entries(obj: Column, prefix: Column, left: int) -> Column:
         pairs = F.map_entries(F.try_variant_get(obj, "$", _OBJECT))
@@ -68,12 +71,13 @@ def flatten_payload(c: Column) -> Column:
             nested = F.schema_of_variant(e["value"]).startswith("OBJECT")
             return F.when(nested, entries(e["value"], F.concat(key, F.lit(".")), left - 1)).otherwise(leaf)
 
-        empty = F.array().cast("array<struct<k:string,v:string>>")
         return F.coalesce(F.flatten(F.transform(pairs, one)), empty)
 
-    shallow = entries(F.try_parse_json(c), F.lit(""), depth - 1)
-    last = F.filter(shallow, lambda e, i: ~F.exists(F.slice(shallow, i + 2, F.size(shallow)), lambda later: later["k"] == e["k"]))
+    whole = F.try_parse_json(c)
     # Deeper nesting needs more opening braces than there are levels unrolled.
-    braces = (F.regexp_count(c, F.lit(r"\{")) > UNROLLED) & F.try_parse_json(c).isNotNull()
-    walked = F.pandas_udf(_deep_maps, T.MapType(T.StringType(), T.StringType()))(F.when(braces, c))
-    return F.coalesce(walked, F.map_from_entries(last))
+    deep = (F.regexp_count(c, F.lit(r"\{")) > UNROLLED) & whole.isNotNull()
+    flat = F.pandas_udf(_flat, T.StringType())(F.when(deep, c))
+    shallow = entries(whole, F.lit(""), UNROLLED - 1)
+    last = F.filter(shallow, lambda e, i: ~F.exists(F.slice(shallow, i + 2, F.size(shallow)), lambda later: later["k"] == e["k"]))
+    # What was opened up has each key once.
+    return F.map_from_entries(F.when(deep, entries(F.try_parse_json(flat), F.lit(""), 0)).otherwise(last))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from chainspan.operators import components as c
@@ -97,3 +99,33 @@ def test_step_rank_of_a_long_ladder_takes_few_jobs(spark):
     got = c.step_rank(nodes, edges).filter(f"id < {n}").agg(F.max("rank"), F.count_if(F.col("rank") != F.col("id") + 1)).first()
     assert tuple(got) == (n, 0)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 600
+
+
+@pytest.mark.parametrize("small", [12, 100_000])
+def test_step_rank_by_taking_nodes_out(spark, monkeypatch, small):
+    """Ladders, dense and random graphs, circles with tails; with and without a last task."""
+    monkeypatch.setattr(c, "SMALL_EDGES", small)
+    rnd = random.Random(small)
+    ladder = [(2 * k + a, 2 * k + 2 + b) for k in range(9) for a in (0, 1) for b in (0, 1)]
+    tail = [(k, k + 1) for k in range(6)] + [(4, 0)] + [(k, k + 1) for k in range(8, 12)] + [(10, 12), (12, 9), (6, 11)]
+    mixed = [tuple(rnd.sample(range(18), 2)) for _ in range(24)]
+    for n, pairs in ((20, ladder), (14, tail), (18, mixed)):
+        nodes, edges = frames(spark, n, pairs)
+        assert {r.id: r.rank for r in c.step_rank(nodes, edges).collect()} == kahn(n, pairs)
+
+
+def test_rounds_follow_the_logarithm(spark, monkeypatch):
+    """A ladder of 10,000 levels and a ring with a tail: how often nodes are taken out."""
+    rounds = []
+    monkeypatch.setattr(c, "SMALL_EDGES", 6_000)
+    real = c.durable
+    monkeypatch.setattr(c, "durable", lambda df: (rounds.append(df.columns) if df.columns == ["id", "turn"] else None, real(df))[1])
+    n = 10_000
+    level = spark.range(n - 1)
+    ladder = level.selectExpr("explode(array(struct(2*id as src, 2*id+2 as dst), struct(2*id as src, 2*id+3 as dst), struct(2*id+1 as src, 2*id+2 as dst), struct(2*id+1 as src, 2*id+3 as dst))) as e").select("e.*")
+    got = c.step_rank(spark.range(2 * n), ladder).agg(F.max("rank"), F.count_if(F.expr("rank <> id div 2"))).first()
+    assert tuple(got) == (n - 1, 0) and len(rounds) <= 30
+    rounds.clear()
+    ring = spark.range(2 * n).selectExpr("id as src", f"case when id = {n} then 0 else id + 1 end as dst")
+    got = c.step_rank(spark.range(2 * n), ring.union(spark.createDataFrame([(n, n + 1)], "src long, dst long"))).agg(F.max("rank"), F.count_if("forced")).first()
+    assert tuple(got) == (2 * n - 1, 1) and len(rounds) <= 30

@@ -173,5 +173,20 @@ def test_payloads_of_any_depth(spark):
     ]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
     got = {r.i: r.m for r in df.select("i", flatten_payload(F.col("d")).alias("m")).collect()}
-    assert got[0] == {"a.b": "1"} and got[1] == {"a.b.c.d.e.f": "1", "a.b.x": '[1,{"y":2}]'} and got[2] == {"a.b.c.d": "{}"}
+    assert got[0] == {"a.b": "1"} and got[1] == {"a.b.c.d.e.f": "1", "a.b.x": '[1,{"y":2}]'} and got[2] == {}
     assert got[3] == got[4] == got[5] == {} and got[6] == {"q.a.b.c.d": "", "q.a.b.c.e": "later", "q.a.b.c.f": "true"}
+
+
+def test_payloads_do_not_depend_on_depth(spark):
+    leaves = [
+        "1", "1.0", "1e5", "1E-7", "12345678901234567890", "0.1000", "-0", "true", "null", '"text \\" \\u00e9 \\n"', "[]", '[{"b":1,"a":[]}]', '[1.50,"x",null]', "{}",
+        '{"b":1,"a":{}}', '[[{"z":{},"y":[{}]}]]', '"\ue000"', "123456789012345678901234567890.5",
+    ]
+    rows = []
+    for i, leaf in enumerate(leaves):
+        rows += [(i, "low", '{"k":%s}' % leaf), (i, "high", '{"p":{"q":{"r":{"s":{"t":{"k":%s}}}}}}' % leaf)]
+    df = spark.createDataFrame(rows, "i int, at string, d string")
+    got = {(r.i, r["at"]): r.m for r in df.select("i", "at", flatten_payload(F.col("d")).alias("m")).collect()}
+    for i, leaf in enumerate(leaves):
+        assert {f"p.q.r.s.t.{k}": v for k, v in got[(i, "low")].items()} == got[(i, "high")], leaf
+    assert got[(13, "low")] == {} and got[(11, "low")] == {"k": '[{"a":[],"b":1}]'}
