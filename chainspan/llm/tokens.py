@@ -21,7 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,9 @@ SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 16_384
 DICTIONARY_BYTES = 65_536
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 #: Pieces of text a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: The most frequent of them, by the first batch that is larger.
+COMMON = 16_384
 
 # A word of letters up to a stop, a stop after it, or any run of white space with what follows it. Tokens end at all of
 # these places: a letter and a stop are never in one token, nor white space and what stands before it.
@@ -69,6 +71,7 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[str, int] = {}
+        self.common: dict[str, int] = {}
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def raw(self, texts: list[str]) -> list[list[int]]:
@@ -104,19 +107,28 @@ class Encoder:
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         cut = [[t] if _DOUBTFUL.search(t) else _PIECE.findall(t) for t in (x or "" for x in texts)]
         flat = list(chain.from_iterable(cut))
-        table = self.known
-        fresh = list(set(flat).difference(table))
+        # Most pieces are among the few that come again and again; their table is small enough to stay close.
+        at = np.fromiter(map(self.common.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        rest = [flat[i] for i in missing.tolist()]
+        found = np.fromiter(map(self.known.get, rest, repeat(-1)), np.int64, len(rest))
+        unseen = np.flatnonzero(found < 0)
         ids, starts = self.ids, self.starts
-        if fresh:
+        if len(unseen):
+            wanted = [rest[i] for i in unseen.tolist()]
+            fresh = list(dict.fromkeys(wanted))
             made, n = self.pieces(fresh)
+            numbers = dict(zip(fresh, range(len(starts) - 1, len(starts) - 1 + len(fresh)), strict=True))
+            found[unseen] = np.fromiter(map(numbers.__getitem__, wanted), np.int64, len(wanted))
             ids, starts = np.concatenate([ids, made]), np.concatenate([starts, starts[-1] + np.cumsum(n)])
-            numbers = zip(fresh, range(len(table), len(table) + len(fresh)), strict=True)
-            if len(table) + len(fresh) <= REMEMBERED:
-                table.update(numbers)
+            if len(self.known) + len(fresh) <= REMEMBERED:
+                self.known.update(numbers)
                 self.ids, self.starts = ids, starts
-            else:
-                table = table | dict(numbers)
-        at = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
+        at[missing] = found
+        if not self.common and len(at) > COMMON:
+            often = np.argsort(-np.bincount(at[at < len(self.known)], minlength=len(self.known)))[:COMMON]
+            names = list(self.known)
+            self.common = {names[k]: k for k in often.tolist()}
         n = starts[at + 1] - starts[at]
         ends = np.cumsum(n)
         out = ids[np.repeat(starts[at] - ends + n, n) + np.arange(int(n.sum()))]
