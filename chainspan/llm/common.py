@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +46,9 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def strong_word_hashes(text: str | None) -> np.ndarray:
-    """As ``word_hashes``, from two checksums: for results that rest on equality of hashes alone."""
+    """As ``word_hashes``, from a hash of 64 bits: for results that rest on equality of hashes alone."""
     w = (text or "").encode("utf-8", "surrogatepass").split()
-    a = np.fromiter(map(zlib.crc32, w), np.uint64, len(w))
-    b = np.fromiter(map(zlib.adler32, w), np.uint64, len(w))
-    return mix(a | (b << np.uint64(32)))
+    return mix(np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,14 +58,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The multiplier of ``rolling`` and its inverse modulo 2 ** 64, and how many values are worked on at once.
+_BASE, _STRETCH = 0x9E3779B97F4A7C15, 1 << 16
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier from 0 up, and those of its inverse."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            row = np.full(2 * _STRETCH, base, np.uint64)
+            row[0] = 1
+            _POWERS.append(np.multiply.accumulate(row))
+    return _POWERS[0], _POWERS[1]
+
+
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` consecutive values; none if there are fewer."""
+    """Hashes of all runs of ``n`` consecutive values (fewer than a stretch); none if there are fewer.
+
+    A run's hash is its values times falling powers of the multiplier. It is taken as the difference of two prefix sums
+    with powers of the inverse, so a value costs the same whatever the width.
+    """
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(m, np.uint64)
+    up, down = _powers()
+    out = np.empty(m, np.uint64)
+    for lo in range(0, m, _STRETCH):
+        part = h[lo : min(lo + _STRETCH, m) + n - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * down[: len(part)], out=sums[1:])
+        k = len(part) - n + 1
+        out[lo : lo + k] = (sums[n:] - sums[:-n]) * up[n - 1 : n - 1 + k]
+    return mix(out)
+
+
+def rolling_at(h: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
+    """``rolling`` for the runs that begin at these places alone."""
+    out = np.zeros(len(places), np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
+        out = out * np.uint64(_BASE) + h[places + k]
     return mix(out)
 
 

@@ -4,7 +4,7 @@ Words are brought to a template: numbers, names (capitalised words within a sent
 placeholders, other words lose case and punctuation. Windows of ``WINDOW`` template words of the benchmark are joined by
 hash with those of the documents. Matches that lie on one diagonal (document place minus item place) are one occurrence;
 it counts if its windows make up ``ENOUGH`` words of the item or all of a shorter one, and if its slots are consistent: the same
-value of the item always meets the same value in the document, and different ones different ones. Windows with equal values
+value of the item always meets the same value in the document (two values may meet the same one). Windows with equal values
 that make up as much by themselves are a verbatim copy, whatever the other slots hold.
 
 Before the join, documents drop windows that are surely not in the benchmark by a bitmap of fixed size; what passes by
@@ -17,16 +17,16 @@ match with equal values only; items shorter than a window match as a whole; repe
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainspan.llm.common import mix, rolling, rows_of, with_python
+from chainspan.llm.common import mix, rolling, rolling_at, rows_of, with_python
 from chainspan.session import written
 
 WINDOW = 8
@@ -47,13 +47,18 @@ _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i
 _PLACEHOLDERS = mix(np.arange(1, 6, dtype=np.uint64))
 
 
+def _hash(word: bytes) -> int:
+    """61 bits, so that a value and its kind fit a long."""
+    return xxhash.xxh3_64_intdigest(word) >> 3
+
+
 def canon(word: str) -> tuple[list[tuple[int, int]], bool, bool]:
     """The (kind, value hash) template words of a word, whether it is capitalised, and whether a sentence ends with it."""
     if word.isascii() and len(word) > 2:  # most words are letters, with a stop or without
         stop = word[-1] if word[-1] in ",.;:!?" else ""
         bare = word[:-1] if stop else word
         if bare.isalpha() and (low := bare.lower()) not in UNITS:
-            return [(WORD_KIND, zlib.crc32(low.encode()))], bare[0].isupper(), stop in (".", "!", "?", ":")
+            return [(WORD_KIND, _hash(low.encode()))], bare[0].isupper(), stop in (".", "!", "?", ":")
     bare = word.strip(_EDGE)
     ends = word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":")
     if not bare:
@@ -61,13 +66,13 @@ def canon(word: str) -> tuple[list[tuple[int, int]], bool, bool]:
     low = bare.lower()
     if low in UNITS:
         # One-letter units are words as often: only beside a number do they count, which the number's own suffix covers.
-        return [(UNIT if len(low) > 1 or not low.isalpha() else WORD_KIND, zlib.crc32(low.encode("utf-8", "surrogatepass")))], False, ends
+        return [(UNIT if len(low) > 1 or not low.isalpha() else WORD_KIND, _hash(low.encode("utf-8", "surrogatepass")))], False, ends
     m = _NUMBER.fullmatch(low)
     if m:
-        out = [(NUMBER, zlib.crc32(m[2].rstrip(".,:/").encode()))]
-        out += [(UNIT, zlib.crc32(u.encode("utf-8", "surrogatepass"))) for u in (m[1], m[3]) if u]
+        out = [(NUMBER, _hash(m[2].rstrip(".,:/").encode()))]
+        out += [(UNIT, _hash(u.encode("utf-8", "surrogatepass"))) for u in (m[1], m[3]) if u]
         return out, False, ends
-    return [(WORD_KIND, zlib.crc32(low.encode("utf-8", "surrogatepass")))], bare[0].isupper(), ends
+    return [(WORD_KIND, _hash(low.encode("utf-8", "surrogatepass")))], bare[0].isupper(), ends
 
 
 class Templates:
@@ -127,9 +132,12 @@ def windows(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, n: int) ->
         return h, np.empty(0, bool)
     literal = np.concatenate([[0], np.cumsum(kinds == WORD_KIND)])
     good = literal[n:] - literal[:-n] >= min(n, LEAST_WORDS)
-    if not good.all():
-        exact = np.where(kinds == WORD_KIND, codes, mix(codes + values + np.uint64(1)))
-        h = np.where(good, h, mix(rolling(exact, n) + np.uint64(n)))
+    poor = np.flatnonzero(~good)
+    if len(poor):
+        exact = codes.copy()
+        slots = np.flatnonzero(kinds != WORD_KIND)
+        exact[slots] = mix(codes[slots] + values[slots] + np.uint64(1))
+        h[poor] = mix(rolling_at(exact, n, poor) + np.uint64(n))
     return h, good
 
 
@@ -213,7 +221,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     n = F.size("pairs")
-    consistent = (n == F.size(F.array_distinct("pairs.slots"))) & (n == F.size(F.array_distinct("pairs.found")))
+    consistent = n == F.size(F.array_distinct("pairs.slots"))
     need = F.greatest(F.col("size"), F.least(F.lit(ENOUGH), F.col("words") - 1))
     # Windows that match with equal values only do not count against an item met with other values.
     bound = F.when(F.col("open") > 0, F.least(need, F.col("open"))).otherwise(need)
