@@ -206,3 +206,14 @@ def test_states_shuffled_to_runs_give_the_same_matches(spark, monkeypatch):
         monkeypatch.setattr(layout, "SENT_BYTES", limit)
         found.append(sorted((r.rule_ix, tuple(r.ids)) for r in match_rules(spark.createDataFrame(rows, SCHEMA), RULES).collect()))
     assert found[0] == found[1]
+
+
+def test_sixty_four_generations_take_seven_rounds(spark, monkeypatch):
+    n, jumps = 70, []
+    real = lineage.written
+    monkeypatch.setattr(lineage, "written", lambda df: (jumps.append(1) if df.columns == ["rule_ix", "at", "up"] else None, real(df))[1])
+    rows = [(i, "4688", 10 * i, "h", f"0x{i:x}", f"0x{i + 1:x}", None, "p") for i in range(n)]
+    edges, counts = lineage.match_lineage(spark.createDataFrame(rows, PROC), Rule("Deep", (), "lineage", lineage_depth=64))
+    got = {(r.src, r.dst, r.step_index) for r in edges.collect()}
+    assert got == {(j, i, i - j - 1) for i in range(n) for j in range(max(0, i - 65), i)}
+    assert counts["relations"] == len(got) and len(jumps) <= 7
