@@ -354,24 +354,68 @@ def registered(spark, sf):
     return out.edges.groupBy("rule_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("src").alias("srcs"), F.sum("dst").alias("dsts"))
 
 
-# The shared events know five codes. Each stands for the built-in rules' codes by their number modulo five.
-_STAND_IN = ("click", "error", "purchase", "signup", "view")
+# The shared events know five codes; for the built-in rules each event gets one of the rules' own codes, by its id.
+RULE_CODES = sorted({c for r in builtin_rules() for c in (*r.step_codes, *((r.lineage_exit_id,) if r.algorithm == "lineage" else ()))})
 
 
-def stand_in(code: str) -> str:
-    return _STAND_IN[int(code) % 5]
+def recoded(events):
+    """The events under the codes of the built-in rules."""
+    place = F.pmod(F.call_function("div", F.col("id") * (F.col("id") + 7), F.lit(3)), F.lit(len(RULE_CODES)))
+    return events.withColumn("event_code", F.element_at(F.array(*[F.lit(c) for c in RULE_CODES]), (place + 1).cast("int")))
 
 
-@query("builtin_rules")
-def library(spark, sf):
-    """Matches and edges of every built-in rule, its codes replaced by those of the shared events."""
-    from dataclasses import replace
+def _quoted(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
-    rules = [
-        replace(r, sequence=tuple(map(stand_in, r.sequence)), lineage_create_ids=tuple(map(stand_in, r.lineage_create_ids)))
-        for r in builtin_rules()
-    ]
-    return b.build(canon(spark, sf), rules).outcomes.select("rule_id", "matches", "relations", "skipped_no_keys", "unresolved_parents")
+
+def builtin_rules_sql() -> str:
+    """Rules as a table; earliest steps by jumps, timed rules (one code again and again, then another) by a sweep."""
+    rules = [r for r in builtin_rules() if r.algorithm != "lineage"]
+    listed = ", ".join(
+        f"('{r.rule_id}', '{r.algorithm}', {_quoted(r.sequence)}, '{r.match_fields[0] if r.match_fields else ''}', CAST({r.within_ns or 0} AS BIGINT))" for r in rules
+    )
+    tree = next(r for r in builtin_rules() if r.algorithm == "lineage")
+    create, leave = f"'{tree.lineage_create_ids[0]}'", f"'{tree.lineage_exit_id}'"
+    life = _LIFE.replace(f"WITH RECURSIVE {CANON},", "").replace("FROM canon", "FROM coded").replace("'signup', 'error'", f"{create}, {leave}").replace("'signup'", create)
+    return f"""WITH RECURSIVE {CANON},
+      coded AS (SELECT * REPLACE ({_quoted(RULE_CODES)}[1 + (id * (id + 7) // 3) % {len(RULE_CODES)}] AS event_code) FROM canon),
+      rules(rule_id, kind, codes, slot, within) AS (VALUES {listed}),
+      rows AS (
+        SELECT *, row_number() OVER (PARTITION BY rule_id, g ORDER BY ts_ns, id) AS rn FROM (
+          SELECT rule_id, kind, codes, within, id, ts_ns, event_code,
+            concat_ws('|', computer, CASE slot WHEN 'logon_id' THEN logon_id WHEN 'target_user' THEN target_user END) AS g
+          FROM rules JOIN coded ON list_contains(codes, event_code)
+          WHERE ts_ns IS NOT NULL AND (slot <> 'logon_id' OR logon_id IS NOT NULL) AND (slot <> 'target_user' OR target_user IS NOT NULL))),
+      walk(rule_id, codes, g, k, rn) AS (
+        SELECT rule_id, any_value(codes), g, 0, min(rn) FROM rows WHERE kind <> 'temporal' AND event_code = codes[1] GROUP BY rule_id, g
+        UNION ALL
+        SELECT rule_id, codes, g, k, rn FROM (SELECT w.rule_id, w.codes, w.g, w.k + 1 AS k, (SELECT min(r.rn) FROM rows r
+            WHERE r.rule_id = w.rule_id AND r.g = w.g AND r.rn > w.rn AND r.event_code = w.codes[1 + (w.k + 1) % len(w.codes)]) AS rn FROM walk w) WHERE rn IS NOT NULL),
+      stepwise AS (SELECT rule_id, sum(n) AS matches FROM (SELECT rule_id, g, (max(k) + 1) // any_value(len(codes)) AS n FROM walk GROUP BY rule_id, g) GROUP BY rule_id),
+      sweep(rule_id, g, rn, near, last, done) AS (
+        SELECT DISTINCT rule_id, g, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false FROM rows WHERE kind = 'temporal'
+        UNION ALL
+        SELECT s.rule_id, s.g, r.rn,
+          CASE WHEN event_code = codes[1] THEN CASE WHEN ts_ns - s.last <= within THEN s.near + 1 ELSE 1 END WHEN fin THEN 0 ELSE s.near END,
+          CASE WHEN event_code = codes[1] THEN ts_ns WHEN fin THEN NULL ELSE s.last END, fin
+        FROM sweep s JOIN rows r ON r.rule_id = s.rule_id AND r.g = s.g AND r.rn = s.rn + 1,
+        LATERAL (SELECT coalesce(event_code = codes[-1] AND s.near >= len(codes) - 1 AND ts_ns - s.last <= within, false) AS fin)),
+      timed AS (SELECT rule_id, count(*) FILTER (done) AS matches FROM sweep GROUP BY rule_id),
+      {life.strip()},
+      found AS (SELECT * FROM stepwise UNION ALL SELECT * FROM timed)
+      SELECT r.rule_id, CAST(coalesce(f.matches, 0) AS BIGINT) AS matches, CAST(coalesce(f.matches, 0) * (len(r.codes) - 1) AS BIGINT) AS relations,
+        CASE r.slot WHEN 'logon_id' THEN (SELECT count(*) FROM coded WHERE ts_ns IS NOT NULL AND logon_id IS NULL)
+          WHEN 'target_user' THEN (SELECT count(*) FROM coded WHERE ts_ns IS NOT NULL AND target_user IS NULL) ELSE 0 END AS skipped_no_keys,
+        CAST(0 AS BIGINT) AS unresolved_parents
+      FROM rules r LEFT JOIN found f USING (rule_id)
+      UNION ALL SELECT '{tree.rule_id}', count(p), count(p), 0, count(*) - count(p) FROM resolved"""
+
+
+@query("builtin_rules", builtin_rules_sql())
+def library(spark, sf):
+    """Matches and edges of every built-in rule."""
+    out = b.build(recoded(canon(spark, sf)), builtin_rules()).outcomes
+    return out.select("rule_id", "matches", "relations", "skipped_no_keys", "unresolved_parents")
 
 
 @query(

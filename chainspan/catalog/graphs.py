@@ -151,11 +151,7 @@ def by_slot(spark, sf):
       SELECT *, row_number() OVER (ORDER BY size DESC, label, cluster_id) AS place FROM s""",
 )
 def cluster_order(spark, sf):
-    from chainspan.operators.layout import ordered_layout, running_position
-
-    sizes = g.cluster_sizes(g.slot_clusters(canon(spark, sf), "target_user")).withColumn("less", -F.col("size"))
-    placed = running_position(ordered_layout(sizes, [], ["less", "label", "cluster_id"], ["size"]))
-    return placed.select("cluster_id", "label", "size", (F.col("position") + 1).alias("place"))
+    return g.place_clusters(g.cluster_sizes(g.slot_clusters(canon(spark, sf), "target_user")))
 
 
 @query("graph_membership", WITH_EDGES + "SELECT src AS id, graph_id FROM edges UNION SELECT dst, graph_id FROM edges")

@@ -148,13 +148,7 @@ def finding_state(spark, sf):
 )
 def ordered(spark, sf):
     """Every event with its place in descending order."""
-    from chainspan.operators.layout import ordered_layout, running_position
-
-    ev = canon(spark, sf).select("id", "ts_ns")
-    keyed = ev.withColumn("undated", F.col("ts_ns").isNull()).withColumn("down", F.coalesce(-F.col("ts_ns"), F.lit(0)))
-    return running_position(ordered_layout(keyed, [], ["undated", "down", "id"], ["ts_ns"])).select(
-        "id", "ts_ns", F.col("position").alias("place")
-    )
+    return q.place_events(canon(spark, sf).select("id", "ts_ns"), descending=True)
 
 
 @query("page_events", WITH_CANON + "SELECT id, event_code, ts_ns, computer FROM canon ORDER BY ts_ns NULLS LAST, id LIMIT 512 OFFSET 300")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainspan.operators.layout import ordered_layout, running_position
 from chainspan import model
 from chainspan.functions.text import trimmed
 
@@ -120,6 +121,13 @@ def order_clusters(clusters: DataFrame) -> DataFrame:
     return clusters.orderBy(F.col("size").desc(), "label", "cluster_id")
 
 
+def place_clusters(clusters: DataFrame) -> DataFrame:
+    """``clusters`` with the place of each in the order of ``order_clusters``, from 1; in no order itself."""
+    keyed = clusters.withColumn("_less", -F.col("size"))
+    layout = ordered_layout(keyed, [], ["_less", "label", "cluster_id"], [c for c in clusters.columns if c not in ("label", "cluster_id")])
+    return running_position(layout).select(*clusters.columns, (F.col("position") + 1).alias("place"))
+
+
 def cluster_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_id", "label").agg(F.count(F.lit(1)).alias("size"))
 

@@ -143,14 +143,19 @@ def page_events(df: DataFrame, offset: int = 0, limit: int = 0, descending: bool
     if offset == 0 and limit <= 0:
         return order_events(df, descending)
     # Deep page: number the rows run by run, so that no task has to hold everything before the page.
+    at = place_events(df, descending, "_place").filter(F.col("_place") >= offset)
+    if limit > 0:
+        at = at.filter(F.col("_place") < offset + limit)
+    return order_events(at.select(*df.columns), descending)
+
+
+def place_events(df: DataFrame, descending: bool = False, name: str = "place") -> DataFrame:
+    """``df`` with the place of each event in the order of ``order_events``, from 0; in no order itself."""
     sign = F.lit(-1 if descending else 1)
     keyed = df.withColumn("_undated", F.col("ts_ns").isNull()).withColumn("_at", F.coalesce(F.col("ts_ns") * sign, F.lit(0)))
     rest = [c for c in keyed.columns if c not in ("_undated", "_at", "id")]
     layout = ordered_layout(keyed, [], ["_undated", "_at", "id"], rest)
-    at = running_position(layout).filter(F.col("position") >= offset)
-    if limit > 0:
-        at = at.filter(F.col("position") < offset + limit)
-    return order_events(at.select(*df.columns), descending)
+    return running_position(layout).select(*df.columns, F.col("position").alias(name))
 
 
 def count_events(df: DataFrame, flt: EventFilter, edges: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
