@@ -87,6 +87,7 @@ def main() -> None:
         out = build(events, rules, **options)
         out.outcomes.collect()
         run(out.edges)
+        out.discard()
 
     timed("build_1_rule", lambda: full(ev, mixed_rules(1)))
     timed("build_5_rules", lambda: full(ev, mixed_rules(5)))

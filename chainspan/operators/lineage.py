@@ -8,7 +8,6 @@ identifier or a host that holds most of the events is spread over many tasks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,7 +21,7 @@ from chainspan.operators.edges import basis_entry, edge_id, match_id, small_side
 from chainspan.operators.layout import Layout, Tail, bucket_starts, carried, keys_at, last_said, neighbours, ordered_layout
 from chainspan.operators.matching import scope_column
 from chainspan.plans.rules import Rule, rules_frame
-from chainspan.session import checkpoint_root, written
+from chainspan.session import new_folder, written
 
 CREATE, EXIT, PROBE = 0, 1, 2
 
@@ -220,7 +219,7 @@ def ancestors(direct: DataFrame, depths: dict[int, int]) -> DataFrame:
     spark, limits = direct.sparkSession, F.create_map(*[F.lit(x) for kv in depths.items() for x in kv])
     jump = written(direct.filter(F.col("rule_ix").isin(list(depths))).select("rule_ix", F.col("child_id").alias("at"), F.col("parent_id").alias("up")))
     known = jump.select("rule_ix", F.col("at").alias("child_id"), F.col("up").alias("ancestor_id"), F.lit(0).alias("step"))
-    folder, reach = f"{checkpoint_root(spark)}/ancestors-{uuid.uuid4().hex}", 1
+    folder, reach = new_folder(spark, "ancestors"), 1
     known.write.parquet(f"{folder}/{reach}")
     while reach <= max(depths.values()):
         known = spark.read.schema(known.schema).parquet(*[f"{folder}/{2**k}" for k in range(reach.bit_length())])

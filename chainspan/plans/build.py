@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from chainspan.operators.lineage import match_lineage, match_lineages
 from chainspan.operators.matching import STEPWISE, group_rules, match_rules, scope_column
 from chainspan.operators.query import EventFilter, filter_events
 from chainspan.plans.rules import Rule, rules_frame, small_table
+from chainspan.session import recorded, remove
 
 _LINEAGE_SLOTS = ("process_id", "new_process_id", "parent_process_id", "process_name")
 
@@ -34,6 +35,11 @@ class Build:
     edges: DataFrame
     outcomes: DataFrame
     graphs: DataFrame
+    folders: tuple[str, ...] = ()  # what ``edges`` is read from
+
+    def discard(self) -> None:
+        """Remove the tables behind ``edges``, once they are stored elsewhere."""
+        remove(self.edges.sparkSession, self.folders)
 
 
 def prepare(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -84,7 +90,9 @@ def build(
     if cache:
         prepared = prepared.persist()
     try:
-        return _build(events, prepared, rules, graphs, previous)
+        with recorded() as folders:
+            out = _build(events, prepared, rules, graphs, previous)
+        return replace(out, folders=tuple(folders))
     finally:
         if cache:
             prepared.unpersist()

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,32 +60,57 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Tables written and not yet discarded, by application.
+# Folders made and not yet removed, by application; those made inside ``recorded`` belong to whoever opened it.
 _WRITTEN: dict[str, list[str]] = {}
+_OWNERS = threading.local()
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new place in the checkpoint folder, to be removed by ``discard_written`` or the owner of the step."""
+    path = f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    owners = getattr(_OWNERS, "lists", None)
+    (owners[-1] if owners else _WRITTEN.setdefault(spark.sparkContext.applicationId, [])).append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a columnar table in the checkpoint folder and continue from it.
 
     For results several later steps read a few columns each of; row order is not kept, ``durable`` is for that. The table
-    stays until ``discard_written``.
+    stays until ``discard_written``, or until whoever opened ``recorded`` around this call removes it.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard_written(spark: SparkSession) -> int:
-    """Delete the tables ``written`` has made in this application; returns how many.
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that this thread makes inside. Whoever opens it removes them, once what reads them is stored."""
+    owners = _OWNERS.__dict__.setdefault("lists", [])
+    made: list[str] = []
+    owners.append(made)
+    try:
+        yield made
+    finally:
+        owners.remove(made)
 
-    For use once the results that read them are stored.
-    """
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders in whatever file system they are."""
     sc = spark.sparkContext
-    paths = _WRITTEN.pop(sc.applicationId, [])
     for p in paths:
         path = sc._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Remove the folders made in this application that nobody else owns; returns how many.
+
+    For use once the results that read them are stored.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    remove(spark, paths)
     return len(paths)
 
 

@@ -190,3 +190,17 @@ def test_payloads_do_not_depend_on_depth(spark):
     for i, leaf in enumerate(leaves):
         assert {f"p.q.r.s.t.{k}": v for k, v in got[(i, "low")].items()} == got[(i, "high")], leaf
     assert got[(13, "low")] == {} and got[(11, "low")] == {"k": '[{"a":[],"b":1}]'}
+
+
+def test_a_build_removes_its_tables(spark):
+    from chainspan.plans.build import build
+    from chainspan.plans.rules import Rule
+
+    rows = [(i, "AB"[i % 2], 10 * i, "h", 2) for i in range(20)]
+    events = spark.createDataFrame(rows, "id long, event_code string, ts_ns long, computer string, corr_version int")
+    before = discard_written(spark)
+    out = build(events, [Rule("pair", ("A", "B"))])
+    assert out.edges.count() == 10 and out.folders and before >= 0
+    assert all(os.path.isdir(f.removeprefix("file:")) for f in out.folders)
+    out.discard()
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in out.folders) and discard_written(spark) == 0
