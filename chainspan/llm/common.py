@@ -17,6 +17,10 @@ from chainspan.session import ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What a worker keeps between tasks. Operators with large tables of their own empty it first.
+KEPT: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -30,17 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chainspan.llm.common import rows_of, with_python
+from chainspan.llm.common import KEPT, rows_of, with_python
 from chainspan.llm.ordering import ranged
-from chainspan.session import checkpoint_root
+from chainspan.session import new_folder
 
 END_ID = 2
-#: Documents the dictionary is trained on, and the bytes used of each; every document is compressed with it.
-SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 16_384
+#: Documents whose id arrays the dictionary is trained on, the bytes of the pieces these are cut into, and how many pieces
+#: from anywhere in them are taken; every document is compressed with it.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_PIECES = 1_000, 16_384, 2_000
 DICTIONARY_BYTES = 65_536
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 #: Pieces of text a worker remembers the ids of.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: The most frequent of them, by the first batch that is larger.
 COMMON = 16_384
 
@@ -141,14 +141,11 @@ class Encoder:
         return docs
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker and tokenizer."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if ("tokens", path) not in KEPT:
+        KEPT["tokens", path] = Encoder(path)
+    return KEPT["tokens", path]
 
 
 def _packed(ids: np.ndarray, width: int) -> bytes:
@@ -156,15 +153,22 @@ def _packed(ids: np.ndarray, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int) -> bytes:
-    """A dictionary from the first documents in hash order; empty where there is too little to train on."""
-    some = docs.select("text", F.xxhash64(F.lit(6), F.col("doc_id"), F.length("text")).alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    """A dictionary from the first documents in hash order; empty where there is too little to train on.
+
+    The documents are chosen by their hashes alone, and the hashes are sent to the texts, not the texts to one task.
+    """
+    named = docs.select("text", F.xxhash64(F.lit(6), F.col("doc_id"), F.length("text")).alias("h"))
+    chosen = named.select("h").orderBy("h").limit(SAMPLE_DOCS).distinct()
+    some = named.join(F.broadcast(chosen), "h", "left_semi").select("text").limit(SAMPLE_DOCS)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 64):
-            got = encoder(tokenizer).encode(b.column("text").to_pylist(), end_id)
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(a, width)[:SAMPLE_BYTES] for a in got], pa.binary())], ["a"])
+            got = [_packed(a, width) for a in encoder(tokenizer).encode(b.column("text").to_pylist(), end_id)]
+            cut = [a[k : k + SAMPLE_BYTES] for a in got for k in range(0, len(a), SAMPLE_BYTES)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["a"])
 
-    samples = sorted(bytes(r.a) for r in some.select("text").mapInArrow(arrays, "a binary").collect())
+    pieces = some.mapInArrow(arrays, "a binary").orderBy(F.xxhash64("a"), "a").limit(SAMPLE_PIECES)
+    samples = sorted(bytes(r.a) for r in pieces.collect())
     if sum(map(len, samples)) < 16 * 1024 or len(samples) < 16:
         return b""
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
@@ -196,7 +200,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | N
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "tokens")
     with_python(docs)
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     data = train_dictionary(docs, tokenizer, width, end_id)

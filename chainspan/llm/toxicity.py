@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainspan.llm.common import held_out, rows_of, with_python
+from chainspan.llm.common import KEPT, held_out, rows_of, with_python
 from chainspan.llm.training import ROWS_PER_CLASS, training_rows
 
 TABLE_BITS = 18
@@ -328,6 +328,7 @@ def annotate(docs: DataFrame, field: Field) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        KEPT.clear()
         memory: dict[bytes, float] = {}
         for b in rows_of(batches):
             texts = b.column("text").to_pylist()

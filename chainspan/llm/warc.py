@@ -43,7 +43,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from chainspan.llm.common import with_python
-from chainspan.session import checkpoint_root, ship_package
+from chainspan.session import new_folder, ship_package
 
 FORMAT = "chainspan_warc"
 #: Columns that the headers of a record decide.
@@ -474,7 +474,7 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, **o
     Payloads of at least ``min_bytes`` bytes that are equal are kept once.
     """
     spark = registered(pages.sparkSession)
-    folder = folder or f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "warc")
     marked(pages, min_bytes).write.format(FORMAT).options(**options).mode("append").save(folder)
     return folder
 

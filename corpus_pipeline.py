@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from chainspan.llm import decontamination, jaccard, mixing, tokens, toxicity
 from chainspan.llm.common import table
 from chainspan.llm.queries import TOKENIZER
-from chainspan.session import checkpoint_root
+from chainspan.session import checkpoint_root, recorded, remove
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again by the next."""
     folder = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with recorded() as made:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        remove(spark, [*made, *before])
+        before = [f"{folder}/{name}"]
+        docs = spark.read.parquet(*before)
     return docs

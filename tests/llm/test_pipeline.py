@@ -1,7 +1,11 @@
 """The stages, one after the other, each judged on its own input."""
 
+import os
+
 import corpus_pipeline
+import pytest
 from chainspan.llm import registry
+from chainspan.session import checkpoint_root
 
 
 def test_stages(spark, tmp_path):
@@ -21,4 +25,29 @@ def test_stages(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)} and set(registry.ORACLES) == {"op4_url_filter"}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 14)}
+    assert set(registry.ORACLES) == {"op4_url_filter", "op11_prefix_trie", "op12_structure_repair", "op13_warc"}
+
+
+@pytest.mark.parametrize("which", ["messy", "empty"])
+def test_run_over_odd_tables(spark, messy, empty, tmp_path, which):
+    """Null ids and texts, repeated rows, clashing columns, no rows at all; nothing is left behind but the result."""
+    sf = "/root/testdata/sf0.001"
+    docs = {"messy": messy, "empty": empty}[which]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{sf}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    rows = got.collect()
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    if which == "empty":
+        assert rows == []
+        return
+    rows.sort(key=lambda r: r.start)
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    # Three rows hold the same words and two the long text: one of each class is left, as often as the mix takes it.
+    kept = {r.doc_id for r in rows}
+    assert kept <= {r.doc_id for r in docs.collect()} and len(kept & {5, 6}) >= 1
+    left = checkpoint_root(spark).removeprefix("file:")
+    stages = [d for d in os.listdir(left) if d.startswith("pipeline-")]
+    assert all(os.listdir(f"{left}/{d}") in ([], ["tokens"]) for d in stages)
