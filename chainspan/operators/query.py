@@ -142,13 +142,65 @@ def page_events(df: DataFrame, offset: int = 0, limit: int = 0, descending: bool
         return order_events(df, descending).offset(offset).limit(limit)
     if offset == 0 and limit <= 0:
         return order_events(df, descending)
-    # Deep page: number the rows run by run, so that no task has to hold everything before the page.
-    at = place_events(df, descending, "_place").filter(F.col("_place") >= offset)
+    # Deep page: only the stretch of times that holds it is sorted.
+    part, before = _stretch(df, offset, limit, descending)
+    at = place_events(part, descending, "_place").filter(F.col("_place") >= offset - before)
     if limit > 0:
-        at = at.filter(F.col("_place") < offset + limit)
+        at = at.filter(F.col("_place") < offset - before + limit)
     return order_events(at.select(*df.columns), descending)
 
 
+#: Stretches of about equally many events that the times are cut into to find a deep page.
+STRETCHES = 256
+
+
+def _place_among(value: Column, cuts: list[int]) -> Column:
+    """How many of the (ascending) cuts are below a value, by halving."""
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= cuts[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return half(0, len(cuts))
+
+
+def _stretch(df: DataFrame, offset: int, limit: int, descending: bool) -> tuple[DataFrame, int]:
+    """The events of the few stretches of time that hold a page, and how many events come before them.
+
+    Cuts come from a mergeable quantile sketch of the times, made beside the data; how good they are only decides how
+    much is sorted. The events between them are then counted exactly, from the times alone, and at most ``STRETCHES``
+    numbers come back. The stretch is a range of times, so files outside it are skipped by their statistics.
+    """
+    cuts = df.agg(F.percentile_approx("ts_ns", F.array(*[F.lit(k / STRETCHES) for k in range(1, STRETCHES)]), 10 * STRETCHES)).first()[0]
+    cuts = sorted(set(cuts or []))
+    # Stretch k holds the times above cut k - 1 and up to cut k; undated events come last in both directions.
+    k = F.when(F.col("ts_ns").isNull(), F.lit(len(cuts) + 1)).otherwise(_place_among(F.col("ts_ns"), cuts))
+    counted = {r.k: r.n for r in df.select(k.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = [*range(len(cuts), -1, -1), len(cuts) + 1] if descending else list(range(len(cuts) + 2))
+    before, seen, held = 0, 0, []
+    for at in order:
+        n = counted.get(at, 0)
+        if seen + n <= offset:
+            before += n
+        elif limit <= 0 or seen < offset + limit:
+            held.append(at)
+        seen += n
+    undated = len(cuts) + 1 in held
+    dated = [at for at in held if at <= len(cuts)]
+    keep = F.col("ts_ns").isNull() if undated else F.lit(False)
+    if dated:
+        lo, hi = min(dated), max(dated)
+        within = F.col("ts_ns").isNotNull()
+        if lo > 0:
+            within &= F.col("ts_ns") > cuts[lo - 1]
+        if hi < len(cuts):
+            within &= F.col("ts_ns") <= cuts[hi]
+        keep = keep | within if undated else within
+    return df.filter(keep), before
+
+
 def place_events(df: DataFrame, descending: bool = False, name: str = "place") -> DataFrame:
     """``df`` with the place of each event in the order of ``order_events``, from 0; in no order itself."""
     sign = F.lit(-1 if descending else 1)

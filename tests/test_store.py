@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from chainspan.functions.times import filetime_problem, filetime_to_ns
@@ -204,3 +205,24 @@ def test_a_build_removes_its_tables(spark):
     assert all(os.path.isdir(f.removeprefix("file:")) for f in out.folders)
     out.discard()
     assert not any(os.path.exists(f.removeprefix("file:")) for f in out.folders) and discard_written(spark) == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("stretches", [1, 7, 256])
+def test_deep_pages_sort_the_stretch_that_holds_them(spark, monkeypatch, tmp_path, descending, stretches):
+    from chainspan.operators import query
+
+    monkeypatch.setattr(query, "STRETCHES", stretches)
+    monkeypatch.setattr(query, "TOP_K_ROWS", 0)
+    rnd = random.Random(stretches)
+    rows = [(i, None if rnd.random() < 0.1 else rnd.choice([5, 5, rnd.randrange(400)])) for i in range(300)]
+    spark.createDataFrame(rows, "id long, ts_ns long").write.parquet(f"{tmp_path}/e")
+    df = spark.read.parquet(f"{tmp_path}/e")
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0) if descending else r[1] or 0, r[0]))
+    for offset, limit in ((120, 30), (0, 3), (285, 40), (300, 5), (250, 0)):
+        got = [tuple(r) for r in query.page_events(df, offset, limit, descending).collect()]
+        assert got == (order[offset : offset + limit] if limit else order[offset:])
+    if stretches == 7:
+        part, before = query._stretch(df, 120, 10, descending)
+        assert part.count() < 200 and before <= 120  # two in three share one time
+        assert "PushedFilters: [IsNotNull(ts_ns)" in part._jdf.queryExecution().executedPlan().toString()
