@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,9 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph km/h m/s hz khz mhz ghz w kw mw v a j kj cal kcal "
     "pa bar k c f °c °f dollar dollars cent cents euro euros pound pounds eur usd gbp percent degree degrees bit bits byte bytes kb mb gb tb".split()
 )
-WORD_KIND, NUMBER, NAME, UNIT, NOTHING = range(5)
+WORD_KIND, NUMBER, NAME, UNIT = range(4)
+#: Words kept in a table small enough to stay close.
+COMMON = 16_384
 _NUMBER = re.compile(r"([$€£¥]?)[+-]?(\d[\d.,:/]*)(\D*)")
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "%$°") + "“”‘’«»¿¡…–—"
 _PLACEHOLDERS = mix(np.arange(1, 6, dtype=np.uint64))
@@ -84,45 +86,81 @@ class Templates:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        # Up to three template words per word; of each its kind, value and code.
-        self.kind, self.value, self.code = np.empty((0, 3), np.int8), np.empty((0, 3), np.uint64), np.empty((0, 3), np.uint64)
+        self.common: dict[str, int] = {}
+        # Each word has up to three template words, one after the other, from its start on; of each its kind, value and code.
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.kind, self.value, self.code = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.capital, self.ends = np.empty(0, bool), np.empty(0, bool)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.clear()
-        found = [canon(w) for w in words]
-        kind, value = np.full((len(words), 3), NOTHING, np.int8), np.zeros((len(words), 3), np.uint64)
-        for i, (made, _, _) in enumerate(found):
+        capital, ends, count = np.zeros(len(words), bool), np.zeros(len(words), bool), np.ones(len(words), np.int64)
+        plain, lows, rest = [], [], []
+        for i, w in enumerate(words):
+            # As ``canon`` does for most words: letters, with a stop or without.
+            stop = w[-1]
+            bare = w[:-1] if stop in ",.;:!?" else w
+            if len(w) > 2 and bare.isalpha() and (low := bare.lower()) not in UNITS:
+                plain.append(i), lows.append(low)
+                if bare[0].isupper():
+                    capital[i] = True
+                if stop in ".!?:":
+                    ends[i] = True
+            else:
+                rest.append(i)
+        others = [canon(words[i]) for i in rest]
+        count[rest] = [len(made) for made, _, _ in others]
+        capital[rest], ends[rest] = [c for _, c, _ in others], [e for _, _, e in others]
+        start = np.cumsum(count) - count
+        kind, value = np.full(int(count.sum()), WORD_KIND, np.int64), np.zeros(int(count.sum()), np.uint64)
+        value[start[plain]] = np.fromiter(map(xxhash.xxh3_64_intdigest, lows), np.uint64, len(lows)) >> np.uint64(3)
+        for i, (made, _, _) in zip(start[rest].tolist(), others, strict=True):
             for j, (k, v) in enumerate(made):
-                kind[i, j], value[i, j] = k, v
-        code = np.where(kind == WORD_KIND, mix(value + np.uint64(1 << 33)), _PLACEHOLDERS[np.clip(kind, 0, 3)])
-        self.known.update(zip(words, range(len(self.kind), len(self.kind) + len(words)), strict=True))
+                kind[i + j], value[i + j] = k, v
+        code = np.where(kind == WORD_KIND, mix(value + np.uint64(1 << 33)), _PLACEHOLDERS[kind])
+        self.known.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.kind) + start])
+        self.count = np.concatenate([self.count, count])
         self.kind, self.value, self.code = np.concatenate([self.kind, kind]), np.concatenate([self.value, value]), np.concatenate([self.code, code])
-        self.capital = np.concatenate([self.capital, np.array([c for _, c, _ in found], bool)])
-        self.ends = np.concatenate([self.ends, np.array([e for _, _, e in found], bool)])
+        self.capital, self.ends = np.concatenate([self.capital, capital]), np.concatenate([self.ends, ends])
+
+    def numbers(self, flat: list[str]) -> np.ndarray:
+        """The numbers of words, new ones learned. Most are among the few that come again and again."""
+        at = np.fromiter(map(self.common.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        rest = [flat[i] for i in missing.tolist()]
+        found = np.fromiter(map(self.known.get, rest, repeat(-1)), np.int64, len(rest))
+        unseen = np.flatnonzero(found < 0)
+        if len(unseen):
+            wanted = [rest[i] for i in unseen.tolist()]
+            fresh = list(dict.fromkeys(wanted))
+            if self.known and len(self.known) + len(fresh) > self.remembered:
+                self.clear()
+                return self.numbers(flat)
+            self.learn(fresh)
+            found[unseen] = np.fromiter(map(self.known.__getitem__, wanted), np.int64, len(wanted))
+        at[missing] = found
+        if not self.common and len(at) > COMMON:
+            names = list(self.known)
+            self.common = {names[k]: k for k in np.argsort(-np.bincount(at, minlength=len(names)))[:COMMON].tolist()}
+        return at
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(codes, kinds, values, bounds) of the texts' template words, one text after the other."""
         cut = [(t or "").split() for t in texts]
-        flat = list(chain.from_iterable(cut))
-        distinct = set(flat)
-        fresh = distinct.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > self.remembered:
-            fresh = distinct
-        self.learn(list(fresh))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        at = self.numbers(list(chain.from_iterable(cut)))
         ends = np.cumsum([len(w) for w in cut], dtype=np.int64)
         inside = np.ones(len(at), bool)
         inside[1:] = ~self.ends[at[:-1]]
         first = np.concatenate([[0], ends[:-1]])
         inside[first[first < len(at)]] = False
-        kind, value, code = self.kind[at], self.value[at], self.code[at]
-        name = self.capital[at] & inside & (kind[:, 0] == WORD_KIND)
-        kind[name, 0], code[name, 0] = NAME, _PLACEHOLDERS[NAME]
-        keep = kind != NOTHING
-        before = np.concatenate([[0], np.cumsum(keep.sum(axis=1))])
-        return code[keep], kind[keep].astype(np.int64), value[keep], np.concatenate([[0], before[ends]]).astype(np.int64)
+        count = self.count[at]
+        stops = np.concatenate([[0], np.cumsum(count)])
+        place = np.repeat(self.start[at] - stops[:-1], count) + np.arange(stops[-1])
+        kind, value, code = self.kind[place], self.value[place], self.code[place]
+        # A capitalised word has one template word.
+        name = stops[np.flatnonzero(self.capital[at] & inside)]
+        kind[name], code[name] = NAME, _PLACEHOLDERS[NAME]
+        return code, kind, value, np.concatenate([[0], stops[ends]])
 
 
 def windows(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
