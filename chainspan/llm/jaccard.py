@@ -1,9 +1,13 @@
 """Similarity join of documents on word shingles: a forest of MinHash signatures, then exact verification.
 
 1. Documents with the same shingles are one node; copies are counted, never paired.
-2. A node's signature is cut into trees of ``DEPTH`` values. Nodes that share a prefix of a tree are a bucket. The prefix is
-   the longest at which pairs right at the threshold share one with the target chance, so whether a pair is met does not
-   depend on other rows.
+2. Each tree of the forest reads a signature along a path of its own; nodes that share a prefix of a path are a bucket. How
+   long the prefix is, is settled node by node: it is shortened as far as the buckets around a node stay small, and the
+   more values it keeps, the more trees are read (``levels``), so that at each length a pair right at the threshold shares
+   a bucket with the target chance. Two nodes are met at the shorter of their lengths. A crowded bucket is worked on whole
+   if most of its pairs share a much longer prefix as well, for then its nodes are near copies; otherwise (pages of one
+   template) all its nodes keep a longer prefix. So every pair is looked for in all trees of one length, whatever else the
+   table holds.
 3. All nodes of a bucket are compared by signature, those of a large bucket in pairs of blocks, and a spanning forest of
    the pairs whose signatures do not rule similarity out comes back. Its trees form candidate groups.
 4. Within a candidate group all pairs are verified on the whole shingle sets. Large groups are cut into blocks and pairs
@@ -17,6 +21,8 @@ words than a shingle are one shingle; repeated rows are copies of each other; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,10 @@ RECALL = 0.999
 RULED_OUT = 0.62
 #: Nodes, and shingles, a block holds.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
-#: Nodes a block of a bucket holds, and rows of whole buckets in a unit.
+#: Nodes a block of a bucket holds (more make a bucket crowded), and rows of whole buckets in a unit.
 BUCKET_NODES, UNIT_ROWS = 512, 20_000
+#: Values by which a prefix grows, how often, and the share of pairs that agree on so many more in a bucket of near copies.
+STEP, STEPS, TIGHT = 4, 2, 0.25
 
 _FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -100,14 +108,71 @@ def prefix_for(recall: float) -> int:
     return depth_for([(d, s, met[k] - met[k + 1]) for k, d in enumerate(range(SHORTEST, DEPTH + 1))], recall)
 
 
-def buckets(nodes: DataFrame, depth: int) -> DataFrame:
-    """(key, node, n): the nodes of each prefix that two or more share; of prefixes with the same nodes one."""
-    trees = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    keyed = trees.select(F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * depth})")).alias("key"), "node")
+@cache
+def trees_for(depth: int, recall: float) -> int:
+    """The fewest trees in which a pair at the threshold shares a prefix of ``depth`` values with the chance ``recall``.
+
+    Paths choose from the same values: of m equal ones among all, a path of distinct values takes equal ones only with
+    the chance comb(m, depth) / comb(all, depth), and m is binomial.
+    """
+    n, (a, b) = TREES * DEPTH, THRESHOLD
+    m = np.arange(n + 1)
+    weight = np.array([comb(n, k) * a**k * (b - a) ** (n - k) / b**n for k in m.tolist()])
+    missed = 1 - np.array([comb(k, depth) / comb(n, depth) for k in m.tolist()])
+    trees = TREES
+    while 1 - (weight * missed**trees).sum() < recall:
+        trees += 1
+    return trees
+
+
+def levels(recall: float) -> list[tuple[int, int]]:
+    """(prefix length, trees) from the shortest to the longest prefix a node may keep."""
+    first = prefix_for(recall)
+    return [(first, TREES), *((first + k * STEP, trees_for(first + k * STEP, recall)) for k in range(1, STEPS + 1))]
+
+
+def paths(trees: int, depth: int) -> np.ndarray:
+    """Which values of a signature each tree reads, in order. The first ``TREES`` begin with values of their own."""
+    n = TREES * DEPTH
+    order = mix(np.arange(trees * n, dtype=np.uint64).reshape(trees, n) + np.uint64(1)) | np.uint64(1 << 63)
+    for t in range(min(trees, TREES)):
+        order[t, t * DEPTH : (t + 1) * DEPTH] = np.arange(DEPTH, dtype=np.uint64)
+    return np.argsort(order, axis=1, kind="stable")[:, :depth]
+
+
+def prefixes(sigs: np.ndarray, depth: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each signature's prefix of ``depth`` values in each tree, and of the one ``STEP`` values longer."""
+    way = paths(trees, depth + STEP)
+    h = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64)), (len(sigs), trees))
+    for k in range(depth + STEP):
+        if k == depth:
+            short = h
+        h = mix((h ^ sigs[:, way[:, k]]) + np.uint64(0x9E3779B97F4A7C15))
+    return short, h
+
+
+def level(nodes: DataFrame, depth: int, trees: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n): nodes of each prefix shared by two or more that is worked on here, and (node): those that go on.
+
+    Of prefixes with the same nodes one is kept.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, 4096):
+            sigs = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, TREES * DEPTH).astype(np.uint64)
+            key, child = prefixes(sigs, depth, trees)
+            node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), trees)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel().view(np.int64), child.ravel().view(np.int64), node)], ["key", "child", "node"])
+
+    keyed = with_python(nodes.select("node", "sig")).mapInArrow(spread, "key long, child long, node long")
     # Sets of nodes are told apart by their size and 128 bits.
-    sets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (3, 4)))
-    one = written(sets.filter("n > 1").groupBy("n", "x3", "x4").agg(F.min("key").alias("key")).select("key", "n"))
-    return keyed.join(one, "key")
+    marks = [f"x{k}" for k in (3, 4)]
+    by_child = keyed.groupBy("key", "child").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (3, 4)))
+    sets = by_child.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), *(F.bit_xor(x).alias(x) for x in marks)).filter("n > 1")
+    loose = F.lit(False) if last else (F.col("n") > BUCKET_NODES) & (F.col("same") < TIGHT * F.col("n").cast("double") * F.col("n"))
+    one = sets.groupBy("n", *marks).agg(F.min(F.struct(loose.alias("loose"), "key")).alias("m"))
+    members = written(keyed.select("key", "node").join(written(one.select("m.key", "n", "m.loose")), "key"))
+    return members.filter("not loose").drop("loose"), members.filter("loose").select("node").distinct()
 
 
 def meet(rows: pa.Table) -> pa.Table:
@@ -141,15 +206,31 @@ def meet(rows: pa.Table) -> pa.Table:
 
 def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(src, dst): a spanning forest of the nodes that may be linked or lie on the way between linked ones."""
-    members = buckets(nodes, prefix_for(recall)).withColumn("blocks", F.ceil(F.col("n") / BUCKET_NODES).cast("int"))
-    members = written(members.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")))
+    at, found = nodes.select("node", "sig"), []
+    every = levels(recall)
+    for k, (depth, trees) in enumerate(every):
+        here, crowded = level(at, depth, trees, k == len(every) - 1)
+        found.append(compared(here, at))
+        if k == len(every) - 1 or crowded.isEmpty():
+            break
+        at = written(at.join(crowded, "node", "left_semi"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def compared(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst): a spanning forest within each bucket of (key, node, n)."""
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BUCKET_NODES).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
     small = members.filter("blocks = 1").count()
-    signed_ones = members.join(nodes.select("node", "sig"), "node")
+    signed_ones = members.join(nodes, "node")
     bins = max(parts(nodes.sparkSession), -(-small // UNIT_ROWS))
     whole, paired = units_of("key", bins)
     dealt = signed_ones.select("key", "node", "block", "sig", F.explode(F.when(F.col("blocks") == 1, whole).otherwise(paired)).alias("u"))
     dealt = with_python(dealt.select("u.*", "key", "node", "block", "sig"))
-    return dealt.groupBy("shared", "unit", "i", "j").applyInArrow(meet, "src long, dst long").distinct()
+    return dealt.groupBy("shared", "unit", "i", "j").applyInArrow(meet, "src long, dst long")
 
 
 def units_of(group: str, bins: int) -> tuple[Column, Column]:

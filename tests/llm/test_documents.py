@@ -59,7 +59,8 @@ def test_jaccard_join_against_all_pairs(spark, small, monkeypatch):
     assert [got[i].class_id for i, _ in rows] == [rows[t][0] for t in top]
 
 
-def test_jaccard_join_behind_a_shared_passage(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [64, 8])  # below and above what the passage puts into one bucket
+def test_jaccard_join_behind_a_shared_passage(spark, monkeypatch, crowd):
     rng = np.random.default_rng(5)
     shared = [f"s{i}" for i in range(90)]
     rows = []
@@ -68,7 +69,7 @@ def test_jaccard_join_behind_a_shared_passage(spark, monkeypatch):
         rows.append((k, " ".join(shared + own)))
         if k % 8 == 0:
             rows.append((1000 + k, " ".join(shared + own[:28] + [f"p{k}x{i}" for i in range(12)])))
-    monkeypatch.setattr(jaccard, "BUCKET_NODES", 64)  # so that the bucket is compared block by block
+    monkeypatch.setattr(jaccard, "BUCKET_NODES", crowd)
     got = {r.doc_id: r for r in jaccard.similar(documents(spark, [(i, t, "a") for i, t in rows])).collect()}
     top, links = brute_links(rows)
     assert sum(links) == 100 and [got[i].n_links for i, _ in rows] == links
@@ -102,6 +103,34 @@ def test_prefix_length_holds_recall_at_the_threshold(recall):
     assert d == jaccard.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < recall
 
 
+def test_forest_meets_pairs_at_the_threshold_at_every_length():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 65536, (4000, jaccard.TREES * jaccard.DEPTH)).astype(np.uint64)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 65536, a.shape).astype(np.uint64))
+    for depth, trees in jaccard.levels(0.999):
+        (short, long), (other, _) = jaccard.prefixes(a, depth, trees), jaccard.prefixes(b, depth, trees)
+        assert (short == other).any(axis=1).mean() >= 0.997
+        # A longer prefix of the same tree, in the next level's words: equal ones have equal shorter ones.
+        assert ((long == jaccard.prefixes(b, depth, trees)[1]) <= (short == other)).all()
+        assert all(len(set(p)) == depth + jaccard.STEP for p in jaccard.paths(trees, depth + jaccard.STEP).tolist())
+
+
+def test_crowded_buckets_of_half_alike_pages_keep_longer_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET_NODES", 32)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 65536, 128)
+    loose = [np.where(rng.random(128) < 0.5**0.5, base, rng.integers(0, 65536, 128)) for _ in range(600)]
+    tight = [np.where(rng.random(128) < 0.97, base + 1, rng.integers(0, 65536, 128)) for _ in range(60)]
+    rows = [(k, bytearray(x.astype("<u2").tobytes())) for k, x in enumerate(loose + tight)]
+    nodes = spark.createDataFrame(rows, "node long, sig binary")
+    here, crowded = jaccard.level(nodes, *jaccard.levels(0.999)[0], False)
+    gone = {r.node for r in crowded.collect()}
+    assert len(gone) > 300 and max(gone) < 600  # pages of the template; near copies are worked on where they are
+    assert here.filter("n > 32").agg({"node": "min"}).first()[0] >= 600
+    last, crowded = jaccard.level(nodes, *jaccard.levels(0.999)[2], True)
+    assert crowded.isEmpty() and last.filter("node < 600 and n > 32").isEmpty()
+
+
 def brute_passages(rows, n=20):
     seen, out = set(), []
     for i, t in rows:
