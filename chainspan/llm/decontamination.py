@@ -1,7 +1,8 @@
 """Benchmark passages in documents, also with other numbers, names and units put in.
 
 Words are brought to a template: numbers, names (capitalised words within a sentence) and units become typed
-placeholders, other words lose case and punctuation. Windows of ``WINDOW`` template words of the benchmark are joined by
+placeholders, other words lose case and punctuation. Whether the capitalised first word of a sentence is a name cannot be
+seen, so windows that hold one are taken both ways, in items and in documents. Windows of ``WINDOW`` template words of the benchmark are joined by
 hash with those of the documents. Matches that lie on one diagonal (document place minus item place) are one occurrence;
 it counts if its windows make up ``ENOUGH`` words of the item or all of a shorter one, and if its slots are consistent: the same
 value of the item always meets the same value in the document (two values may meet the same one). Windows with equal values
@@ -144,8 +145,11 @@ class Templates:
             self.common = {names[k]: k for k in np.argsort(-np.bincount(at, minlength=len(names)))[:COMMON].tolist()}
         return at
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, kinds, values, bounds) of the texts' template words, one text after the other."""
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, kinds, values, bounds, initial) of the texts' template words, one text after the other.
+
+        ``initial`` has the places of capitalised words that begin a sentence, which may be names.
+        """
         cut = [(t or "").split() for t in texts]
         at = self.numbers(list(chain.from_iterable(cut)))
         ends = np.cumsum([len(w) for w in cut], dtype=np.int64)
@@ -158,9 +162,10 @@ class Templates:
         place = np.repeat(self.start[at] - stops[:-1], count) + np.arange(stops[-1])
         kind, value, code = self.kind[place], self.value[place], self.code[place]
         # A capitalised word has one template word.
-        name = stops[np.flatnonzero(self.capital[at] & inside)]
+        capital = self.capital[at]
+        name = stops[np.flatnonzero(capital & inside)]
         kind[name], code[name] = NAME, _PLACEHOLDERS[NAME]
-        return code, kind, value, np.concatenate([[0], stops[ends]])
+        return code, kind, value, np.concatenate([[0], stops[ends]]), stops[np.flatnonzero(capital & ~inside)]
 
 
 def windows(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +184,27 @@ def windows(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, n: int) ->
     return h, good
 
 
+def named(codes: np.ndarray, kinds: np.ndarray, initial: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and kinds with the words at these places as names."""
+    codes, kinds = codes.copy(), kinds.copy()
+    codes[initial], kinds[initial] = _PLACEHOLDERS[NAME], NAME
+    return codes, kinds
+
+
+def both_ways(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, initial: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, hashes, which are good, kinds) of all windows, then of those that hold a word of ``initial``, as names."""
+    h, good = windows(codes, kinds, values, n)
+    yield np.arange(len(h)), h, good, kinds
+    if len(h) and len(initial):
+        codes, kinds = named(codes, kinds, initial)
+        some = np.zeros(len(codes) + 1, np.int32)
+        some[initial + 1] = 1
+        some = np.cumsum(some)
+        at = np.flatnonzero(some[n:] > some[:-n])
+        h, good = windows(codes, kinds, values, n)
+        yield at, h[at], good[at], kinds
+
+
 def _slots(kinds: np.ndarray, values: np.ndarray, at: int, n: int) -> list[int]:
     """Values of the placeholders of a window, in order; the kind is part of a value."""
     return [int(v) * 4 + int(k) for k, v in zip(kinds[at : at + n], values[at : at + n], strict=True) if k != WORD_KIND]
@@ -201,12 +227,16 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             out: list[tuple] = []
             every = t.of(b.column("text").to_pylist())
             for k, item in enumerate(b.column("item_id").to_pylist()):
-                codes, kinds, values = (x[every[3][k] : every[3][k + 1]] for x in every[:3])
+                lo, hi = every[3][k], every[3][k + 1]
+                codes, kinds, values = (x[lo:hi] for x in every[:3])
+                initial = every[4][(every[4] >= lo) & (every[4] < hi)] - lo
                 n = min(WINDOW, len(codes))
                 if n:
-                    h, good = windows(codes, kinds, values, n)
-                    free = int((np.convolve(good, np.ones(n)) > 0.5).sum())
-                    out += [(x, item, i, n, len(codes), free, _slots(kinds, values, i, n)) for i, x in enumerate(h.view(np.int64).tolist())]
+                    free = 0
+                    for at, h, good, as_read in both_ways(codes, kinds, values, initial, n):
+                        if as_read is kinds:  # as names, the same windows have fewer literal words
+                            free = int((np.convolve(good, np.ones(n)) > 0.5).sum())
+                        out += [(x, item, i, n, len(codes), free, _slots(as_read, values, i, n)) for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), _LONGS]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], ["hash", "item_id", "place", "size", "words", "open", "slots"])
 
@@ -235,16 +265,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         t, (bits, sizes) = Templates(), sent.value
         for b in rows_of(batches):
             out: list[tuple] = []
-            codes, kinds, values, bounds = t.of(b.column("text").to_pylist())
+            codes, kinds, values, bounds, initial = t.of(b.column("text").to_pylist())
             docs, keys = b.column("doc_id").to_pylist(), b.column("text_key").to_pylist()
             for n in sizes:
-                h, _ = windows(codes, kinds, values, n)
-                top = h >> np.uint64(64 - BITMAP)
-                maybe = np.flatnonzero(((bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool))
-                of = np.searchsorted(bounds, maybe, side="right") - 1
-                within = maybe + n <= bounds[of + 1]  # not across the end of a text
-                for i, k in zip(maybe[within].tolist(), of[within].tolist(), strict=True):
-                    out.append((docs[k], keys[k], int(h[i : i + 1].view(np.int64)[0]), i - int(bounds[k]), _slots(kinds, values, i, n)))
+                for at, h, _, as_read in both_ways(codes, kinds, values, initial, n):
+                    top = h >> np.uint64(64 - BITMAP)
+                    maybe = np.flatnonzero(((bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool))
+                    met, h = at[maybe], h[maybe].view(np.int64)
+                    of = np.searchsorted(bounds, met, side="right") - 1
+                    within = met + n <= bounds[of + 1]  # not across the end of a text
+                    for i, x, k in zip(met[within].tolist(), h[within].tolist(), of[within].tolist(), strict=True):
+                        out.append((docs[k], keys[k], x, i - int(bounds[k]), _slots(as_read, values, i, n)))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), _LONGS]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], ["doc_id", "text_key", "hash", "at", "found"])
 
@@ -252,7 +283,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = texts.mapInArrow(look, "doc_id long, text_key long, hash long, at long, found array<long>")
     met = asked.join(items, "hash").withColumn("start", F.col("at") - F.col("place"))
     met = met.filter(F.size("slots") == F.size("found"))
-    # A diagonal has at most one match per place of its item, so these sets are as long as an item at most.
+    # A diagonal has at most two matches per place of its item, so these sets are as long as an item at most.
     pairs = F.arrays_zip("slots", "found")
     one = met.groupBy("doc_id", "text_key", "item_id", "start").agg(
         F.count_distinct("place").alias("n_windows"), F.first("words").alias("words"), F.first("size").alias("size"), F.first("open").alias("open"),

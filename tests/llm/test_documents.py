@@ -208,6 +208,15 @@ def test_decontamination_of_a_copy_with_one_name_changed(spark):
     assert {r.doc_id: r.contaminated for r in rows} == {0: True, 1: True, 2: True, 3: True}
 
 
+def test_decontamination_of_short_sentences_about_someone_else(spark):
+    ask = "{a} has {x} apples. {a} buys {y} more. {a} eats {z}. How many apples does {a} have?".format
+    bench = spark.createDataFrame([(0, ask(a="Tom", x=5, y=3, z=2))], "item_id long, text string")
+    other = ask(a="Anna", x=9, y=4, z=6)
+    texts = [other, f"Well. {other} Yes", f"well {other.lower()}", other.replace("Anna eats", "Bert eats"), ask(a="Tom", x=5, y=3, z=2), "Tom has a dog. It eats apples."]
+    rows = decontamination.judged(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench).collect()
+    assert {r.doc_id: r.contaminated for r in rows} == {0: True, 1: True, 2: False, 3: False, 4: True, 5: False}
+
+
 @pytest.mark.parametrize("which", ["small", "messy"])
 def test_token_files_round_trip(spark, small, messy, which):
     docs = {"small": small, "messy": messy}[which]
