@@ -276,6 +276,40 @@ def test_main_text_inside_marked_wrappers(wrapper):
     assert html.main_text(f"<article>Story</article><{wrapper}><p>Something longer than the story</{tag}>") == "Story"
 
 
+LONG_TEXT = "This is a long paragraph of the story with many plain words in it. " * 3
+
+
+def blocks(*texts):
+    return "\n\n".join(t.strip() for t in texts)
+
+
+def test_main_text_keeps_what_marks_only_hint_at():
+    page = """<article><h1>T</h1><p>One plain paragraph here.<p class='share-price'>The share price rose.<p class='search-history'>The history of search.
+    <div class='widget-review'><p>A review of it.</div><section id='related-work'><p>Others did too.</section><div class='related-posts share'><p>Read on</div></article>"""
+    assert html.main_text(page) == blocks("T", "One plain paragraph here.", "The share price rose.", "The history of search.", "A review of it.", "Others did too.")
+    for name in ("login-story", "login"):
+        assert html.main_text(f"<main><div class='{name}'><p>{LONG_TEXT}</div></main>") == LONG_TEXT.strip()
+    links = "<div class='related-reading'><a href=1>One</a> <a href=2>Two</a></div>"
+    assert html.main_text(f"<article><p>{LONG_TEXT}{links}</article>") == LONG_TEXT.strip()
+
+
+def test_main_text_of_several_regions():
+    p = f"<p>{LONG_TEXT}"
+    assert html.main_text(f"<main><h1>Head</h1><p>Lead.</p><article>{p}</article><article>{p}<p>short end</article></main>") == blocks("Head", "Lead.", LONG_TEXT, LONG_TEXT, "short end")
+    assert html.main_text(f"<main><h1>Head</h1><article>{p}</article></main><div><p>Foot</div>") == blocks("Head", LONG_TEXT)
+    assert html.main_text(f"<article>{p}</article><article>{p}</article><article>tiny</article>") == blocks(LONG_TEXT, LONG_TEXT)
+
+
+def test_main_text_without_article_or_main():
+    p, menu = f"<p>{LONG_TEXT}", "<div class='topbar-links'><a href=1>Home</a> <a href=2>News</a></div>"
+    most = "<div class='most-read'><ul><li><a href=1>First thing</a><li><a href=2>Second</a></ul></div><p>All rights reserved"
+    want = blocks("Head", LONG_TEXT, "Short.", LONG_TEXT)
+    assert html.main_text(f"<body>{menu}<div class=story><h1>Head</h1>{p}<p>Short.</p>{p}</div>{most}</body>") == want
+    assert html.main_text(f"<body>{menu}<h1>Head</h1>{p}<p>Short.</p>{p}{most}</body>") == want
+    assert html.main_text(f"<body>{menu}<div><div>{p}</div><div>{p}</div><div>{p}</div></div>{most}</body>") == blocks(LONG_TEXT, LONG_TEXT, LONG_TEXT)
+    assert html.main_text(f"<body>{menu}</body>") in ("Home News", "")
+
+
 def test_pages_of_the_small_table(spark):
     from html import unescape
 
