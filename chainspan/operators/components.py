@@ -155,7 +155,8 @@ def _longest_paths(edges: DataFrame) -> DataFrame:
     ranks = durable(with_package(started).repartition(1).mapInArrow(_ranked, "id bigint, rank bigint"))
     for gone in reversed(removed):
         above = gone.join(ranks.select(F.col("id").alias("src"), F.col("rank").alias("up")), "src", "left")
-        best = F.greatest(F.max("rank"), F.max(F.coalesce(F.col("up") + F.col("w"), F.lit(0))))
+        # A node whose edges all went with their other ends is in no table of ranks: nothing leads to it.
+        best = F.greatest(F.max("rank"), F.max(F.coalesce(F.coalesce("up", F.lit(0)) + F.col("w"), F.lit(0))))
         ranks = durable(ranks.unionByName(above.groupBy("id").agg(F.least(best, F.lit(_ENDLESS)).alias("rank"))))
     return ranks
 

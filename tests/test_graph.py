@@ -113,6 +113,14 @@ def test_step_rank_by_taking_nodes_out(spark, monkeypatch):
         assert {r.id: r.rank for r in c.step_rank(nodes, edges).collect()} == kahn(n, pairs)
 
 
+def test_step_rank_of_lone_edges_taken_out(spark, monkeypatch):
+    """Of an edge between two ends that nothing else touches, either end may be the one taken out."""
+    monkeypatch.setattr(c, "SMALL_EDGES", 0)
+    pairs = [(2 * k, 2 * k + 1) for k in range(12)] + [(30, 31), (31, 32), (33, 32)]
+    nodes, edges = frames(spark, 34, pairs)
+    assert {r.id: r.rank for r in c.step_rank(nodes, edges).collect()} == kahn(34, pairs)
+
+
 def test_rounds_follow_the_logarithm(spark, monkeypatch):
     """A ladder of 10,000 levels and a ring with a tail: how often nodes are taken out."""
     rounds = []
