@@ -10,12 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainspan.functions.text import bound
+
 _OBJECT = "map<string,variant>"
 
 
-def _text(v: Column) -> Column:
+def _text(v: Column, kind: Column) -> Column:
     """A leaf as text: strings as they are, null as '', lists and the rest as JSON."""
-    kind = F.schema_of_variant(v)
     return (
         F.when(v.isNull() | (kind == "VOID"), F.lit(""))
         .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
@@ -65,19 +66,27 @@ def flatten_payload(c: Column) -> Column:
 
         def one(e: Column) -> Column:
             key = F.concat(prefix, e["key"])
-            leaf = F.array(F.struct(key.alias("k"), _text(e["value"]).alias("v")))
-            if left == 0:
-                return leaf
-            nested = F.schema_of_variant(e["value"]).startswith("OBJECT")
-            return F.when(nested, entries(e["value"], F.concat(key, F.lit(".")), left - 1)).otherwise(leaf)
+
+            def opened(kind: Column) -> Column:
+                leaf = F.array(F.struct(key.alias("k"), _text(e["value"], kind).alias("v")))
+                if left == 0:
+                    return leaf
+                nested = kind.startswith("OBJECT")
+                return F.when(nested, entries(e["value"], F.concat(key, F.lit(".")), left - 1)).otherwise(leaf)
+
+            return bound(F.schema_of_variant(e["value"]), opened)
 
         return F.coalesce(F.flatten(F.transform(pairs, one)), empty)
 
-    whole = F.try_parse_json(c)
+    def last(found: Column) -> Column:
+        # Most payloads hold each key once; only the others compare their keys.
+        once = F.size(F.array_distinct(F.transform(found, lambda e: e["k"]))) == F.size(found)
+        later = lambda e, i: F.exists(F.slice(found, i + 2, F.size(found)), lambda x: x["k"] == e["k"])
+        return F.when(once, found).otherwise(F.filter(found, lambda e, i: ~later(e, i)))
+
     # Deeper nesting needs more opening braces than there are levels unrolled.
-    deep = (F.regexp_count(c, F.lit(r"\{")) > UNROLLED) & whole.isNotNull()
-    flat = F.pandas_udf(_flat, T.StringType())(F.when(deep, c))
-    shallow = entries(whole, F.lit(""), UNROLLED - 1)
-    last = F.filter(shallow, lambda e, i: ~F.exists(F.slice(shallow, i + 2, F.size(shallow)), lambda later: later["k"] == e["k"]))
-    # What was opened up has each key once.
-    return F.map_from_entries(F.when(deep, entries(F.try_parse_json(flat), F.lit(""), 0)).otherwise(last))
+    deep = lambda x: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit("{"), F.lit("")))) > UNROLLED
+    flat = F.pandas_udf(_flat, T.StringType())(bound(c, lambda x: F.when(deep(x) & F.try_parse_json(x).isNotNull(), x)))
+    # What was opened up is one level deep and has each key once.
+    found = bound(F.try_parse_json(F.coalesce(flat, c)), lambda whole: entries(whole, F.lit(""), UNROLLED - 1))
+    return F.map_from_entries(bound(found, last))

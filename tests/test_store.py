@@ -226,3 +226,10 @@ def test_deep_pages_sort_the_stretch_that_holds_them(spark, monkeypatch, tmp_pat
         part, before = query._stretch(df, 120, 10, descending)
         assert part.count() < 200 and before <= 120  # two in three share one time
         assert "PushedFilters: [IsNotNull(ts_ns)" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flattening_parses_a_payload_once(spark):
+    df = spark.createDataFrame([("{}",)], "d string").select(flatten_payload(F.col("d")).alias("m"))
+    # Once more for those that go to Python, before they go.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("ParseJson(") + plan.count("parseJson(") in (1, 2)
