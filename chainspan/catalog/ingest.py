@@ -96,8 +96,8 @@ def coerce_timestamps(spark, sf):
           FROM events) GROUP BY ALL""",
 )
 def quarantined(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("int")
-    raw = table(spark, sf, "events").select(
+    k = F.col("k")
+    raw = _with_k(spark, sf).select(
         F.when(k % 10 == 3, "  ").otherwise(F.col("event_type")).alias("event_id"),
         F.when(k % 10 == 1, " ").when(k % 10 == 2, "soon").when(k % 10 == 4, "1601-01-01 00:00:00").when(k % 10 == 5, "9999-12-31T23:59:59Z").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),
         F.concat(F.lit("P-"), (k % 5).cast("string")).alias("provider"),
@@ -181,7 +181,7 @@ def shredded(spark, sf):
 
 
 def _joined(fields: str):
-    pairs = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform(F.sort_array(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.coalesce(F.array_join(pairs, ";"), F.lit("")).alias(fields)
 
 
@@ -326,10 +326,14 @@ def summary(spark, sf):
     return identity.ingest_summary(seen.filter("value <= 95"), seen.filter("value > 95"))
 
 
+def _with_k(spark, sf):
+    """Events with the number in their properties as a column, read once for each row."""
+    return table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def _fields(spark, sf):
     """Field maps as a reader would deliver them, names in mixed case."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    e = F.lit
+    k, e = F.col("k"), F.lit
     fields = F.create_map(
         e("targetlogonid"), F.when(k % 4 == 0, "-").otherwise(k.cast("string")),
         e("SubjectLogonId"), F.concat(e("0x"), F.upper(F.hex(F.col("event_id")))),
@@ -339,7 +343,7 @@ def _fields(spark, sf):
         e("AccountName"), e("Fallback"),
         e("IpAddress"), F.when(k % 2 == 0, e(" 10.0.0.1 ")),
     )
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), fields.alias("fields"))
+    return _with_k(spark, sf).select(F.col("event_id").alias("id"), fields.alias("fields"))
 
 
 _SLOT_SQL = f"""SELECT event_id AS id,

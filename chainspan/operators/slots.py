@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan import model
-from chainspan.functions.text import slot_value, trimmed
+from chainspan.functions.text import bound, slot_value, trimmed
 
 
 def folded_fields(fields: Column) -> Column:
     """Field names trimmed and lower-cased; of names that differ only in case the smallest wins."""
-    entries = F.array_sort(
+    entries = F.sort_array(
         F.transform(
             F.map_entries(fields),
             lambda e: F.struct(F.lower(trimmed(e["key"])).alias("name"), e["key"].alias("key"), e["value"].alias("value")),
         )
     )
-    first = F.filter(
-        entries,
-        lambda e, i: (e["name"] != "") & ((i == 0) | (F.get(entries, i - 1)["name"] != e["name"])),
-    )
-    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["name"], e["value"])))
+
+    def first(sorted_entries: Column) -> Column:
+        kept = F.filter(
+            sorted_entries,
+            lambda e, i: (e["name"] != "") & ((i == 0) | (F.get(sorted_entries, i - 1)["name"] != e["name"])),
+        )
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["name"], e["value"])))
+
+    return bound(entries, first)
 
 
 def slot_columns(folded: Column) -> dict[str, Column]:

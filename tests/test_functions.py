@@ -44,3 +44,12 @@ def test_tags(spark):
     row = [" B", "a", "b ", "", long, long + "y"] + [f"t{i:02}" for i in range(40)]
     got = spark.createDataFrame([(row,)], "t array<string>").select(normalize_tags(F.col("t"))).first()[0]
     assert got == sorted(["b", "a", long, long + "y"] + [f"t{i:02}" for i in range(40)])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slots_read_the_fields_once(spark):
+    df = spark.createDataFrame([(1, {"ProcessId": "7"})], "id int, fields map<string,string>")
+    assert _plan(extract_slots(df)).count("map_entries(") == 1
