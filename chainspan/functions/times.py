@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chainspan import model
-from chainspan.functions.text import trimmed
+from chainspan.functions.text import bound, trimmed
 
 NS = 1_000_000_000
 # Seconds that still fit a LONG of nanoseconds.
@@ -41,7 +41,10 @@ def coerce_timestamp(c: Column) -> Column:
     Whole numbers are seconds, or milliseconds above 1e11. Text is a date and a time parted by ``T`` or a blank,
     an optional fraction, and an optional zone (UTC when missing).
     """
-    v = trimmed(c.cast("string"))
+    return bound(bound(c.cast("string"), trimmed), _text_ns)
+
+
+def _text_ns(v: Column) -> Column:
     number = v.try_cast("long")
     unit = F.when(number > model.MILLIS_THRESHOLD, F.lit(1_000_000)).otherwise(F.lit(NS))
     zone = F.coalesce(F.nullif(F.regexp_extract(v, r"(Z|[+-]\d{2}:\d{2})$", 1), F.lit("")), F.lit("Z"))
@@ -53,9 +56,11 @@ def coerce_timestamp(c: Column) -> Column:
 
 def reads_as_time(c: Column) -> Column:
     """Whether text or a timestamp is well-formed, also where its nanoseconds do not fit a LONG."""
-    v = trimmed(c.cast("string"))
-    day = F.left(v, F.lit(19)).try_cast("timestamp_ntz").isNotNull()
-    return F.coalesce(v.try_cast("long").isNotNull() | (v.rlike(_CLOCK) & day), F.lit(False))
+    def reads(v: Column) -> Column:
+        day = F.left(v, F.lit(19)).try_cast("timestamp_ntz").isNotNull()
+        return F.coalesce(v.try_cast("long").isNotNull() | (v.rlike(_CLOCK) & day), F.lit(False))
+
+    return bound(bound(c.cast("string"), trimmed), reads)
 
 
 def filetime_to_ns(c: Column) -> Column:

@@ -57,13 +57,17 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) of a resolved table. A bad row is set aside with its reason and never stops a load."""
     code = trimmed(F.col("event_id").cast("string"))
     stamp = trimmed(F.col("timestamp").cast("string"))
-    checked = df.withColumn("ts_ns", timestamp_ns(df, "timestamp")).withColumn(
-        "reason",
-        F.when(F.coalesce(stamp, F.lit("")) == "", "empty timestamp")
-        .when(F.col("ts_ns").isNull() & reads_as_time(F.col("timestamp")), OUT_OF_RANGE)
-        .when(F.col("ts_ns").isNull(), "unrecognized timestamp")
-        .when(F.coalesce(code, F.lit("")) == "", "empty event id"),
-    )
+    def told(ns: Column) -> Column:
+        reason = (
+            F.when(F.coalesce(stamp, F.lit("")) == "", "empty timestamp")
+            .when(ns.isNull() & reads_as_time(F.col("timestamp")), OUT_OF_RANGE)
+            .when(ns.isNull(), "unrecognized timestamp")
+            .when(F.coalesce(code, F.lit("")) == "", "empty event id")
+        )
+        return F.struct(ns.alias("ts_ns"), reason.alias("reason"))
+
+    # A row generated from each row: a filter on it is not moved to before it, where it would read the time once more.
+    checked = df.select("*", F.inline(F.transform(F.array(timestamp_ns(df, "timestamp")), told)))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     good = checked.filter(F.col("reason").isNull()).select(
         code.alias("event_code"),

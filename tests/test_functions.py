@@ -53,3 +53,11 @@ def _plan(df):
 def test_slots_read_the_fields_once(spark):
     df = spark.createDataFrame([(1, {"ProcessId": "7"})], "id int, fields map<string,string>")
     assert _plan(extract_slots(df)).count("map_entries(") == 1
+
+
+def test_quarantine_reads_each_time_once(spark):
+    from chainspan.sources.tables import quarantine
+
+    raw = spark.createDataFrame([("4624", "soon", "p", "c", "h", "u", "")], "event_id string, timestamp string, provider string, channel string, computer string, user string, raw_xml string")
+    for part in quarantine(raw):
+        assert _plan(part).count("unix_seconds(") == 1
