@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainspan.catalog.correlation import BURST_RULE, _chain
 from chainspan.catalog.frames import CANON, WITH_CANON, canon, canon_of, table
@@ -47,6 +49,18 @@ def _shown(out):
 CAPTURED_SQL = ORACLES["capture_events"]
 
 
+def _stage(events: DataFrame, folder: str, files: int, k: int) -> None:
+    """Add the ``k``-th batch to ``folder`` in exactly so many files; where rows are too few, undated ones fill them."""
+    spark = events.sparkSession
+    present = lambda: len(spark.read.schema(events.schema).parquet(folder).inputFiles())
+    before = present() if k else 0
+    events.repartition(files).write.mode("append").parquet(folder)
+    missing = before + files - present()
+    if missing > 0:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]
+        spark.range(0, missing, 1, missing).select(*none).write.mode("append").parquet(folder)
+
+
 @query("match_temporal_stream", ORACLES["match_temporal"])
 def matched(spark, sf):
     """The rule of ``match_temporal`` over a stream: six micro-batches, events up to some hours late across their cuts."""
@@ -58,11 +72,14 @@ def matched(spark, sf):
     arrival = F.col("ts_ns") + F.pmod(F.xxhash64("id"), F.lit(6 * 3_600)) * 1_000_000_000
     batch = F.least(F.floor((arrival - F.lit(span.lo or 0)) * 6 / width), F.lit(5)).cast("int")
     dated = events.filter("ts_ns is not null")
-    # The source reads files in the order they were written, one in each micro-batch.
+    dated.withColumn("batch", batch).write.partitionBy("batch").parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(T.StructType([*events.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/dealt")
+    # The source reads files in the order they were written, those of one batch in each micro-batch.
+    files = spark.sparkContext.defaultParallelism
     for k in range(6):
-        dated.filter(batch == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        _stage(dealt.filter(F.col("batch") == k).select(*events.columns), f"{folder}/in", files, k)
     m.closing(spark, events).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     run = m.run_matching(stream, m.Pattern(BURST_RULE, "8 hours"), f"{folder}/out", f"{folder}/checkpoint")
     run.awaitTermination()
     return _chain(spark.read.schema("scope string, ids array<bigint>, gap_ns bigint").parquet(f"{folder}/out"), "scope")

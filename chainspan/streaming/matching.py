@@ -5,7 +5,7 @@ fields, each of their values) holds its events back until the watermark has pass
 of time and id to the same matcher that batches use. What is kept for a scope is the events not yet in order and the
 matcher's few open chains, in the state store; an event-time timer wakes a scope when its earliest event is due.
 
-Rows later than ``delay`` behind the latest event seen are dropped, as with any watermark. All other rows give the
+Rows later than ``delay`` behind the latest event of the rule seen are dropped, as with any watermark. All other rows give the
 occurrences that a batch over the whole table gives, whatever the order of arrival and the cuts between micro-batches.
 Events of the last ``delay`` stay held until the watermark moves on; ``closing`` is a row that moves it past everything.
 """
@@ -31,7 +31,12 @@ from chainspan.session import ship_package
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The scope of the row that closes a stream.
 CLOSING = "\x00closing"
-_HELD = "id long, code int, ts_ns long"
+#: Held events go to the state many to a row: id, code and time of each, as bytes.
+_HELD, _HELD_ROWS = "events binary", 65_536
+
+
+def _packed(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[k : k + _HELD_ROWS].tobytes(),) for k in range(0, len(rows), _HELD_ROWS)]
 
 
 class _Held(StatefulProcessor):
@@ -52,7 +57,7 @@ class _Held(StatefulProcessor):
             if some.empty:
                 continue
             code = some["event_code"].map({c: i for i, c in enumerate(self.codes)})
-            self.held.appendList(list(zip(some["id"].astype(int).tolist(), code.astype(int).tolist(), some["ts_ns"].astype(int).tolist(), strict=True)))
+            self.held.appendList(_packed(np.stack([some["id"].to_numpy(np.int64), code.to_numpy(np.int64), some["ts_ns"].to_numpy(np.int64)], axis=1)))
             least = int(some["ts_ns"].min())
             earliest = least if earliest is None else min(earliest, least)
         if earliest is not None:
@@ -64,21 +69,20 @@ class _Held(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due_before = timerValues.getCurrentWatermarkInMs() * 1_000_000
-        rows = [tuple(r) for r in self.held.get()]
-        due = sorted((r[2], r[0], r[1]) for r in rows if r[2] < due_before)
-        wait = [r for r in rows if r[2] >= due_before]
-        if not due:
-            if wait:
-                self._wake(min(r[2] for r in wait))
+        rows = np.frombuffer(b"".join(bytes(r[0]) for r in self.held.get()), np.int64).reshape(-1, 3)
+        late = rows[:, 2] < due_before
+        due, wait = rows[late], rows[~late]
+        if len(wait):
+            self._wake(int(wait[:, 2].min()))
+        if not len(due):
             return
-        if wait:
-            self.held.put(wait)
-            self._wake(min(r[2] for r in wait))
+        if len(wait):
+            self.held.put(_packed(wait))
         else:
             self.held.clear()
+        ids, codes, ts = due[np.lexsort((due[:, 1], due[:, 0], due[:, 2]))].T.copy()
         begin = json.loads(self.open.get()[0]) if self.open.exists() else None
         matcher = TemporalMatcher(self.seq, self.within, self.total, begin)
-        ts, ids, codes = (np.array(c, dtype=np.int64) for c in zip(*due, strict=True))
         found = matcher.feed(Rows(codes, np.zeros(len(codes), dtype=np.int64), ids, ts))
         self.open.update((json.dumps([matcher.chains, matcher.fresh]),))
         if len(found.rows):
@@ -114,12 +118,13 @@ def match_stream(events: DataFrame, pattern: Pattern) -> DataFrame:
         raise ValueError("only rules with bounded gaps can be matched in a stream")
     ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    kept = events.filter(F.col("ts_ns").isNotNull())
+    codes = tuple(sorted(set(r.sequence)))
+    # Events of other codes are not shuffled; they move no watermark either, so it may stay behind for longer.
+    kept = events.filter(F.col("ts_ns").isNotNull() & F.col("event_code").isin(*codes, CLOSING))
     for s in pattern.keys[1:]:
         kept = kept.filter(F.col(s).isNotNull() | (F.col("event_code") == CLOSING))
     kept = kept.withColumn("scope", scope_column(r.match_scope)).withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000))))
     kept = kept.withWatermark("event_time", pattern.delay).select(*pattern.keys, "id", "event_code", "ts_ns", "event_time")
-    codes = tuple(sorted(set(r.sequence)))
     processor = _Held(codes, tuple(codes.index(c) for c in r.sequence), r.within_ns, r.total_ns, pattern.keys)
     schema = ", ".join(f"{k} string" for k in pattern.keys) + ", ids array<bigint>, gap_ns bigint"
     return kept.groupBy(*pattern.keys).transformWithStateInPandas(

@@ -35,3 +35,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert expected and sorted(((r.scope, r.logon_id), tuple(r.ids)) for r in got) == expected
     when = {r[0]: r[2] for r in rows}
     assert all(r.gap_ns == max(when[b] - when[a] for a, b in zip(r.ids, r.ids[1:])) for r in got)
+
+
+def test_every_batch_is_dealt_into_as_many_files(spark, tmp_path):
+    from chainspan.catalog.streams import _stage
+
+    folder = f"{tmp_path}/in"
+    for k, rows in enumerate((500, 2, 0)):
+        some = spark.range(rows).selectExpr("id", "'A' as event_code", "id as ts_ns", "'h' as computer")
+        _stage(some, folder, 5, k)
+        got = spark.read.schema(some.schema).parquet(folder)
+        assert len(got.inputFiles()) == 5 * (k + 1)
+    assert got.filter("ts_ns is not null").count() == 502
