@@ -16,6 +16,7 @@ from chainspan.operators import snapshot as s
 from chainspan.operators.graph import apply_edge_changes
 from chainspan.plans import checks
 from chainspan.plans.rules import Rule
+from chainspan.session import written
 
 NOW = 1_720_000_000_000_000_000
 
@@ -199,7 +200,8 @@ def plan_totals(spark, sf):
 def recreated(spark, sf):
     n, e = _snapshot(spark, sf)
     now = edges(spark, sf)
-    _, plan = s.restore_plan(n, e, _later(spark, sf), now)
+    # All of the plan is chosen: it is read twice, so it is stored once.
+    plan = written(s.restore_plan(n, e, _later(spark, sf), now)[1])
     changes = s.recreate_edges(plan, plan.select("edge_id"), "s1", 1)
     out = apply_edge_changes(now.filter("false"), changes)
     return out.select("edge_id", "src", "dst", "graph_id", "label", "created_by", "rule_id", F.array_join("basis", ";").alias("basis"))

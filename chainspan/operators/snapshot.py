@@ -64,9 +64,8 @@ def restore_plan(
     the edge of that id joins the same two events, recreatable when the events are there but the edge is not, and
     unresolved, with the reason, when an event is gone. Of several events with one hash the lowest id counts.
     """
-    live = events.filter(F.coalesce("hash_normalized", F.lit("")) != "").groupBy(F.col("hash_normalized").alias("hash")).agg(
-        F.min("id").alias("live_id")
-    )
+    # Events without a hash get no live id here; a filter on the hash would have every hash computed twice.
+    live = events.groupBy(F.col("hash_normalized").alias("hash")).agg(F.min(F.when(F.col("hash_normalized") != "", F.col("id"))).alias("live_id"))
     node_plan = snap_nodes.join(live, "hash", "left").withColumn(
         "outcome",
         F.when(F.col("live_id").isNull(), UNRESOLVED).when(F.col("live_id") != F.col("id"), MOVED).otherwise(APPLIED),

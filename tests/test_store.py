@@ -233,3 +233,21 @@ def test_flattening_parses_a_payload_once(spark):
     # Once more for those that go to Python, before they go.
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json(") + plan.count("ParseJson(") + plan.count("parseJson(") in (1, 2)
+
+
+def test_a_stored_plan_is_read_by_recreated_edges(spark):
+    """The plan of a snapshot's edges is computed once, although it is chosen from itself."""
+    from chainspan.catalog.audits import recreated
+
+    got = recreated(spark, "/root/testdata/sf0.001")
+    assert "sha2(" not in got._jdf.queryExecution().optimizedPlan().toString() and got.columns[0] == "edge_id"
+
+
+def test_events_without_a_hash_restore_nothing(spark):
+    events = spark.createDataFrame([(1, ""), (2, None), (3, "a"), (4, "a")], "id long, hash_normalized string")
+    nodes = spark.createDataFrame([(1, ""), (2, None), (4, "a")], "id long, hash string")
+    links = spark.createDataFrame([("e", "a", "")], "edge_id string, from_hash string, to_hash string")
+    now = spark.createDataFrame([], "edge_id string, src long, dst long")
+    plan = snapshot.restore_plan(nodes, links, events, now)
+    assert {(r.id, r.live_id, r.outcome) for r in plan[0].collect()} == {(1, None, "unresolved"), (2, None, "unresolved"), (4, 3, "moved")}
+    assert plan[1].first().reason == "target missing"
