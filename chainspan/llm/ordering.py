@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,8 @@ from chainspan.llm.common import parts
 
 def id_bounds(ids: DataFrame, column: str, n: int) -> list[int]:
     """At most ``n - 1`` distinct upper bounds that cut the ids into nearly equal ranges."""
+    if n < 2:
+        return []
     found = ids.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [k / n for k in range(1, n)], 0.2 / n)
     return sorted({int(x) for x in found})
 
@@ -43,21 +46,49 @@ def ranged(df: DataFrame, column: str = "doc_id", name: str = "__range", ranges:
     return df.withColumn(name, range_of(F.col(column), bounds))
 
 
-def following(df: DataFrame, values: dict[str, Column], order: list[Column], name: str = "__range") -> DataFrame:
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of an id: their upper bounds, and the first id of each range that has rows (None: a null id)."""
+
+    bounds: list[int]
+    firsts: dict[int, int | None]
+
+    def of(self, column: Column) -> Column:
+        """As ``range_of``: the place is found step by step in one array, so the plan does not grow with the bounds."""
+        steps = [1 << k for k in reversed(range(len(self.bounds).bit_length()))]
+        if not steps:
+            return F.lit(0)
+        bounds = _longs(self.bounds)
+        return F.aggregate(F.expr(f"array({', '.join(map(str, steps))})"), F.lit(0), lambda p, k: F.when(F.get(bounds, p + k - 1) < column, p + k).otherwise(p))
+
+
+def _longs(values: list[int | None]) -> Column:
+    """An array of known values; ``values`` is not empty."""
+    return F.expr(f"cast(array({', '.join('null' if v is None else repr(str(v)) for v in values)}) as array<bigint>)")
+
+
+def ranges(df: DataFrame, column: str = "doc_id", n: int | None = None) -> Ranges:
+    """Nearly equal ranges of the ids of ``df``. Only ids are read; one row per range comes to the driver."""
+    found = Ranges(id_bounds(df, column, n or 4 * parts(df.sparkSession)), {})
+    low = df.select(F.col(column).alias("v")).groupBy(found.of(F.col("v")).alias("r")).agg(F.min("v").alias("v"), F.count_if(F.col("v").isNull()).alias("nulls"))
+    found.firsts.update((x.r, None if x.nulls else x.v) for x in low.collect())
+    return found
+
+
+def following(df: DataFrame, values: dict[str, Column], order: list[Column], among: Ranges, column: str = "doc_id") -> DataFrame:
     """``df`` with columns that hold, for each row, expressions of the next row in the order; the last row's next is the first.
 
-    ``name`` must rise with the order. Within a range a window looks ahead; the last row of a range takes its values
-    from the first row of the next range that has rows. Only those first rows, one per range, are joined.
+    The order begins with ``column``, nulls first. Rows with the first id of a range stand at the end of the range before it
+    once more, where they are seen but not returned. So a window within each range sees all it needs, and ``df`` is read once.
     """
-    w = W.partitionBy(name).orderBy(*order)
-    packed = F.struct(*[c.alias(k) for k, c in values.items()])
-    numbered = df.withColumn("__own", packed)
-    numbered = numbered.withColumn("__next", F.lead("__own").over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    heads = numbered.filter("__first").select(F.col(name).alias("__at"), F.col("__own").alias("__head"))
-    line = W.orderBy("__at")
-    around = heads.select("__at").withColumn("__after", F.lead("__at").over(line))
-    around = around.withColumn("__after", F.coalesce("__after", F.min("__at").over(W.partitionBy())))
-    around = around.join(heads.withColumnRenamed("__at", "__after"), "__after")
-    out = numbered.join(around.select(F.col("__at").alias(name), "__head"), name, "left")
-    out = out.withColumn("__next", F.coalesce("__next", "__head"))
-    return out.select(*df.columns, *[F.col(f"__next.{k}").alias(k) for k in values])
+    there = sorted(among.firsts)
+    n = len(among.bounds) + 1
+    before = dict(zip(there, [*there[-1:], *there[:-1]], strict=True))
+    own = among.of(F.col(column))
+    first = F.col(column).eqNullSafe(F.get(_longs([among.firsts.get(r) for r in range(n)]), F.col("__own")))
+    place = lambda r, again: F.struct(r.cast("int").alias("at"), F.lit(again).alias("again"))
+    here, there_too = place(F.col("__own"), False), place(F.get(_longs([before.get(r) for r in range(n)]), F.col("__own")), True)
+    placed = df.withColumn("__own", own).withColumn("__place", F.explode(F.when(first, F.array(here, there_too)).otherwise(F.array(here))))
+    w = W.partitionBy("__place.at").orderBy("__place.again", *order)
+    seen = placed.withColumn("__next", F.lead(F.struct(*[c.alias(k) for k, c in values.items()])).over(w)).filter("not __place.again")
+    return seen.select(*df.columns, *[F.col(f"__next.{k}").alias(k) for k in values])

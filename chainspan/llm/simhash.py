@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspan.llm.common import words
-from chainspan.llm.ordering import following, ranged
+from chainspan.llm.ordering import following, ranges
 
 BITS = 128
 #: Bit 0 of each 32-bit lane of a long.
@@ -72,17 +72,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text is the first half of a text followed by as much of the next document's beginning.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = ranged(d.withColumn("tie", F.xxhash64("text")))
+    among = ranges(d)
+    d = d.withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    d = following(d, {"next_text": F.col("text")}, order)
+    d = following(d, {"next_text": F.col("text")}, order, among)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     d = d.select(
-        "doc_id", "__range", "tie", n.cast("long").alias("n_chars"), "text",
+        "doc_id", "tie", n.cast("long").alias("n_chars"), "text",
         F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"),
     ).withColumn("id", F.monotonically_increasing_id())
     # What belongs to a document is short and rides along in the key, so its votes need no join.
-    of = ("id", "doc_id", "__range", "tie", "n_chars")
+    of = ("id", "doc_id", "tie", "n_chars")
     each = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))
     both = d.select(*of, F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha256"), F.explode(each).alias("e"))
     both = both.select(F.struct(*of, "edited_sha256", "e.which").alias("key"), "e.t")
@@ -91,7 +92,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     pairs = prints.groupBy(*[F.col(f"key.{c}").alias(c) for c in of], F.lower(F.hex("key.edited_sha256")).alias("edited_sha256")).agg(
         own("low", 0).alias("low"), own("high", 0).alias("high"), own("low", 1).alias("edited_low"), own("high", 1).alias("edited_high")
     )
-    pairs = following(pairs, {"next_low": F.col("low"), "next_high": F.col("high")}, order)
+    pairs = following(pairs, {"next_low": F.col("low"), "next_high": F.col("high")}, order, among)
     p = {k: (F.col(f"{k}low"), F.col(f"{k}high")) for k in ("", "edited_", "next_")}
     return pairs.select(
         "doc_id", "n_chars", "edited_sha256", hexed(*p[""]).alias("fingerprint"), hexed(*p["edited_"]).alias("edited_fingerprint"),

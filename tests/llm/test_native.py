@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from chainspan.llm import mixing, simhash, urls
+from chainspan.llm import mixing, ordering, simhash, urls
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import MESSY, documents
@@ -77,6 +77,21 @@ def test_edited_texts_and_likeness(messy, small, empty):
     assert simhash.edited_fingerprints(empty).count() == 0
 
 
+def test_next_rows_are_found_in_one_pass(spark):
+    """Whatever the number of ranges, rows are read once, and ids at the bounds, without one and repeated keep their places."""
+    rows = [(None, "x0"), (None, "x1"), *[(i * i - 50, f"t{i:03}") for i in range(200)], (39_551, "u0"), (39_551, "u1")]
+    df = spark.createDataFrame(rows[::-1], "doc_id long, text string")
+    want = dict(zip(rows, [*rows[1:], rows[0]], strict=True))
+    for n in (1, 7, 211):
+        among = ordering.ranges(df, n=n)
+        found = ordering.following(df, {"next": F.col("text")}, [F.col("doc_id").asc_nulls_first(), F.col("text")], among)
+        got = {(r.doc_id, r.text): r.next for r in found.collect()}
+        assert got == {k: v[1] for k, v in want.items()} and found.count() == len(rows)
+    # The plan was ten times as long with so many ranges, which took the driver's memory.
+    plan = simhash.edited_fingerprints(df.repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("RepartitionByExpression") + plan.count("Repartition ") == 1
+
+
 def test_votes_are_those_of_weighted_terms(spark):
     text = "a bb ccc bb a"
     got = simhash.fingerprints(spark.createDataFrame([(1, text)], "k long, text string"), "k").first()
