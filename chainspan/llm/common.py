@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEPT: dict = {}
 
 
+def clear_kept() -> None:
+    """Empty ``KEPT``, and give back to the system what this worker then holds for nothing: freed memory else stays with it."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

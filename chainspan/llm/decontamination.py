@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainspan.llm.common import KEPT, mix, rolling, rolling_at, rows_of, with_python
+from chainspan.llm.common import clear_kept, mix, rolling, rolling_at, rows_of, with_python
 from chainspan.session import written
 
 WINDOW = 8
@@ -261,7 +261,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((bitmap(items), sizes))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        KEPT.clear()
+        clear_kept()
         t, (bits, sizes) = Templates(), sent.value
         for b in rows_of(batches):
             out: list[tuple] = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainspan.llm.common import KEPT, mix, parts, rolling, rows_of, strong_word_hashes, with_python
+from chainspan.llm.common import clear_kept, mix, parts, rolling, rows_of, strong_word_hashes, with_python
 from chainspan.operators.components import connected_components
 from chainspan.session import written
 
@@ -70,7 +70,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, node, n, sig) of each row; node is a hash of the set, null without shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        KEPT.clear()
+        clear_kept()
         for b in rows_of(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             nodes = [node_of(s) for s in sets]
@@ -328,7 +328,7 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     dealt = dealt.select(F.col("id").alias("node"), F.col("component").alias("comp"), "copies", "first_id", "text_key", "block", F.when(F.col("blocks") == 1, whole).otherwise(paired).alias("units"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        KEPT.clear()
+        clear_kept()
         for b in rows_of(batches):
             sets = pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("node", "comp", "copies", "block", "units")), sets], ["node", "comp", "copies", "block", "units", "shingles"])

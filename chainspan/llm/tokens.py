@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chainspan.llm.common import KEPT, rows_of, with_python
+from chainspan.llm.common import KEPT, clear_kept, rows_of, with_python
 from chainspan.llm.ordering import ranged
 from chainspan.session import new_folder
 
@@ -144,6 +144,7 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder per worker and tokenizer."""
     if ("tokens", path) not in KEPT:
+        clear_kept()
         KEPT["tokens", path] = Encoder(path)
     return KEPT["tokens", path]
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainspan.llm.common import KEPT, held_out, rows_of, with_python
+from chainspan.llm.common import clear_kept, held_out, rows_of, with_python
 from chainspan.llm.training import ROWS_PER_CLASS, training_rows
 
 TABLE_BITS = 18
@@ -178,14 +178,21 @@ def toxic_words(ids: np.ndarray, doc: np.ndarray, places: np.ndarray, y: np.ndar
     if not len(ids):
         return chosen
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    in_doc = np.unique(doc * len(places) + ids)
-    d, w = in_doc // len(places), in_doc % len(places)
-    pairs = np.unique(np.concatenate([(d * len(PREFIXES) + k) * size + places[w, k] for k in range(len(PREFIXES))]))
-    of, f = pairs // size // len(PREFIXES), pairs // size % len(PREFIXES) * size + pairs % size
-    neg = np.bincount(f[y[of] == 0], minlength=size * len(PREFIXES))
-    least = np.log(100.0 * np.count_nonzero(np.bincount(f))) / np.log((n0 + n1) / n1)
-    f, of = f[y[of] == 1], of[y[of] == 1]
+    in_doc = np.unique(doc.astype(np.int64) * len(places) + ids)
+    d, w = in_doc // len(places), (in_doc % len(places)).astype(np.int32)
+    del in_doc
+    # Counts of all pairs of feature and document; only those of toxic documents are held, one kind of feature after another.
+    toxic: list[tuple[np.ndarray, np.ndarray]] = []
+    neg = np.zeros(size * len(PREFIXES), np.int64)
+    for k in range(len(PREFIXES)):
+        pairs = np.unique(d * size + places[w, k])
+        bad = y[pairs // size] == 1
+        neg[k * size : (k + 1) * size] = np.bincount(pairs[~bad] % size, minlength=size)
+        pairs = pairs[bad]
+        toxic.append(((pairs % size + k * size).astype(np.int32), (pairs // size).astype(np.int32)))
+    f, of = (np.concatenate(x) for x in zip(*toxic, strict=True))
     every = np.bincount(f, minlength=size * len(PREFIXES))
+    least = np.log(100.0 * np.count_nonzero(neg + every)) / np.log((n0 + n1) / n1)
     lift = np.maximum(every, 1) / n1 / ((neg + 0.5) / n0)
     worth = np.where((lift >= LIFT) & (every >= max(LEAST_DOCS, least)), np.log(lift), 0.0)
     # Enough documents left to explain, or a pure feature that explains some at least.
@@ -204,47 +211,67 @@ def toxic_words(ids: np.ndarray, doc: np.ndarray, places: np.ndarray, y: np.ndar
     return chosen
 
 
+def moves(alpha: np.ndarray, beta: np.ndarray, x: np.ndarray, a: np.ndarray, prev: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """How often each state is expected to follow each. The four chances are made twice, so that few are held at a time."""
+
+    def step(i: int, j: int) -> np.ndarray:
+        made = alpha[i][prev]
+        made *= a[i, j]
+        if j:
+            made *= x[inner]
+        made *= beta[j][inner]
+        return made
+
+    whole = step(0, 0)
+    for i, j in ((0, 1), (1, 0), (1, 1)):
+        whole += step(i, j)
+    return np.array([[(step(i, j) / whole).sum() for j in (0, 1)] for i in (0, 1)])
+
+
 def fit(texts: list[str | None], y: np.ndarray, share: float, rounds: int = 12, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """A field from labelled documents; ``share`` of all labelled documents are toxic."""
     empty = Field(np.zeros(1 << TABLE_BITS, np.float32), np.zeros((2, 2)), np.zeros(2), 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     if len(set(y.tolist())) < 2:
         return empty
-    of_doc = [tokens(t) for t in texts]
-    lengths = np.array([len(d) for d in of_doc])
+    # The tokens of one text at a time become numbers: as objects, all together would take most of a worker's memory.
     number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for d in of_doc for w in d), np.int64, int(lengths.sum()))
+    of_doc = []
+    for t in texts:
+        words = tokens(t)
+        of_doc.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+    lengths = np.array([len(d) for d in of_doc], np.int64)
+    ids = np.concatenate(of_doc)
     places = token_features(list(number))
-    doc = np.repeat(np.arange(len(of_doc)), lengths)
+    doc = np.repeat(np.arange(len(of_doc), dtype=np.int32), lengths)
+    del number, of_doc
 
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    z = (toxic_words(ids, doc, places, y)[ids] & (y[doc] == 1)).astype(float)
+    z = toxic_words(ids, doc, places, y)[ids] & (y[doc] == 1)
+    del doc
 
     # Gradient ascent on the conditional likelihood of the token labels, steps scaled per weight.
     first = starts(lengths)
     emit = np.zeros(1 << TABLE_BITS)
-    rate_z = float(np.clip(z.mean(), 1e-4, 0.5)) if len(z) else 0.01
+    rate_z = float(np.clip(z.astype(float).mean(), 1e-4, 0.5)) if len(z) else 0.01
     begin = np.log(np.array([1 - rate_z, rate_z]))
     move = np.stack([begin, begin])
     sums = [np.full(1 << TABLE_BITS, 1e-2), np.full((2, 2), 1e-2), np.full(2, 1e-2)]
     inner = ~first
-    prev = np.flatnonzero(inner) - 1
-    zi = z.astype(np.int64)
+    prev = (np.flatnonzero(inner) - 1).astype(np.int32)
+    zi = z.astype(np.int8)
     want_move = np.zeros((2, 2))
     np.add.at(want_move, (zi[prev], zi[inner]), 1)
     want_begin = np.bincount(zi[first], minlength=2).astype(float)
     for _ in range(rounds):
         word_e = emit[places].sum(axis=1)
-        e = word_e[ids]
-        alpha, beta = forward_backward(e, first, move, begin)
-        both = alpha * beta
-        p = both[1] / both.sum(axis=0)
-        x = np.exp(np.clip(e, -25, 25))
-        a = np.exp(move)
-        step = [[alpha[i][prev] * a[i, j] * (x[inner] if j else 1.0) * beta[j][inner] for j in (0, 1)] for i in (0, 1)]
-        whole = step[0][0] + step[0][1] + step[1][0] + step[1][1]
-        have_move = np.array([[(step[i][j] / whole).sum() for j in (0, 1)] for i in (0, 1)])
+        alpha, beta = forward_backward(word_e[ids], first, move, begin)
+        p = alpha[1] * beta[1]
+        p /= alpha[0] * beta[0] + p
         have_begin = np.array([(1 - p[first]).sum(), p[first].sum()])
-        by_word = np.bincount(ids, weights=z - p, minlength=len(number))
+        by_word = np.bincount(ids, weights=z - p, minlength=len(places))
+        del p
+        have_move = moves(alpha, beta, np.exp(np.clip(word_e, -25, 25))[ids], np.exp(move), prev, inner)
+        del alpha, beta
         g_emit = np.bincount(places.ravel(), weights=np.repeat(by_word, len(PREFIXES)), minlength=1 << TABLE_BITS) - decay * emit
         for value, g, s, r in ((emit, g_emit, sums[0], rate), (move, want_move - have_move, sums[1], rate / 2), (begin, want_begin - have_begin, sums[2], rate / 2)):
             s += g * g
@@ -273,6 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     share = counts.get(1, 0) / total if total else 0.5
 
     def one(sample: pa.Table) -> pa.Table:
+        clear_kept()  # what an earlier step left in this worker would come on top
         sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         f = fit(sample["text"].to_pylist(), sample["y"].to_numpy().astype(np.int64), share)
         return pa.table({"emit": pa.array([f.emit.tobytes()], pa.binary()), "rest": [[*f.move.ravel().tolist(), *f.begin.tolist(), f.slope, f.shift]]})
@@ -328,7 +356,7 @@ def annotate(docs: DataFrame, field: Field) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        KEPT.clear()
+        clear_kept()
         memory: dict[bytes, float] = {}
         for b in rows_of(batches):
             texts = b.column("text").to_pylist()
