@@ -100,10 +100,11 @@ _NODES = "nodes AS (SELECT DISTINCT id FROM (SELECT src AS id FROM edges UNION A
 
 
 def _nodes(spark, sf):
-    """Every end of an edge, and all purchases, linked or not."""
-    ends = edges(spark, sf).select(F.explode(F.array("src", "dst")).alias("id"))
-    ids = ends.unionByName(canon(spark, sf).filter("event_code = 'purchase'").select("id")).distinct()
-    return canon(spark, sf).join(ids, "id", "left_semi")
+    """Every end of an edge, and all purchases, linked or not. Only what is no purchase has to be looked up."""
+    events = canon(spark, sf).filter("id is not null")
+    ends = edges(spark, sf).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    bought = F.col("event_code").eqNullSafe(F.lit("purchase"))
+    return events.filter(bought).unionByName(events.filter(~bought).join(ends, "id", "left_semi"))
 
 
 @query(

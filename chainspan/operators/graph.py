@@ -133,17 +133,22 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
 
 
 def rule_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cluster_id, label, id): events by the rules whose edges touch them, overlapping; the rest in one cluster."""
-    ids = nodes.select("id").distinct()
+    """(cluster_id, label, id): events by the rules whose edges touch them, overlapping; the rest in one cluster.
+
+    Events and ends of edges meet in one grouping by id rather than in joins, each of which would hold all ids of a task
+    once more. An event gathers at most as many values as there are rules.
+    """
     touched = edges.filter(F.coalesce(F.col("rule_id"), F.lit("")) != "").select(
         F.explode(F.array("src", "dst")).alias("id"), "rule_id"
     )
-    inside = touched.distinct().join(ids, "id", "left_semi")
-    claimed = inside.select(F.concat(F.lit("rule-"), F.col("rule_id")).alias("cluster_id"), F.col("rule_id").alias("label"), "id")
-    loose = ids.join(inside.select("id").distinct(), "id", "left_anti").select(
-        F.lit("rule-none").alias("cluster_id"), F.lit(model.NO_RULE_LABEL).alias("label"), "id"
+    marks = nodes.select("id", F.lit(None).cast("string").alias("rule_id")).unionByName(touched.filter("id is not null"))
+    found = marks.groupBy("id").agg(F.collect_set("rule_id").alias("rules"), F.bool_or(F.col("rule_id").isNull()).alias("known"))
+    by_rule = found.filter("known").select("id", F.explode_outer("rules").alias("rule_id"))
+    return by_rule.select(
+        F.coalesce(F.concat(F.lit("rule-"), F.col("rule_id")), F.lit("rule-none")).alias("cluster_id"),
+        F.coalesce("rule_id", F.lit(model.NO_RULE_LABEL)).alias("label"),
+        "id",
     )
-    return claimed.unionByName(loose)
 
 
 def slot_clusters(nodes: DataFrame, slot: str) -> DataFrame:

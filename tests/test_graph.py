@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainspan.operators import components as c
+from chainspan.operators.graph import rule_clusters
 
 
 def frames(spark, n, pairs):
@@ -136,3 +137,13 @@ def test_rounds_follow_the_logarithm(spark, monkeypatch):
     ring = spark.range(2 * n).selectExpr("id as src", f"case when id = {n} then 0 else id + 1 end as dst")
     got = c.step_rank(spark.range(2 * n), ring.union(spark.createDataFrame([(n, n + 1)], "src long, dst long"))).agg(F.max("rank"), F.count_if("forced")).first()
     assert tuple(got) == (2 * n - 1, 1) and len(rounds) <= 30
+
+
+def test_rule_clusters_meet_in_one_grouping(spark):
+    """Repeated events, events of two rules, ends that are no event, edges without a rule; no join, whose sides would add up in a task."""
+    nodes = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 4, 5, None)], "id long")
+    edges = spark.createDataFrame([(1, 2, "a"), (2, 1, "a"), (2, 3, "b"), (9, 9, "b"), (None, 9, "a"), (4, 9, ""), (5, 4, None)], "src long, dst long, rule_id string")
+    got = rule_clusters(nodes, edges)
+    rows = sorted((r.cluster_id, r.label, r.id or 0) for r in got.collect())
+    assert rows == [("rule-a", "a", 1), ("rule-a", "a", 2), ("rule-b", "b", 2), ("rule-b", "b", 3), ("rule-none", "Not from a rule", 0), ("rule-none", "Not from a rule", 4), ("rule-none", "Not from a rule", 5)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
