@@ -21,18 +21,15 @@ def id_bounds(ids: DataFrame, column: str, n: int) -> list[int]:
 
 
 def range_of(column: Column, bounds: list[int]) -> Column:
-    """The place of the range an id falls in: 0 for null ids and those up to the first bound."""
-    at = F.lit(0)
-    if bounds:
-        # A balanced search tree, so that a row costs log2(n) comparisons.
-        def tree(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(column <= bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    """The place of the range an id falls in: 0 for null ids and those up to the first bound.
 
-        at = tree(0, len(bounds))
-    return F.when(column.isNull(), F.lit(0)).otherwise(at).cast("int")
+    The place is found step by step in one array, so the plan does not grow with the bounds and a row costs log2(n) steps.
+    """
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    all_bounds = _longs(bounds)
+    return F.aggregate(F.expr(f"array({', '.join(map(str, steps))})"), F.lit(0), lambda p, k: F.when(F.get(all_bounds, p + k - 1) < column, p + k).otherwise(p))
 
 
 def place(value: int | None, bounds: list[int]) -> int:
@@ -54,12 +51,7 @@ class Ranges:
     firsts: dict[int, int | None]
 
     def of(self, column: Column) -> Column:
-        """As ``range_of``: the place is found step by step in one array, so the plan does not grow with the bounds."""
-        steps = [1 << k for k in reversed(range(len(self.bounds).bit_length()))]
-        if not steps:
-            return F.lit(0)
-        bounds = _longs(self.bounds)
-        return F.aggregate(F.expr(f"array({', '.join(map(str, steps))})"), F.lit(0), lambda p, k: F.when(F.get(bounds, p + k - 1) < column, p + k).otherwise(p))
+        return range_of(column, self.bounds)
 
 
 def _longs(values: list[int | None]) -> Column:
